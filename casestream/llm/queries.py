@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .mixing import op1_mixing
+from .near_dup import op3_near_dup
 from .oracle import ORACLES
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_near_dup": op3_near_dup,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
