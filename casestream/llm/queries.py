@@ -5,10 +5,14 @@ from __future__ import annotations
 from .mixing import op1_mixing
 from .near_dup import op3_near_dup
 from .oracle import ORACLES
+from .packing import op4_packing
+from .token_files import op5_token_files
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_near_dup": op3_near_dup,
+    "op4_packing": op4_packing,
+    "op5_token_files": op5_token_files,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
