@@ -2,4 +2,8 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from . import quality_rules
+
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": quality_rules.ORACLE,
+}

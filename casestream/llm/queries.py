@@ -6,6 +6,7 @@ from .mixing import op1_mixing
 from .near_dup import op3_near_dup
 from .oracle import ORACLES
 from .packing import op4_packing
+from .quality_rules import op6_quality_rules
 from .token_files import op5_token_files
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_near_dup": op3_near_dup,
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
+    "op6_quality_rules": op6_quality_rules,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
