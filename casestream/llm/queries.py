@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .lm_scoring import op7_lm_scoring
 from .mixing import op1_mixing
 from .near_dup import op3_near_dup
 from .oracle import ORACLES
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
     "op6_quality_rules": op6_quality_rules,
+    "op7_lm_scoring": op7_lm_scoring,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
