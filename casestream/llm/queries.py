@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_format import op9_chat_format
 from .lm_scoring import op7_lm_scoring
 from .mixing import op1_mixing
 from .near_dup import op3_near_dup
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_quality_rules": op6_quality_rules,
     "op7_lm_scoring": op7_lm_scoring,
+    "op9_chat_format": op9_chat_format,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
