@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, topk_search
 
 ORACLES: dict[str, str] = {
     "op6_quality_rules": quality_rules.ORACLE,
+    "op8_topk_search": topk_search.ORACLE,
 }

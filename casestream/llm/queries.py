@@ -10,6 +10,7 @@ from .oracle import ORACLES
 from .packing import op4_packing
 from .quality_rules import op6_quality_rules
 from .token_files import op5_token_files
+from .topk_search import op8_topk_search
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_quality_rules": op6_quality_rules,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_topk_search": op8_topk_search,
     "op9_chat_format": op9_chat_format,
 }
 
