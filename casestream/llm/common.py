@@ -156,16 +156,19 @@ def member_bitmap(keys: DataFrame, column: str) -> DataFrame:
     )
 
 
-def maybe_in(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
+def maybe_in(df: DataFrame, column: str, bitmap: DataFrame, inverse: bool = False) -> DataFrame:
     """Rows of `df` whose key may be among the bitmap's keys: all that are, and
     some that are not. The broadcast side has at most 128 rows of 4 KB. Used
-    before a join, so that rows without a partner aren't shuffled."""
+    before a join, so that rows without a partner aren't shuffled. `inverse`
+    gives the rows that surely have none."""
     bit = F.pmod(F.xxhash64(F.col(column), F.lit(17)), F.lit(BITMAP_BITS))
     marked = df.withColumn("__bit", bit).withColumn("__page", (F.col("__bit") / _WORD_BITS).cast("long"))
     inside = (F.col("__bit") % _WORD_BITS).cast("int")
     byte = F.conv(F.hex(F.substring(F.col("__bits"), (inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     is_set = F.getbit(byte, (inside % 8).cast("int")) == 1
-    return marked.join(F.broadcast(bitmap), "__page").where(is_set).drop("__page", "__bit", "__bits")
+    joined = marked.join(F.broadcast(bitmap), "__page", "left")
+    hit = F.coalesce(is_set, F.lit(False))
+    return joined.where(~hit if inverse else hit).drop("__page", "__bit", "__bits")
 
 
 # -- connected components --------------------------------------------------

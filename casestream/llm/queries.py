@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import op9_chat_format
+from .line_dedup import op10_line_dedup
 from .lm_scoring import op7_lm_scoring
 from .mixing import op1_mixing
 from .near_dup import op3_near_dup
@@ -21,6 +22,7 @@ QUERIES = {
     "op7_lm_scoring": op7_lm_scoring,
     "op8_topk_search": op8_topk_search,
     "op9_chat_format": op9_chat_format,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
