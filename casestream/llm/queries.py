@@ -9,12 +9,14 @@ from .mixing import op1_mixing
 from .near_dup import op3_near_dup
 from .oracle import ORACLES
 from .packing import op4_packing
+from .quality_classifier import op2_quality_classifier
 from .quality_rules import op6_quality_rules
 from .token_files import op5_token_files
 from .topk_search import op8_topk_search
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_near_dup": op3_near_dup,
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
