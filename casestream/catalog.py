@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .plans.oracle import ORACLES
+from .plans.queries import QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
