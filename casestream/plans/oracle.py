@@ -64,7 +64,7 @@ _SYSTEM = (
 
 _BUCKET = """
 WITH RECURSIVE ev AS (
-  SELECT event_id, user_id, epoch_ms(ts) AS now, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+  SELECT event_id, user_id, epoch_us(ts) // 1000 AS now, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
 f AS (
   SELECT event_id, user_id, n, true AS allowed, 'ok' AS reason, CAST(NULL AS BIGINT) AS retry_after_ms, 4 AS h, now AS hl, 2 AS s, now AS sl FROM ev WHERE n = 1
   UNION ALL
@@ -208,7 +208,7 @@ SELECT conv_id, turn, role AS said FROM conversations WHERE turn % 2 = 1 OR turn
 WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) <= 1 AS pass_first FROM events)
 SELECT event_id, pass_first, pass_first AND row_number() OVER (PARTITION BY user_id, date_trunc('day', ts), pass_first ORDER BY ts, event_id) <= 5 AS allowed FROM a""",
     "queue_times": """
-WITH RECURSIVE j AS (SELECT event_id, user_id, epoch_ms(ts) AS arrival, (event_id % 7 + 1) * 3600000 AS service, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+WITH RECURSIVE j AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS arrival, (event_id % 7 + 1) * 3600000 AS service, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
 q AS (SELECT event_id, user_id, n, arrival AS s, arrival + service AS e FROM j WHERE n = 1
   UNION ALL SELECT j.event_id, j.user_id, j.n, greatest(j.arrival, q.e), greatest(j.arrival, q.e) + j.service FROM q JOIN j ON j.user_id = q.user_id AND j.n = q.n + 1)
 SELECT event_id, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end" FROM q""",
@@ -244,6 +244,6 @@ SELECT event_id, CAST(CASE WHEN event_id % 6 < 2 THEN 16 ELSE least(greatest(eve
     "search_by_term": "SELECT doc_id, lang FROM documents WHERE source = 'src3'",
     "display_defaults": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN o_orderpriority ELSE 'N/A' END AS court FROM orders",
     "whitespace": """
-SELECT p_partkey, p_name || chr(160) || ' ' || chr(8195) || 'OIB OIB x' AS trimmed, regexp_replace(p_name, '\\s+', ' ', 'g') || ' OIB OIB x' AS one_space,
-       p_name || chr(160) || ' ' || chr(8195) || ' OIB x' AS without_first FROM part""",
+SELECT p_partkey, p_name || chr(160) || chr(8195) || ' OIB OIB x' AS trimmed, regexp_replace(p_name, '\\s+', ' ', 'g') || ' OIB OIB x' AS one_space,
+       p_name || chr(160) || chr(8195) || '  OIB x' AS without_first FROM part""",
 }

@@ -289,7 +289,7 @@ def token_bucket_stream(spark, sf):
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
-        query = stream(events, "user_id", *SCALED).writeStream.format("memory").queryName("token_bucket_stream").outputMode("append").trigger(availableNow=True).start()
+        query = stream(events, "user_id", *SCALED, expire=False).writeStream.format("memory").queryName("token_bucket_stream").outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         spark.conf.set(provider, before) if before else spark.conf.unset(provider)

@@ -18,11 +18,11 @@ class BucketProcessor(StatefulProcessor):
     """Folds a client's requests in time order inside each batch. State that is older than
     both refill periods equals a new client's, so it expires after the longer one."""
 
-    def __init__(self, hour: Bucket, short: Bucket):
-        self.hour, self.short = hour, short
+    def __init__(self, hour: Bucket, short: Bucket, expire: bool):
+        self.hour, self.short, self.expire = hour, short, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = max(self.hour.period_ms, self.short.period_ms)
+        ttl = max(self.hour.period_ms, self.short.period_ms) if self.expire else None
         self.state = handle.getValueState("buckets", STATE, ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -41,8 +41,9 @@ class BucketProcessor(StatefulProcessor):
         pass
 
 
-def token_bucket_stream(events: DataFrame, key: str, hour: Bucket = HOUR, short: Bucket = SHORT, ts: str = "ts", event_id: str = "event_id") -> DataFrame:
+def token_bucket_stream(events: DataFrame, key: str, hour: Bucket = HOUR, short: Bucket = SHORT, ts: str = "ts", event_id: str = "event_id", expire: bool = True) -> DataFrame:
     """A streaming DataFrame of verdicts. Order holds inside a micro-batch; a late event is
-    judged when it comes, as a server would."""
+    judged when it comes, as a server would. `expire` drops idle clients' state, for queries
+    that run on; those that take what is there and stop have no clock to expire by."""
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(event_id).alias("event_id"), F.unix_millis(F.col(ts).cast("timestamp")).alias("now"))
-    return rows.groupBy("key").transformWithStateInPandas(BucketProcessor(hour, short), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime")
+    return rows.groupBy("key").transformWithStateInPandas(BucketProcessor(hour, short, expire), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime" if expire else "None")
