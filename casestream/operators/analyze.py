@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import is_blank, without_fences
 
@@ -19,7 +20,9 @@ TEXT_LIMIT = 25_000
 NO_TEXT = "Could not extract text from file. It may be empty, corrupted, or an image-based document."
 _PERSON = "struct<name:string,oib:string,address:string,role:string>"
 PARTIES = f"array<{_PERSON}>"
-_REPLY = "result struct<case_number:string,decision_date:string,summary:string>, raw_json string, error string"
+# Types, not texts: this module is imported before there is a session.
+_RESULT = T.StructType([T.StructField(c, T.StringType()) for c in ("case_number", "decision_date", "summary")])
+_REPLY = T.StructType([T.StructField("result", _RESULT), T.StructField("raw_json", T.StringType()), T.StructField("error", T.StringType())])
 
 
 def prompt(text: Column, participants: Column) -> Column:
@@ -34,7 +37,7 @@ def prompt(text: Column, participants: Column) -> Column:
     return F.concat(known, F.lit(ask), F.left(text, F.lit(TEXT_LIMIT)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _indented(packed: pd.Series) -> pd.Series:
     return packed.map(lambda x: None if x is None else json.dumps(json.loads(x), indent=2, ensure_ascii=False))
 
