@@ -11,11 +11,12 @@ left out. All pairs at that distance meet in a bucket, and two sets with
 similarity 0.75 fail to meet with probability 1e-7.
 
 A bucket never turns into all its pairs. First each node is compared with the
-smallest nodes of its buckets. The links that full sets confirm give a first
-grouping. Then, in buckets whose nodes aren't yet in one group, those outside the
-bucket's main group are compared with all others there, if signatures allow
-it. Links inside a group that are left out can't change the groups; no link
-between groups is.
+nearest of the smallest and largest nodes of its buckets; the links that full sets
+confirm give a first grouping. Links inside a group can't change the groups, so only
+pairs of different groups are left: where neither group is big, those at an allowed
+distance, each in the first bucket that both share; where one is big, its nodes and
+the outside nodes that meet it in some bucket are laid in tiles, blocks of both sides'
+full sets, and of each outside node one link at most leaves a tile.
 
 Defined cases: null texts and texts without words have an empty set, are linked
 with nothing and form their own component; rows that repeat a doc_id or a text
@@ -36,9 +37,10 @@ from .common import components, maybe_in, member_bitmap, mix, shingle_sets, stag
 
 LANES, CHUNK, LANE_BITS = 48, 4, 16
 CHUNKS = LANES // CHUNK
-#: Candidates that differ in more lanes are below similarity 0.75 but for a chance of 1e-5 at 0.75 itself.
-MOST_LANES = 27
-FIRST_HUBS = 2
+#: The distance under which the index finds every pair, and above which pairs aren't looked at.
+MOST_LANES = 2 * CHUNKS - 1
+#: Groups of so many nodes are compared with outside nodes in tiles of about TILE_BYTES of shingles each side.
+BIG_GROUP, TILE_BYTES = 64, 2_000_000
 
 _RANDOM = np.random.default_rng(48)
 _MULTIPLY = _RANDOM.integers(0, 2**63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,16 +106,67 @@ def _confirm(percent: int):
     return run
 
 
-def _lanes_apart(a: str, b: str) -> Column:
-    """The number of 16-bit lanes in which two signatures differ."""
-    low = F.lit(0x0001000100010001)
-    total: Column = F.lit(0)
+def _chunk_lanes(a: str, b: str) -> list[Column]:
+    """For each chunk the number of 16-bit lanes in which two signatures differ."""
+    out = []
     for i in range(CHUNKS):
         d = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
-        for step in (8, 4, 2, 1):
-            d = d.bitwiseOR(F.shiftrightunsigned(d, step))
-        total = total + F.bit_count(d.bitwiseAND(low))
-    return total
+        # Folded to 14 bits a lane, a lane that isn't 0 carries into bit 14, and none into the next lane.
+        for kept in (0x7FFF7FFF7FFF7FFF, 0x3FFF3FFF3FFF3FFF):
+            d = F.shiftrightunsigned(d, 1).bitwiseOR(d).bitwiseAND(F.lit(kept))
+        out.append(F.bit_count((d + F.lit(0x3FFF3FFF3FFF3FFF)).bitwiseAND(F.lit(0x4000400040004000))))
+    return out
+
+
+def _lanes_apart(a: str, b: str) -> Column:
+    return sum(_chunk_lanes(a, b)[1:], _chunk_lanes(a, b)[0])
+
+
+def _meet_first(a: str, b: str, slot: Column) -> Column:
+    """Whether a bucket of this slot (chunk and lane left out) is the first that two signatures share."""
+    lanes = _chunk_lanes(a, b)
+    chunk, lane = (slot / CHUNK).cast("int"), slot % CHUNK
+    earlier: Column = F.lit(False)
+    here: Column = F.lit(0)
+    for i, n in enumerate(lanes):
+        earlier = earlier | ((chunk > i) & (n <= 1))
+        here = F.when(chunk == i, n).otherwise(here)
+    return ~earlier & ((here == 1) | (lane == 0))
+
+
+def _tile(percent: int):
+    """(a, b): for each outside node of a tile its first link to the tile's members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                members, outside = batch.column("members")[row].as_py(), batch.column("outside")[row].as_py()
+                sets = [np.frombuffer(m["shingles"], np.uint64) for m in members]
+                sizes = np.array([len(x) for x in sets])
+                flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                order = np.argsort(flat, kind="stable")
+                flat, owner = flat[order], owner[order]
+                found = []
+                for o in outside:
+                    own = np.frombuffer(o["shingles"], np.uint64)
+                    low, high = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
+                    n = high - low
+                    at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    common = np.bincount(owner[at], minlength=len(sets))
+                    linked = np.flatnonzero(100 * common >= percent * (sizes + len(own) - common))
+                    if len(linked):
+                        found.append((members[linked[0]]["node"], o["node"]))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _blocks(nodes: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """(group, nodes) to (group, [name]): lists of nodes and sets of about TILE_BYTES."""
+    held = nodes.join(sets, "node")
+    per = held.groupBy("group").agg(F.ceil(F.sum(F.length("shingles")) / TILE_BYTES).alias("parts"))
+    part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts"))
+    return held.join(per, "group").groupBy("group", part.alias("part")).agg(F.collect_list(F.struct("node", "shingles")).alias(name)).drop("part")
 
 
 def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -129,19 +182,17 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     masks = [((1 << 64) - 1) ^ (0xFFFF << (LANE_BITS * z)) for z in range(CHUNK)]
     signed_masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = [F.xxhash64(F.lit(i * CHUNK + z), F.col(w).bitwiseAND(F.lit(m))) for i, w in enumerate(words) for z, m in enumerate(signed_masks)]
-    index = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
-    buckets = index.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").drop("other")
+    index = nodes.select("node", F.posexplode(F.array(*keys)).alias("slot", "key"))
+    buckets = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     members = stage(index.join(buckets, "key"), "near-members")
 
     signatures = nodes.select("node", *words)
-    close = lambda pairs: pairs.join(signatures.alias("x"), F.col("a") == F.col("x.node")).join(signatures.alias("y"), F.col("b") == F.col("y.node"))
-    tried = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    tried = close(tried).select("a", "b", _lanes_apart("x", "y").alias("apart")).where(F.col("apart") <= MOST_LANES)
-    # Each node's nearest hubs first; what they leave open comes in the second round.
-    nearest = tried.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("near"), F.min("a").alias("least"))
-    nearest = nearest.select(F.explode(F.array("near", "least")).alias("a"), "b").distinct()
-    if FIRST_HUBS != 2:
-        raise ValueError("the first round takes the nearest and the smallest hub")
+    tried = members.select("node", F.explode(F.array("low", "high")).alias("hub")).where("node <> hub")
+    tried = tried.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    tried = tried.join(signatures.alias("x"), F.col("a") == F.col("x.node")).join(signatures.alias("y"), F.col("b") == F.col("y.node"))
+    tried = stage(tried.select("a", "b", _lanes_apart("x", "y").alias("apart")).where(F.col("apart") <= MOST_LANES), "near-tried")
+    both = tried.select(F.col("a").alias("node"), "a", "b", "apart").union(tried.select(F.col("b").alias("node"), "a", "b", "apart"))
+    nearest = both.groupBy("node").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
     known = members.select("node").distinct()
     there = signed.join(known, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = _sets_of(texts, there, width)
@@ -149,21 +200,27 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     grouped = components(links, "near-first")
 
     # Buckets that still hold several groups.
-    placed = members.join(grouped, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    open_ = stage(placed.join(main, "key").select("key", "node", "root", "main"), "near-open")
-    outside = open_.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    whole = open_.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"))
-    wide = outside.join(signatures.alias("x"), F.col("a") == F.col("x.node")).select("key", "a", "ra", *[F.col(f"x.{w}").alias(f"x{w}") for w in words])
-    other = whole.join(signatures.alias("y"), F.col("b") == F.col("y.node")).select("key", "b", "rb", "in_main", *[F.col(f"y.{w}").alias(f"y{w}") for w in words])
-    wide = wide.select("key", "a", "ra", F.struct(*[F.col(f"x{w}").alias(w) for w in words]).alias("x"))
-    other = other.select("key", "b", "rb", "in_main", F.struct(*[F.col(f"y{w}").alias(w) for w in words]).alias("y"))
-    meet = (F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & (_lanes_apart("x", "y") <= MOST_LANES)
-    rest = wide.alias("l").join(other.alias("r"), (F.col("l.key") == F.col("r.key")) & meet)
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    later = _confirmed(rest.join(links, ["a", "b"], "left_anti"), sets, percent)
-    final = components(links.union(later), "near-final")
+    big = stage(grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BIG_GROUP).select("root", F.lit(True).alias("big")), "near-big")
+    placed = members.select("key", "slot", "node").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node")).join(big, "root", "left").withColumn("big", F.coalesce("big", F.lit(False)))
+    several = placed.groupBy("key").agg(F.min("root").alias("__low"), F.max("root").alias("__high")).where("__low < __high").select("key")
+    open_ = stage(placed.join(several, "key"), "near-open")
+
+    # Neither group is big: the pairs that signatures allow.
+    signed_open = open_.where("not big").join(signatures, "node").select("key", "slot", "node", "root", F.struct(*words).alias("sig"))
+    left = signed_open.select("key", "slot", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("sig").alias("x"))
+    right = signed_open.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("sig").alias("y"))
+    allowed = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (_lanes_apart("x", "y") <= MOST_LANES) & _meet_first("x", "y", F.col("slot"))
+    rest = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & allowed).select("a", "b")
+    later = _confirmed(rest, sets, percent)
+
+    # One group is big: its nodes against the outside nodes that it meets, in tiles.
+    met = open_.where("big").select("key", F.col("root").alias("group")).distinct()
+    outside = open_.select("key", "node", "root", "big").join(met, "key").where((F.col("root") != F.col("group")) & (~F.col("big") | (F.col("root") < F.col("group"))))
+    outside = stage(outside.select("group", "node").distinct(), "near-outside")
+    inside = grouped.join(outside.select(F.col("group").alias("root")).distinct(), "root", "left_semi").select(F.col("root").alias("group"), "node")
+    tiles = _blocks(inside, sets, "members").join(_blocks(outside, sets, "outside"), "group")
+    across = tiles.select("members", "outside").mapInArrow(_tile(percent), "a bigint, b bigint")
+    final = components(links.union(later).union(across), "near-final")
 
     node_root = nodes.join(final, "node", "left").select("node", "check", "n_shingles", "first_doc", F.coalesce("root", "node").alias("root"))
     first = node_root.groupBy("root").agg(F.min("first_doc").alias("component_id"))
