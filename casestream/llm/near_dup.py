@@ -39,8 +39,12 @@ LANES, CHUNK, LANE_BITS = 48, 4, 16
 CHUNKS = LANES // CHUNK
 #: The distance under which the index finds every pair, and above which pairs aren't looked at.
 MOST_LANES = 2 * CHUNKS - 1
+#: Pairs of each node that the first round confirms at most.
+FIRST_TRIES = 4
 #: Groups of so many nodes are compared with outside nodes in tiles of about TILE_BYTES of shingles each side.
-BIG_GROUP, TILE_BYTES = 64, 2_000_000
+BIG_GROUP, TILE_BYTES = 32, 2_000_000
+#: Nodes of a bucket that are compared at once with as many others.
+BUCKET_BLOCK = 1024
 
 _RANDOM = np.random.default_rng(48)
 _MULTIPLY = _RANDOM.integers(0, 2**63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,16 +126,33 @@ def _lanes_apart(a: str, b: str) -> Column:
     return sum(_chunk_lanes(a, b)[1:], _chunk_lanes(a, b)[0])
 
 
-def _meet_first(a: str, b: str, slot: Column) -> Column:
-    """Whether a bucket of this slot (chunk and lane left out) is the first that two signatures share."""
-    lanes = _chunk_lanes(a, b)
-    chunk, lane = (slot / CHUNK).cast("int"), slot % CHUNK
-    earlier: Column = F.lit(False)
-    here: Column = F.lit(0)
-    for i, n in enumerate(lanes):
-        earlier = earlier | ((chunk > i) & (n <= 1))
-        here = F.when(chunk == i, n).otherwise(here)
-    return ~earlier & ((here == 1) | (lane == 0))
+def _lanes(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """For each of `many` signatures and each chunk the number of lanes that differ from `one`."""
+    d = many ^ one
+    for kept in (0x7FFF7FFF7FFF7FFF, 0x3FFF3FFF3FFF3FFF):
+        d = ((d >> np.uint64(1)) | d) & np.uint64(kept)
+    return np.bitwise_count((d + np.uint64(0x3FFF3FFF3FFF3FFF)) & np.uint64(0x4000400040004000))
+
+
+def _near_in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): of two blocks of a bucket the pairs of different groups whose signatures are near,
+    unless an earlier bucket has the pair too: of an earlier chunk, or of an equal chunk's first lane."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            one, two = (batch.column(c)[row].values.flatten() for c in ("one", "two"))
+            (n1, r1), (n2, r2) = ([x[i].to_numpy() for i in (0, 1)] for x in (one, two))
+            s1, s2 = (np.stack([c.to_numpy() for c in x[2:]], axis=1).view(np.uint64) for x in (one, two))
+            slot, same = batch.column("slot")[row].as_py(), batch.column("same")[row].as_py()
+            chunk, lane = divmod(slot, CHUNK)
+            for i in range(len(n1)):
+                other = np.flatnonzero((r2 != r1[i]) & ((n2 > n1[i]) | (not same)))
+                if not len(other):
+                    continue
+                lanes = _lanes(s1[i], s2[other])
+                keep = (lanes.sum(axis=1) <= MOST_LANES) & (lanes[:, :chunk] > 1).all(axis=1) & ((lanes[:, chunk] == 1) | (lane == 0))
+                met = n2[other[keep]]
+                if len(met):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(met, n1[i])), pa.array(np.maximum(met, n1[i]))], ["a", "b"])
 
 
 def _tile(percent: int):
@@ -192,7 +213,10 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     tried = tried.join(signatures.alias("x"), F.col("a") == F.col("x.node")).join(signatures.alias("y"), F.col("b") == F.col("y.node"))
     tried = stage(tried.select("a", "b", _lanes_apart("x", "y").alias("apart")).where(F.col("apart") <= MOST_LANES), "near-tried")
     both = tried.select(F.col("a").alias("node"), "a", "b", "apart").union(tried.select(F.col("b").alias("node"), "a", "b", "apart"))
-    nearest = both.groupBy("node").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    # The nearest of each of a few random classes of a node's pairs: minima, which combine before the shuffle.
+    kind = F.pmod(F.xxhash64("a", "b"), F.lit(FIRST_TRIES))
+    tries = [F.min_by(F.struct("a", "b"), F.when(kind == i, F.struct("apart", "a", "b"))) for i in range(FIRST_TRIES)]
+    nearest = both.groupBy("node").agg(F.array(*tries).alias("t")).select(F.explode("t").alias("p")).where("p is not null").select("p.a", "p.b").distinct()
     known = members.select("node").distinct()
     there = signed.join(known, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = _sets_of(texts, there, width)
@@ -206,16 +230,19 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     open_ = stage(placed.join(several, "key"), "near-open")
 
     # Neither group is big: the pairs that signatures allow.
-    signed_open = open_.where("not big").join(signatures, "node").select("key", "slot", "node", "root", F.struct(*words).alias("sig"))
-    left = signed_open.select("key", "slot", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("sig").alias("x"))
-    right = signed_open.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("sig").alias("y"))
-    allowed = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (_lanes_apart("x", "y") <= MOST_LANES) & _meet_first("x", "y", F.col("slot"))
-    rest = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & allowed).select("a", "b")
+    small = open_.where("not big").join(signatures, "node").select("key", "slot", "node", "root", *words)
+    parts = small.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET_BLOCK).alias("parts"), F.min("root").alias("__low"), F.max("root").alias("__high")).where("__low < __high").select("key", "parts")
+    blocks = small.join(parts, "key").groupBy("key", "slot", F.pmod(F.xxhash64("node", F.lit(4)), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("node", "root", *words)).alias("block"))
+    blocks = stage(blocks, "near-blocks")
+    one = blocks.select("key", "slot", F.col("part").alias("p"), F.col("block").alias("one"))
+    two = blocks.select("key", F.col("part").alias("q"), F.col("block").alias("two"))
+    met = one.join(two, "key").where("p <= q").select("slot", (F.col("p") == F.col("q")).alias("same"), "one", "two")
+    rest = met.mapInArrow(_near_in_bucket, "a bigint, b bigint")
     later = _confirmed(rest, sets, percent)
 
     # One group is big: its nodes against the outside nodes that it meets, in tiles.
-    met = open_.where("big").select("key", F.col("root").alias("group")).distinct()
-    outside = open_.select("key", "node", "root", "big").join(met, "key").where((F.col("root") != F.col("group")) & (~F.col("big") | (F.col("root") < F.col("group"))))
+    hosts = open_.where("big").select("key", F.col("root").alias("group")).distinct()
+    outside = open_.select("key", "node", "root", "big").join(hosts, "key").where((F.col("root") != F.col("group")) & (~F.col("big") | (F.col("root") < F.col("group"))))
     outside = stage(outside.select("group", "node").distinct(), "near-outside")
     inside = grouped.join(outside.select(F.col("group").alias("root")).distinct(), "root", "left_semi").select(F.col("root").alias("group"), "node")
     tiles = _blocks(inside, sets, "members").join(_blocks(outside, sets, "outside"), "group")
