@@ -87,12 +87,14 @@ def text_slices(column, most_bytes: int = 2_000_000):
         row = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in order, and for each text the index of its
-    first word (one more entry at the end). A-Z are lower-cased."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of all words in order, for each text the index of its first
+    word (one more entry at the end), and where words begin and how long they are.
+    With `lower`, A-Z hash as a-z."""
     n = len(offsets) - 1
+    none = np.zeros(0, np.int64)
     if not len(data):
-        return np.zeros(0, _U), np.zeros(n + 1, np.int64)
+        return np.zeros(0, _U), np.zeros(n + 1, np.int64), none, none
     gap = _IS_GAP[data]
     inside = ~gap
     first = inside.copy()
@@ -101,7 +103,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     first[begins] = inside[begins]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.zeros(0, _U), np.zeros(n + 1, np.int64)
+        return np.zeros(0, _U), np.zeros(n + 1, np.int64), none, none
     at = np.flatnonzero(inside)
     ahead = np.searchsorted(at, starts)
     lengths = np.diff(np.append(ahead, len(at)))
@@ -110,7 +112,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     chars = data[at]
     weighed = _BYTE[_LOWER[chars] if lower else chars] * powers[within]
     hashed = mix(np.add.reduceat(weighed, ahead) + lengths.astype(_U))
-    return hashed, np.searchsorted(starts, offsets)
+    return hashed, np.searchsorted(starts, offsets), starts, lengths
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    return words(data, offsets, lower)[:2]
 
 
 def shingle_sets(hashed: np.ndarray, first: np.ndarray, width: int) -> list[np.ndarray]:

@@ -108,8 +108,7 @@ def _cut(path: str, capacity: int, end_id: int):
         encode = encoder(path).encode
         for batch in batches:
             for row, data, offsets in text_slices(batch.column("text")):
-                raw = data.tobytes()
-                ids, at = encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+                ids, at = encode(data, offsets)
                 rows = []
                 for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
                     own = np.append(ids[a:b], np.int32(end_id)).astype("<u4")

@@ -34,8 +34,7 @@ def _encode(path: str, end_id: int):
         encode = encoder(path).encode
         for batch in batches:
             for row, data, offsets in text_slices(batch.column("text")):
-                raw = data.tobytes()
-                ids, at = encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+                ids, at = encode(data, offsets)
                 closed = np.insert(ids, at[1:], end_id)
                 at = (at + np.arange(len(at))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(closed.astype(np.int32)))
