@@ -91,7 +91,7 @@ def parse(html: str | None) -> Node:
     return tree.root
 
 
-_WHITE = " \t\n\x0b\f\r                 　﻿"
+_WHITE = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def trim(text: str) -> str:
