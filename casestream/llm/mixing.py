@@ -133,7 +133,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     has nothing to take and goes too. Returns the columns of `docs`."""
     taken = mix_documents(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times"))
     taken = taken.groupBy("__id").agg(F.max("__times").alias("__times"))
-    out = docs.join(taken, F.col("doc_id") == F.col("__id"))
+    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(c) for c in docs.columns])
 
 

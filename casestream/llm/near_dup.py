@@ -272,8 +272,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id stays.
-    Rows that repeat a doc_id and its set fold into one; documents without words stay."""
+    """Pipeline stage: of each component the document with the smallest doc_id stays. Rows
+    that repeat that doc_id stay with it, and so do rows without a doc_id or without words."""
     found = link_components(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     left = docs.join(found, F.col("doc_id") == F.col("__gone"), "left_anti")
     return left.select(*docs.columns)
