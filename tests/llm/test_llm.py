@@ -331,6 +331,28 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def brute_dropped(rows):
+    """Of documents of one line each, whether the line goes."""
+    sets = {i: {t[k : k + 5] for k in range(max(1, len(t) - 4))} for i, t, _ in rows}
+    root = {i: i for i in sets}
+    for a, b in combinations(sorted(sets), 2):
+        if root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            x, y = sorted((root[a], root[b]))
+            root = {i: x if r == y else r for i, r in root.items()}
+    return {i: int(r != i) for i, r in root.items()}
+
+
+def test_line_dedup_compares_all_of_a_band(spark):
+    """Pairs of similar lines that share their frequent start with a smaller hub, and with it nothing else."""
+    rng = random.Random(21)
+    start = " ".join(rng.choice("abcdefgh") for _ in range(60)) + " "
+    base = [start + "".join(rng.choice("klmnopqrstuvwxyz") for _ in range(160)) for _ in range(40)]
+    rows = [(2 * i + k, b + end, "s") for i, b in enumerate(base) for k, end in enumerate(["", "."])]
+    got = {r[0]: r[1] for r in line_dedup.dedup_lines(documents(spark, rows)).select("doc_id", "__n_dropped").collect()}
+    assert sum(got.values()) == len(base)
+    assert got == brute_dropped(rows)
+
+
 def test_classifier_on_held_out_labels(spark):
     rng = random.Random(12)
     good = lambda: " ".join(rng.choice(["the", "of", "and", f"wo{rng.randrange(900)}rd"]) for _ in range(rng.randrange(60, 200))).capitalize() + "."
