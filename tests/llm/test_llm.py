@@ -353,6 +353,17 @@ def test_line_dedup_compares_all_of_a_band(spark):
     assert got == brute_dropped(rows)
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Short lines of all lengths whose last characters are changed, added or missing."""
+    rng = random.Random(22)
+    rows = [(0, "Subscribe to our letter", "s"), (1, "Subscribe to our letter.", "s"), (2, "Enülich schbe nicht er.", "s"), (3, "Enülich schbe nicht.", "s")]
+    for n in range(1, 45):
+        line = "".join(rng.choice("abcdefghij ") for _ in range(n - 1)) + "k"
+        rows += [(10 * n + k, x, "s") for k, x in enumerate([line, line[:-1] + "x", line[:-2] + "yz", line + "!", line + "??", line[:-1]]) if x.strip()]
+    got = {r[0]: r[1] for r in line_dedup.dedup_lines(documents(spark, rows)).select("doc_id", "__n_dropped").collect()}
+    assert got == brute_dropped(rows)
+
+
 def test_classifier_on_held_out_labels(spark):
     rng = random.Random(12)
     good = lambda: " ".join(rng.choice(["the", "of", "and", f"wo{rng.randrange(900)}rd"]) for _ in range(rng.randrange(60, 200))).capitalize() + "."
