@@ -322,8 +322,8 @@ def test_line_dedup(spark):
     for i, n, x in places:
         (gone[i].add(n) if find(x) in first else first.append(find(x)))
     got = line_dedup.dedup_lines(docs)
-    assert got.columns == [*docs.columns, "__n_dropped"]
-    for r in got.collect():
+    assert got.select("row.*").columns == docs.columns
+    for r in got.select("row.*").collect():
         text = dict((i, t) for i, t, _ in rows)[r.doc_id]
         assert r.text == (text if not gone[r.doc_id] else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone[r.doc_id]))
     left = {r.doc_id for r in line_dedup.line_dedup_stage(spark, docs, "").collect()}
@@ -348,7 +348,7 @@ def test_line_dedup_compares_all_of_a_band(spark):
     start = " ".join(rng.choice("abcdefgh") for _ in range(60)) + " "
     base = [start + "".join(rng.choice("klmnopqrstuvwxyz") for _ in range(160)) for _ in range(40)]
     rows = [(2 * i + k, b + end, "s") for i, b in enumerate(base) for k, end in enumerate(["", "."])]
-    got = {r[0]: r[1] for r in line_dedup.dedup_lines(documents(spark, rows)).select("doc_id", "__n_dropped").collect()}
+    got = {r[0]: r[1] for r in line_dedup.dedup_lines(documents(spark, rows)).select("row.doc_id", "n_dropped").collect()}
     assert sum(got.values()) == len(base)
     assert got == brute_dropped(rows)
 
@@ -360,7 +360,7 @@ def test_line_dedup_of_short_lines(spark):
     for n in range(1, 45):
         line = "".join(rng.choice("abcdefghij ") for _ in range(n - 1)) + "k"
         rows += [(10 * n + k, x, "s") for k, x in enumerate([line, line[:-1] + "x", line[:-2] + "yz", line + "!", line + "??", line[:-1]]) if x.strip()]
-    got = {r[0]: r[1] for r in line_dedup.dedup_lines(documents(spark, rows)).select("doc_id", "__n_dropped").collect()}
+    got = {r[0]: r[1] for r in line_dedup.dedup_lines(documents(spark, rows)).select("row.doc_id", "n_dropped").collect()}
     assert got == brute_dropped(rows)
 
 
