@@ -9,6 +9,7 @@ import shutil
 import sys
 import tempfile
 import uuid
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -147,34 +148,41 @@ def shingle_sets(hashed: np.ndarray, first: np.ndarray, width: int) -> list[np.n
 
 # -- bounded prefilter -----------------------------------------------------
 
-BITMAP_BITS = 1 << 22
-_WORD_BITS = 1 << 15
+#: Hashed bits of a bitmap at most and at least; between them it has sixteen or more for each key.
+MOST_BITS, LEAST_BITS = 1 << 25, 1 << 20
+_PAGE_BITS = 1 << 15
 
 
-def member_bitmap(keys: DataFrame, column: str) -> DataFrame:
-    """A bitmap of BITMAP_BITS hashed bits that are set for the keys: at most
-    128 rows of 4 KB, whatever the number of keys."""
-    bit = F.pmod(F.xxhash64(F.col(column), F.lit(17)), F.lit(BITMAP_BITS))
-    return (
-        keys.select(bit.alias("__bit"))
-        .groupBy((F.col("__bit") / _WORD_BITS).cast("long").alias("__page"))
-        .agg(F.bitmap_construct_agg(F.col("__bit") % _WORD_BITS).alias("__bits"))
-    )
+class Bitmap(NamedTuple):
+    """`pages`: (page, 32-bit words), a row for each 2^15 bits of which one is set; the words take 8 KB."""
 
+    pages: DataFrame
+    bits: int
 
-def maybe_in(df: DataFrame, column: str, bitmap: DataFrame, inverse: bool = False) -> DataFrame:
+
+def member_bitmap(keys: DataFrame, column: str, n_keys: int) -> Bitmap:
+    """A bitmap of hashed bits that are set for the keys. `n_keys`, about how many there are, sizes it: at
+    most MOST_BITS, which are 8 MB, whatever the number of keys."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n_keys).bit_length()))
+    bit = F.pmod(F.xxhash64(F.col(column), F.lit(17)), F.lit(bits))
+    pages = keys.select(bit.alias("__bit")).groupBy((F.col("__bit") / _PAGE_BITS).cast("long").alias("__page")).agg(F.bitmap_construct_agg(F.col("__bit") % _PAGE_BITS).alias("__bits"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(_PAGE_BITS // 32 - 1)), lambda i: F.conv(F.hex(F.substring("__bits", 4 * i + 1, F.lit(4))), 16, 10).cast("long"))
+    return Bitmap(pages.select("__page", words.alias("__words")), bits)
+
+
+def maybe_in(df: DataFrame, column: str, bitmap: Bitmap, inverse: bool = False) -> DataFrame:
     """Rows of `df` whose key may be among the bitmap's keys: all that are, and
-    some that are not. The broadcast side has at most 128 rows of 4 KB. Used
-    before a join, so that rows without a partner aren't shuffled. `inverse`
-    gives the rows that surely have none."""
-    bit = F.pmod(F.xxhash64(F.col(column), F.lit(17)), F.lit(BITMAP_BITS))
-    marked = df.withColumn("__bit", bit).withColumn("__page", (F.col("__bit") / _WORD_BITS).cast("long"))
-    inside = (F.col("__bit") % _WORD_BITS).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), (inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.getbit(byte, (inside % 8).cast("int")) == 1
-    joined = marked.join(F.broadcast(bitmap), "__page", "left")
+    some that are not. Used before a join, so that rows without a partner aren't
+    shuffled. `inverse` gives the rows that surely have none."""
+    bit = F.pmod(F.xxhash64(F.col(column), F.lit(17)), F.lit(bitmap.bits))
+    marked = df.withColumn("__bit", bit).withColumn("__page", (F.col("__bit") / _PAGE_BITS).cast("long"))
+    # The bytes of a word stand from the highest down, the bits of a byte from the lowest up.
+    inside = (F.col("__bit") % _PAGE_BITS).cast("int")
+    place = (24 - inside.bitwiseAND(F.lit(24))) + inside.bitwiseAND(F.lit(7))
+    is_set = F.getbit(F.get("__words", F.shiftright(inside, 5)), place) == 1
+    joined = marked.join(F.broadcast(bitmap.pages), "__page", "left")
     hit = F.coalesce(is_set, F.lit(False))
-    return joined.where(~hit if inverse else hit).drop("__page", "__bit", "__bits")
+    return joined.where(~hit if inverse else hit).drop("__page", "__bit", "__words")
 
 
 # -- connected components --------------------------------------------------

@@ -260,7 +260,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
 def _sets_of(texts: DataFrame, there: DataFrame, width: int) -> DataFrame:
     """(node, shingles) of the nodes that share a bucket, made again from the
     texts: far less to write than the sets of all documents."""
-    some = maybe_in(texts, "doc_id", member_bitmap(there, "doc_id"))
+    some = maybe_in(texts, "doc_id", member_bitmap(there, "doc_id", there.count()))
     some = some.join(there, "doc_id").select("node", "text")
     return stage(some.mapInArrow(_node_sets(width), "node bigint, shingles binary"), "near-sets")
 
