@@ -7,26 +7,27 @@ batches. No row ever fails a stage: what goes wrong is text in `error`."""
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import is_blank, without_fences
 
+# The most characters of a text that are sent, and the texts of errors and prompts.
 TEXT_LIMIT = 25_000
 NO_TEXT = "Could not extract text from file. It may be empty, corrupted, or an image-based document."
+_STRIPPED = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _PERSON = "struct<name:string,oib:string,address:string,role:string>"
 PARTIES = f"array<{_PERSON}>"
-# Types, not texts: this module is imported before there is a session.
-_RESULT = T.StructType([T.StructField(c, T.StringType()) for c in ("case_number", "decision_date", "summary")])
-_REPLY = T.StructType([T.StructField("result", _RESULT), T.StructField("raw_json", T.StringType()), T.StructField("error", T.StringType())])
+_REPLY = "result struct<case_number:string,decision_date:string,summary:string>, raw_json string, error string"
 
 
 def prompt(text: Column, participants: Column) -> Column:
     """The request for one document. Participants that are known but none still read as a list."""
+    # The wording of the request.
     people = F.when(participants.isNotNull(), F.concat(F.lit("The main participants in this case are: "), pretty_json(participants), F.lit(".")))
     known = F.coalesce(people, F.lit("Participant information was not available from the source page."))
     ask = (
@@ -37,14 +38,13 @@ def prompt(text: Column, participants: Column) -> Column:
     return F.concat(known, F.lit(ask), F.left(text, F.lit(TEXT_LIMIT)))
 
 
-@F.pandas_udf(T.StringType())
 def _indented(packed: pd.Series) -> pd.Series:
     return packed.map(lambda x: None if x is None else json.dumps(json.loads(x), indent=2, ensure_ascii=False))
 
 
 def pretty_json(value: Column) -> Column:
     """JSON with an indent of two, byte for byte as usual (Spark's own pretty form differs)."""
-    return _indented(F.to_json(value, {"ignoreNullFields": "false"}))
+    return F.pandas_udf(_indented, "string")(F.to_json(value, {"ignoreNullFields": "false"}))
 
 
 def strict_reply(reply: str | None) -> dict:
@@ -64,18 +64,22 @@ def strict_reply(reply: str | None) -> dict:
     return {"result": {"case_number": say("caseNumber"), "decision_date": say("decisionDate"), "summary": say("summary")}, "raw_json": json.dumps(found, ensure_ascii=False)}
 
 
-@F.pandas_udf(_REPLY)
-def _parsed(cleaned: pd.Series) -> pd.DataFrame:
-    rows = [{"result": None, "raw_json": None, "error": None} | strict_reply(x) for x in cleaned]
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    """Rows of `strict_reply` as a frame; missing fields are null."""
+    full = [{"result": None, "raw_json": None, "error": None} | x for x in rows]
+    frame = pd.DataFrame(full, columns=["result", "raw_json", "error"])
     none = {"case_number": None, "decision_date": None, "summary": None}
-    frame = pd.DataFrame(rows, columns=["result", "raw_json", "error"])
-    frame["result"] = [r or none for r in frame["result"]]
+    frame["result"] = [x["result"] or none for x in full]
     return frame
 
 
+def _parsed(cleaned: pd.Series) -> pd.DataFrame:
+    return _frame([strict_reply(x) for x in cleaned])
+
+
 def parse_reply(reply: Column) -> Column:
     """struct<result, raw_json, error> of a model's reply, fences taken off first."""
-    return _parsed(without_fences(reply))
+    return F.pandas_udf(_parsed, _REPLY)(without_fences(reply))
 
 
 def calls(make: Callable[[], Callable[[str], str]]):
@@ -96,27 +100,48 @@ def calls(make: Callable[[], Callable[[str], str]]):
     return run
 
 
-def first_words(prompt_text: str) -> str:
-    """The default analyzer: the text's first 200 characters as summary, no model at all."""
+def _answers(make: Callable[[], Callable[[str], str]]):
+    """A column function from prompts to struct<result, raw_json, error>: call and strict reading in one pass."""
+
+    def run(prompts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        call = make()
+        for batch in prompts:
+            rows = []
+            for p in batch:
+                try:
+                    rows.append({} if p is None else strict_reply(plain(call(p))))
+                except Exception as e:  # noqa: BLE001  a row's failure is data
+                    rows.append({"error": str(e) or type(e).__name__})
+            yield _frame(rows)
+
+    return F.pandas_udf(run, _REPLY)
+
+
+def plain(reply: str | None) -> str | None:
+    """A reply without fences and outer white space; `without_fences` for one string."""
+    return None if reply is None else re.sub("```json\n|```", "", reply).strip(_STRIPPED)
+
+
+def whole_text(prompt_text: str) -> str:
+    """The default analyzer: the text itself as summary, no model at all."""
     text = prompt_text.partition("Text:\n\n")[2]
-    return "```json\n" + json.dumps({"caseNumber": None, "decisionDate": None, "summary": text[:200]}, ensure_ascii=False) + "\n```"
+    return "```json\n" + json.dumps({"caseNumber": None, "decisionDate": None, "summary": text}, ensure_ascii=False) + "\n```"
 
 
 def default_analyzer() -> Callable[[str], str]:
-    return first_words
+    return whole_text
 
 
 def analyze(files: DataFrame, make: Callable[[], Callable[[str], str]] = default_analyzer) -> DataFrame:
     """`files` (text, participants, ...) with ai_result, raw_json and error. Parties
     come from the entry, whatever the model says of them; blank texts aren't sent."""
     asked = F.when(~is_blank("text"), prompt(F.col("text"), F.col("participants").cast(PARTIES)))
-    called = files.withColumn("__call", calls(make)(asked))
-    read = called.withColumn("__read", parse_reply(F.col("__call.reply")))
-    error = F.when(is_blank("text"), F.lit(NO_TEXT)).when(F.col("__call.error").isNotNull(), F.col("__call.error")).otherwise(F.col("__read.error"))
+    read = files.withColumn("__asked", asked).withColumn("__read", _answers(make)("__asked"))
+    error = F.when(F.col("__asked").isNull(), F.lit(NO_TEXT)).otherwise(F.col("__read.error"))
     parties = F.coalesce(F.col("participants").cast(PARTIES), F.array().cast(PARTIES))
     done = read.withColumn("error", error)
     result = F.when(F.col("error").isNull(), F.col("__read.result").withField("parties", parties))
-    return done.withColumn("ai_result", result).withColumn("raw_json", F.when(F.col("error").isNull(), F.col("__read.raw_json"))).drop("__call", "__read")
+    return done.withColumn("ai_result", result).withColumn("raw_json", F.when(F.col("error").isNull(), F.col("__read.raw_json"))).drop("__asked", "__read")
 
 
 def status(has_documents: Column, error: Column) -> Column:

@@ -79,6 +79,17 @@ def token_content(content: str = "content", text: str = "text", chunk: str = "ch
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in (content, text, chunk)])
 
 
+def token_frames(items: DataFrame, key: str = "conv_id", order: str = "turn", failed: str = "failed") -> DataFrame:
+    """(key, order, frame): a streamed item's frame; empty items make none. From the first item whose
+    stream `failed` on, one error frame stands in place of all that would follow."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.max(F.col(failed).cast("int")).over(before), F.lit(0)) == 1
+    said = token_content()
+    body = F.when(F.col(failed), F.to_json(F.struct(F.lit("Streaming failed").alias("error")))).when(said.isNotNull(), F.to_json(F.struct(said.alias("content"))))
+    rows = items.withColumns({"__later": earlier, "__body": body}).where(~F.col("__later") & F.col("__body").isNotNull())
+    return rows.select(key, order, F.concat(F.lit("data: "), "__body", F.lit("\n\n")).alias("frame"))
+
+
 def frames(chunks: DataFrame, key: str = "conv_id", order: str = "seq", chunk: str = "chunk", buffered: bool = True) -> DataFrame:
     """Event frames out of text chunks: (key, frame_no, payload). Frames end at a blank line and begin
     with "data:". Buffered, a frame may reach over chunks, and what is left at the end counts too;

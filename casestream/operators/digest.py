@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ordered_text, truthy
+from .analyze import calls
 
 # The texts that stand for a missing analysis.
 NO_DATA = "Nema dostupnih podataka za generiranje analize."
@@ -50,8 +53,14 @@ def per_term(entries: DataFrame, term: str = "search_term") -> DataFrame:
     return both.select(term, "n_cases", "n_docs", F.when(F.col("n_cases") == 1, one).otherwise(F.col("several")).alias("context"))
 
 
+def final_summary(n_docs: Column) -> Column:
+    """What an entry without documents says in place of a summary; null for others."""
+    return F.when(F.coalesce(n_docs, F.lit(0)) == 0, F.lit(NO_DOCUMENTS))
+
+
 def synthesis_prompt(n_cases: Column, context: Column) -> Column:
     """The request for the final text; null where the context is already final."""
+    # The wording of both requests.
     one = F.concat(F.lit("Synthesize the following summaries into a coherent overview (in Croatian):\n\n"), context, F.lit(". Try to extrapolate what might happen next in the case going forward, and what the next steps are for the parties involved."))
     several = F.concat(
         F.lit("Synthesize the following "),
@@ -60,4 +69,15 @@ def synthesis_prompt(n_cases: Column, context: Column) -> Column:
         context,
         F.lit(". In case there are any numerical figures try to arrange them into a table for clarity."),
     )
-    return F.when((n_cases == 1) & (context == NO_SUMMARY), F.lit(None).cast("string")).when(n_cases == 1, one).otherwise(several)
+    return F.when((n_cases == 0) | ((n_cases == 1) & (context == NO_SUMMARY)), F.lit(None).cast("string")).when(n_cases == 1, one).otherwise(several)
+
+
+def final_texts(digest: DataFrame, make: Callable[[], Callable[[str], str]], terms: DataFrame | None = None, term: str = "search_term") -> DataFrame:
+    """(term, n_cases, analysis) of `per_term` rows: the model's text, or the one that says that its
+    call failed, that no summary is good, or, for those of `terms` without entries, that there is no data."""
+    every = digest if terms is None else terms.select(term).distinct().join(digest, term, "left")
+    every = every.withColumn("n_cases", F.coalesce("n_cases", F.lit(0)).cast("long"))
+    asked = every.withColumn("__said", calls(make)(synthesis_prompt(F.col("n_cases"), F.col("context"))))
+    failed = F.when(F.col("n_cases") == 1, F.lit(SINGLE_FAILED)).otherwise(F.lit(SEVERAL_FAILED))
+    said = F.when(F.col("__said.error").isNotNull(), failed).otherwise(F.coalesce("__said.reply", "context"))
+    return asked.select(term, "n_cases", F.when(F.col("n_cases") == 0, F.lit(NO_DATA)).otherwise(said).alias("analysis"))

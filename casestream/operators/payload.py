@@ -60,6 +60,18 @@ def progress_events(entries: DataFrame, term: str = "search_term") -> DataFrame:
     return all_events.select(term, seq.alias("seq"), "e.step", "e.progress", "e.message")
 
 
+def error_events(failed: DataFrame, term: str = "search_term", default: str = "Došlo je do greške u obradi.") -> DataFrame:
+    """The events of a run that ends early, in the same columns: `failed` has the term, `message` (null:
+    the default) and `begun`, whether the search had begun. The pipeline and the server both report an error."""
+    event = lambda step, progress, message: F.struct(F.lit(step).alias("step"), F.lit(float(progress)).alias("progress"), message.alias("message"))
+    said = or_else("message", default)
+    start = event("starting", 5, F.lit("Vaš zahtjev je započeo s obradom..."))
+    scraping = event("scraping", 10, F.lit("Pretražujem sudske zapise za nedavne objave..."))
+    wrong = [event("error", 100, said)]
+    events = F.when(F.col("begun"), F.array(start, scraping, *wrong * 2)).otherwise(F.array(start, *wrong))
+    return failed.select(term, F.posexplode(events).alias("k", "e")).select(term, (F.col("k") + 1).alias("seq"), "e.step", "e.progress", "e.message")
+
+
 def download_progress(files: DataFrame, case: list[str], position: str) -> DataFrame:
     """Each downloaded file's progress from 50 to 80."""
     done = F.count(F.lit(1)).over(Window.partitionBy(*case).orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -7,13 +7,14 @@ e AS (SELECT source AS search_term, doc_id, lang, text,
              row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS pos FROM documents)"""
 
 
-def _case_rows(n: int, length: int) -> str:
+def _case_rows(n: int) -> str:
     return f"""{_ENTRIES},
 t AS (SELECT e.search_term, e.pos, e.doc_id, 'Document ' || e.doc_id AS title, e.lang AS date,
-             nullif(CASE WHEN l.doc_id IS NOT NULL THEN left(e.text, {length}) END, '') AS summary
+             nullif(CASE WHEN l.doc_id IS NOT NULL THEN e.text END, '') AS summary
       FROM e LEFT JOIN labels l ON l.doc_id = e.doc_id WHERE e.pos <= {n})"""
 
 
+# The wording of texts and prompts here and below.
 _NO = "Analiza dokumenata nije uspješno izvršena za jedinu pronađenu objavu."
 
 
@@ -35,8 +36,8 @@ _SINGLE = """SELECT search_term, 1 AS case_pos, any_value(title) AS title, any_v
   string_agg(summary, chr(10) ORDER BY pos) AS lines, string_agg(summary, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS single
   FROM t GROUP BY search_term"""
 
-_DIGEST = f"WITH {_case_rows(2, 200)}, {_terms(_TWO)} SELECT * FROM d"
-_ONE_CASE = f"WITH {_case_rows(3, 80)}, {_terms(_SINGLE)} SELECT * FROM d"
+_DIGEST = f"WITH {_case_rows(2)}, {_terms(_TWO)} SELECT * FROM d"
+_ONE_CASE = f"WITH {_case_rows(3)}, {_terms(_SINGLE)} SELECT * FROM d"
 
 _SUBS = "subs AS (SELECT c_custkey AS id, c_name AS email, c_mktsegment AS search_term, c_acctbal > 0 AS is_active, md5(c_name) AS token FROM customer)"
 _REQUESTS = f"""{_SUBS},
@@ -105,8 +106,8 @@ SELECT source AS search_term, count(*) AS n_results, CAST(count(DISTINCT lang) A
 FROM documents GROUP BY source""",
     "comparative_context": f"""
 WITH t AS (SELECT source AS search_term, lang, d.doc_id, dense_rank() OVER (PARTITION BY source ORDER BY lang) AS case_pos,
-                  nullif(CASE WHEN quality = 1 THEN left(text, 30) END, '') AS summary
-           FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id), {_terms('''
+                  nullif(CASE WHEN quality = 1 THEN text END, '') AS summary
+           FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id DESC) AS nth FROM documents) d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE nth <= 20), {_terms('''
   SELECT search_term, case_pos, any_value(lang) AS title, CAST(NULL AS VARCHAR) AS date, count(*) AS n_docs,
          string_agg(summary, chr(10) ORDER BY doc_id) AS lines, string_agg(summary, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS single
   FROM t GROUP BY search_term, case_pos''')}
@@ -123,15 +124,19 @@ SELECT search_term, CAST(count(*) AS INTEGER) AS n_cases, CAST(count(*) FILTER (
        CAST(count(*) FILTER (doc_id % 5 <> 0 AND regexp_matches(text, '[^\\s]')) AS INTEGER) AS n_good, 'Document ' || max(doc_id) AS first_title
 FROM e WHERE pos <= 2 GROUP BY search_term""",
     "prompt_text": """
-SELECT doc_id, md5((CASE WHEN doc_id % 2 = 0 THEN 'The main participants in this case are: [].' ELSE 'Participant information was not available from the source page.' END)
+SELECT doc_id, md5((CASE WHEN doc_id % 3 = 0 THEN 'The main participants in this case are: [].'
+  WHEN doc_id % 3 = 1 THEN 'The main participants in this case are: [' || chr(10) || person || ',' || chr(10) || person || chr(10) || '].' ELSE 'Participant information was not available from the source page.' END)
   || ' From the court document text below, extract key information as a JSON object with the following keys: "caseNumber", "decisionDate", and "summary" (a medium-sized paragraph, nicely formatted, to be in Croatian please, as that is what our customers speak).'
   || chr(10) || '                Do include any important figures (currency amounts) you find in the summary. Provide ONLY the json object and nothing else. Text:' || chr(10) || chr(10)
   || left(text, 25000)) AS prompt_md5
-FROM documents""",
+FROM (SELECT *, '  {' || chr(10) || '    "name": "Ana \\"A\\"",' || chr(10) || '    "oib": "00000000001",' || chr(10) || '    "address": null,' || chr(10) || '    "role": "' || lang || '"' || chr(10) || '  }' AS person FROM documents)""",
     "model_extract": """
-SELECT doc_id, left(text, 200) AS summary, CAST(0 AS INTEGER) AS n_parties, CAST(NULL AS VARCHAR) AS error FROM documents""",
+WITH d AS (SELECT doc_id, length(left(text, 25000)) % 5 AS k, left(text, 25000) AS t, doc_id % 11 = 0 OR NOT regexp_matches(text, '[^\\s]') AS blank FROM documents)
+SELECT doc_id, CASE WHEN NOT blank AND k > 1 THEN t END AS summary, CASE WHEN NOT blank AND k > 1 THEN CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) END AS n_parties,
+       CASE WHEN blank THEN 'Could not extract text from file. It may be empty, corrupted, or an image-based document.' WHEN k = 0 THEN 'the model is down'
+            WHEN k = 1 THEN 'AI returned non-JSON response: "Sorry,..."' END AS error FROM d""",
     "progress_events": f"""
-WITH {_case_rows(2, 200)},
+WITH {_case_rows(2)},
 c AS (SELECT *, count(*) OVER (PARTITION BY search_term) AS n, CASE WHEN summary IS NOT NULL THEN 1 ELSE 0 END AS docs FROM t),
 x AS (
   SELECT DISTINCT search_term, unnest([-3, -2, -1]) AS place, unnest(['starting', 'scraping', 'processing_setup']) AS step, CAST(unnest([5, 10, 20]) AS DOUBLE) AS progress,
@@ -145,13 +150,13 @@ x AS (
 SELECT search_term, CAST(row_number() OVER (PARTITION BY search_term ORDER BY place) AS INTEGER) AS seq, step, progress, message FROM x""",
     "download_progress": """
 SELECT source AS search_term, doc_id, CAST(50 + floor(row_number() OVER (PARTITION BY source ORDER BY doc_id) / count(*) OVER (PARTITION BY source) * 30 + 0.5) AS BIGINT) AS progress
-FROM documents WHERE lang = 'en'""",
+FROM documents""",
     "safe_names": """
 WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name || ' č/' || p_partkey || '.Pdf' END AS x FROM part)
 SELECT p_partkey, left(regexp_replace(coalesce(nullif(x, ''), 'document'), '[^a-zA-Z0-9_-]', '_', 'g'), 40) AS download_name,
        regexp_replace(coalesce(nullif(x, ''), 'Document_' || p_partkey), '[^a-zA-Z0-9]', '_', 'g') || '.md' AS export_name FROM n""",
     "markdown_export": f"""
-WITH {_case_rows(2, 60)}, {_terms(_TWO)},
+WITH {_case_rows(2)}, {_terms(_TWO)},
 n AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'Document_1' ELSE 'file ' || doc_id END AS x FROM t)
 SELECT search_term, CAST(pos AS INTEGER) AS case_pos, regexp_replace(x, '[^a-zA-Z0-9]', '_', 'g') || '.md' AS file_name,
        '# ' || x || chr(10) || chr(10) || coalesce(summary, 'No analysis available') AS content FROM n
@@ -182,6 +187,50 @@ SELECT id AS subscription_id, identifier, email AS recipient, 'Nova objava za Va
   || '<p><strong>Sud:</strong> N/A</p>' || chr(10) || '<p><strong>Datum objave:</strong> ' || date || '</p>' || chr(10) || '<hr>' || chr(10) || '<h2>AI Analiza:</h2>' || chr(10) || '<div>Analysis of ' || case_number || '</div>' || chr(10)
   || '<p><a href="http://host.example">Pogledajte originalnu objavu</a></p>' || chr(10) || '<hr>' || chr(10) || '<p>Ne želite više primati ove obavijesti? <a href="/api/unsubscribe/' || token || '">Odjavite se</a>.</p>' || chr(10)) AS body_md5
 FROM due""",
+    "change_feed": f"""
+WITH {_FOLLOW},
+w AS (SELECT CAST(o_custkey AS VARCHAR) AS term, CAST(o_orderkey AS VARCHAR) AS num, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS name,
+             row_number() OVER (PARTITION BY o_custkey ORDER BY pos) AS n
+      FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS pos FROM orders) WHERE o_orderkey % 2 = 0),
+n AS (SELECT f.id, f.last_seen, token, term, num, day, name, num || ' - ' || day AS now, f.is_active AND num || ' - ' || day IS DISTINCT FROM f.last_seen AND w.term IS NOT NULL AS changed
+      FROM f LEFT JOIN w ON w.term = f.search_term AND w.n = 1)
+SELECT id, CASE WHEN changed AND id % 4 <> 0 THEN now ELSE last_seen END AS last_seen_case_identifier,
+  CASE WHEN changed THEN md5('<h1>Pronađena je nova sudska objava!</h1>' || chr(10) || '<p>Pronašli smo novu objavu za pojam koji pratite: <strong>' || term || '</strong></p>' || chr(10)
+  || '<hr>' || chr(10) || '<h2>Detalji objave:</h2>' || chr(10) || '<p><strong>Naziv:</strong> ' || name || '</p>' || chr(10) || '<p><strong>Broj predmeta:</strong> ' || num || '</p>' || chr(10)
+  || '<p><strong>Sud:</strong> N/A</p>' || chr(10) || '<p><strong>Datum objave:</strong> ' || day || '</p>' || chr(10) || '<hr>' || chr(10) || '<h2>AI Analiza:</h2>' || chr(10) || '<div>About ' || num || '</div>' || chr(10)
+  || '<p><a href="http://host.example">Pogledajte originalnu objavu</a></p>' || chr(10) || '<hr>' || chr(10) || '<p>Ne želite više primati ove obavijesti? <a href="/api/unsubscribe/' || token || '">Odjavite se</a>.</p>' || chr(10)) END AS body_md5
+FROM n""",
+    "synthesis_texts": f"""
+WITH u AS (SELECT search_term, n_cases, context FROM ({_DIGEST}) UNION ALL SELECT search_term || '*', n_cases, context FROM ({_ONE_CASE})
+           UNION ALL SELECT search_term || '?', 0, NULL FROM ({_DIGEST})),
+p AS (SELECT *, CASE WHEN n_cases = 0 OR (n_cases = 1 AND context = '{_NO}') THEN NULL
+  WHEN n_cases = 1 THEN 'Synthesize the following summaries into a coherent overview (in Croatian):' || chr(10) || chr(10) || context || '. Try to extrapolate what might happen next in the case going forward, and what the next steps are for the parties involved.'
+  ELSE 'Synthesize the following ' || n_cases || ' summaries into a coherent overview, in Croatian. Try to predict the most likely developments in the case, as well as what the next steps are for the parties involved.' || chr(10) || '    Here is the data:' || chr(10) || context || '. In case there are any numerical figures try to arrange them into a table for clarity.' END AS prompt FROM u)
+SELECT search_term, n_cases, CASE WHEN n_cases = 0 THEN 'Nema dostupnih podataka za generiranje analize.' WHEN prompt IS NULL THEN context
+  WHEN length(prompt) % 3 = 0 THEN CASE WHEN n_cases = 1 THEN 'Greška pri generiranju završnog sažetka.' ELSE 'Greška pri generiranju usporedne analize.' END
+  ELSE 'Overview of ' || length(prompt) END AS analysis FROM p""",
+    "progress_errors": """
+WITH o AS (SELECT o_orderkey AS search_term, CASE WHEN o_orderkey % 3 = 0 THEN 'Došlo je do greške u obradi.' ELSE 'No entry for ' || o_orderpriority END AS said, o_orderkey % 2 = 0 AS begun FROM orders)
+SELECT search_term, 1 AS seq, 'starting' AS step, CAST(5 AS DOUBLE) AS progress, 'Vaš zahtjev je započeo s obradom...' AS message FROM o
+UNION ALL SELECT search_term, 2, 'scraping', 10, 'Pretražujem sudske zapise za nedavne objave...' FROM o WHERE begun
+UNION ALL SELECT search_term, 3, 'error', 100, said FROM o WHERE begun
+UNION ALL SELECT search_term, 4, 'error', 100, said FROM o WHERE begun
+UNION ALL SELECT search_term, 2, 'error', 100, said FROM o WHERE NOT begun""",
+    "token_frames": """
+SELECT conv_id, turn, CASE WHEN turn = 3 THEN 'data: {"error":"Streaming failed"}' ELSE 'data: {"content":"' || role || '"}' END || chr(10) || chr(10) AS frame
+FROM conversations WHERE turn = 3 OR (turn % 2 = 1 AND (turn < 3 OR conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn = 3)))""",
+    "nested_payload": f"""
+WITH {_ENTRIES},
+c AS (SELECT *, doc_id % 5 <> 0 AS there, NOT regexp_matches(text, '[^\\s]') AS blank FROM e WHERE pos <= 2),
+p AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN '[{{"name":"Ana","oib":"00000000001","address":"N/A","role":"' || lang || '"}}]' END AS people FROM c),
+j AS (SELECT search_term, pos, CASE WHEN there AND NOT blank THEN left(text, 25000) END AS summary, 'Document ' || doc_id AS title, lang, there,
+        '{{"caseResult":{{"title":"Document ' || doc_id || '","case_number":"' || doc_id || '","court":"Court","date":"' || lang || '","detail_link":"http://host.example/' || doc_id || '"'
+        || CASE WHEN people IS NULL THEN '' ELSE ',"participants":' || people END || '}},"files":[' || CASE WHEN there THEN '{{"url":"http://host.example/a.zip","text":"a.txt"}}' ELSE '' END
+        || '],"analysis":{{"individualAnalyses":[' || CASE WHEN NOT there THEN ''
+             WHEN blank THEN '{{"fileName":"a.txt","error":"Could not extract text from file. It may be empty, corrupted, or an image-based document."}}'
+             ELSE '{{"fileName":"a.txt","aiResult":{{"summary":' || CAST(to_json(left(text, 25000)) AS VARCHAR) || ',"parties":' || coalesce(people, '[]') || '}}}}' END || ']}}}}' AS body FROM p),
+{_terms("SELECT search_term, pos AS case_pos, title, lang AS date, 1 AS n_docs, summary AS lines, summary AS single FROM j")}
+SELECT search_term, (SELECT '[' || string_agg(body, ',' ORDER BY pos) || ']' FROM j WHERE j.search_term = d.search_term) AS processed_cases, context AS comparative_analysis FROM d""",
     "daily_check_notices": f"""
 WITH {_FOLLOW} SELECT id, identifier, 'About ' || case_number AS analysis FROM due WHERE CAST(case_number AS BIGINT) % 2 = 0""",
     "chat_normalised": f"""
@@ -224,10 +273,10 @@ SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orde
        'http://host.example/objave/' || o_orderkey AS detail_link, 'St-' || o_orderkey || '/2000' AS case_number, 'Court ' || o_orderpriority AS court,
        strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 2 = 0 THEN 'http://host.example/d/preuzimanje' END AS document_download_link,
        'Ana ' || o_orderpriority || '|00000000001|N/A|Party' AS person
-FROM orders WHERE o_custkey <= 200""",
+FROM orders""",
     "html_entries_plain": """
 SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS result_pos, 'Title ' || o_orderkey AS title, 'Court ' || o_orderpriority AS court
-FROM orders WHERE o_custkey <= 200""",
+FROM orders""",
     "html_links": "SELECT page_id, CAST(0 AS INTEGER) AS link_pos, '/x' || page_id || '/preuzimanje' AS path, 'A b' AS text FROM pages",
     "html_navigation": """
 SELECT page_id, CAST(len(regexp_extract_all(regexp_extract(html, '(?s)<nav>.*?</nav>'), '<li><a href=')) AS BIGINT) AS n_links FROM pages

@@ -22,6 +22,7 @@ from ..operators import limits as L
 from ..operators import payload as P
 from ..operators import select as S
 from ..operators import subscriptions as U
+from ..session import scratch
 from ..sources import files as Files
 from ..sources import html as H
 from ..sources.tables import table
@@ -38,16 +39,16 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").withColumnRenamed("source", "search_term")
 
 
-def _case_rows(spark: SparkSession, sf: str, n: int, length: int) -> DataFrame:
+def _case_rows(spark: SparkSession, sf: str, n: int) -> DataFrame:
     """The newest n documents of each term as entries of one document each, analysed if labelled."""
     chosen = S.latest_n(_documents(spark, sf), n, order=_newest())
     labels = table(spark, sf, "labels").select("doc_id", F.lit(True).alias("analysed"))
-    title, summary = F.concat(F.lit("Document "), F.col("doc_id").cast("string")), F.when(F.col("analysed"), F.left("text", F.lit(length)))
+    title, summary = F.concat(F.lit("Document "), F.col("doc_id").cast("string")), F.when(F.col("analysed"), F.col("text"))
     return chosen.join(labels, "doc_id", "left").select("search_term", "case_pos", "doc_id", title.alias("title"), F.col("lang").alias("date"), F.lit(0).alias("doc_pos"), summary.alias("summary"))
 
 
 def digest_latest_two(spark, sf):
-    return D.per_term(D.per_entry(_case_rows(spark, sf, 2, 200)))
+    return D.per_term(D.per_entry(_case_rows(spark, sf, 2)))
 
 
 def latest_n_with_documents(spark, sf):
@@ -78,14 +79,19 @@ def case_counts(spark, sf):
 
 
 def single_case_summary(spark, sf):
-    rows = _case_rows(spark, sf, 3, 80).withColumn("doc_pos", F.col("case_pos")).withColumn("case_pos", F.lit(1))
+    rows = _case_rows(spark, sf, 3).withColumn("doc_pos", F.col("case_pos")).withColumn("case_pos", F.lit(1))
     return D.per_term(D.per_entry(rows))
 
 
 def comparative_context(spark, sf):
-    docs = _documents(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
-    place = F.dense_rank().over(Window.partitionBy("search_term").orderBy("lang"))
-    rows = docs.select("search_term", place.alias("case_pos"), F.col("lang").alias("title"), F.lit(None).cast("string").alias("date"), F.col("doc_id").alias("doc_pos"), F.when(F.col("quality") == 1, F.left("text", F.lit(30))).alias("summary"))
+    """A term's languages stand for its entries, numbered from the few there are, and an entry's newest 20 documents are taken."""
+    docs = _documents(spark, sf)
+    langs = docs.select("search_term", "lang").distinct()
+    langs = langs.withColumn("case_pos", F.row_number().over(Window.partitionBy("search_term").orderBy("lang")))
+    newest = Window.partitionBy("search_term", "lang").orderBy(F.col("doc_id").desc())
+    chosen = docs.withColumn("nth", F.row_number().over(newest)).where("nth <= 20")
+    rows = chosen.join(table(spark, sf, "labels"), "doc_id", "left").join(langs, ["search_term", "lang"])
+    rows = rows.select("search_term", "case_pos", F.col("lang").alias("title"), F.lit(None).cast("string").alias("date"), F.col("doc_id").alias("doc_pos"), F.when(F.col("quality") == 1, F.col("text")).alias("summary"))
     return D.per_term(D.per_entry(rows))
 
 
@@ -94,6 +100,37 @@ def synthesis_prompts(spark, sf):
     return both.select("search_term", F.md5(D.synthesis_prompt(F.col("n_cases"), F.col("context"))).alias("prompt_md5"))
 
 
+def _answer():
+    def reply(prompt: str) -> str:
+        if len(prompt) % 3 == 0:
+            raise RuntimeError("the model is down")
+        return f"Overview of {len(prompt)}"
+
+    return reply
+
+
+def synthesis_texts(spark, sf):
+    """Terms with two entries, with one, and (named with ?) without any."""
+    two = D.per_term(D.per_entry(_case_rows(spark, sf, 2)))
+    one = single_case_summary(spark, sf).withColumn("search_term", F.concat("search_term", F.lit("*")))
+    both = two.unionByName(one)
+    none = two.select(F.concat("search_term", F.lit("?")).alias("search_term"))
+    return D.final_texts(both, _answer, both.select("search_term").union(none))
+
+
+def progress_errors(spark, sf):
+    """Runs that fail: before the search, in it, and with the default message."""
+    message = F.when(F.col("o_orderkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("No entry for "), "o_orderpriority"))
+    failed = table(spark, sf, "orders").select(F.col("o_orderkey").alias("search_term"), message.alias("message"), (F.col("o_orderkey") % 2 == 0).alias("begun"))
+    return P.error_events(failed)
+
+
+def token_frames(spark, sf):
+    """Streams that fail at their fourth turn."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 1, F.col("role")).alias("content"), F.lit(None).cast("string").alias("text"), F.lit("").alias("chunk"), (F.col("turn") == 3).alias("failed"))
+    return C.token_frames(rows)
+
+
 def _files(spark, sf):
     docs = _documents(spark, sf)
     chosen = S.latest_n(docs, 2, order=_newest())
@@ -115,22 +152,37 @@ def payload_shape(spark, sf):
 
 
 def prompt_text(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.array().cast(A.PARTIES)).alias("participants"))
+    person = F.array(F.struct(F.lit("Ana \"A\"").alias("name"), F.lit("00000000001").alias("oib"), F.lit(None).cast("string").alias("address"), F.col("lang").alias("role")))
+    people = F.when(F.col("doc_id") % 3 == 0, F.array().cast(A.PARTIES)).when(F.col("doc_id") % 3 == 1, F.concat(person, person).cast(A.PARTIES))
+    docs = table(spark, sf, "documents").select("doc_id", "text", people.alias("participants"))
     return docs.select("doc_id", F.md5(A.prompt(F.col("text"), F.col("participants"))).alias("prompt_md5"))
 
 
+def _moody():
+    def reply(prompt: str) -> str:
+        k = len(prompt.partition("Text:\n\n")[2]) % 5
+        if k == 0:
+            raise RuntimeError("the model is down")
+        return "```json\nSorry, " if k == 1 else A.whole_text(prompt)
+
+    return reply
+
+
 def model_extract(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.lit(None).cast(A.PARTIES).alias("participants"))
-    return A.analyze(docs).select("doc_id", F.col("ai_result.summary").alias("summary"), F.size("ai_result.parties").alias("n_parties"), "error")
+    """Some texts are blank, and the analyzer fails for some and says no JSON for others."""
+    text = F.when(F.col("doc_id") % 11 == 0, F.lit(" \t\n")).otherwise(F.col("text"))
+    person = F.array(F.struct(F.lit("Ana").alias("name"), F.lit("1").alias("oib"), F.lit("N/A").alias("address"), F.lit("Party").alias("role")))
+    docs = table(spark, sf, "documents").select("doc_id", text.alias("text"), F.when(F.col("doc_id") % 2 == 0, person).cast(A.PARTIES).alias("participants"))
+    return A.analyze(docs, _moody).select("doc_id", F.col("ai_result.summary").alias("summary"), F.size("ai_result.parties").alias("n_parties"), "error")
 
 
 def progress_events(spark, sf):
-    rows = _case_rows(spark, sf, 2, 200)
+    rows = _case_rows(spark, sf, 2)
     return P.progress_events(rows.select("search_term", "case_pos", "title", F.when(F.col("summary").isNotNull(), F.lit(1)).otherwise(F.lit(0)).alias("n_docs")))
 
 
 def download_progress(spark, sf):
-    docs = _documents(spark, sf).where("lang = 'en'").select("search_term", "doc_id")
+    docs = _documents(spark, sf).select("search_term", "doc_id")
     return P.download_progress(docs, ["search_term"], "doc_id").select("search_term", "doc_id", F.col("progress").cast("long").alias("progress"))
 
 
@@ -140,9 +192,9 @@ def safe_names(spark, sf):
 
 
 def markdown_export(spark, sf):
-    rows = _case_rows(spark, sf, 2, 60).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("file "), F.col("doc_id").cast("string"))))
+    rows = _case_rows(spark, sf, 2).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("file "), F.col("doc_id").cast("string"))))
     files = P.markdown_export(rows).select("search_term", "case_pos", "file_name", "content")
-    whole = P.comparison_export(D.per_term(D.per_entry(_case_rows(spark, sf, 2, 60))).withColumn("case_number", F.when(F.col("search_term") != "src1", F.col("search_term"))))
+    whole = P.comparison_export(D.per_term(D.per_entry(_case_rows(spark, sf, 2))).withColumn("case_number", F.when(F.col("search_term") != "src1", F.col("search_term"))))
     return files.unionByName(whole.select("search_term", F.lit(0).alias("case_pos"), "file_name", "content"))
 
 
@@ -234,6 +286,32 @@ def daily_check_notices(spark, sf):
     return daily_check(_followers(spark, sf, latest), latest, analyse).select("id", "identifier", "analysis")
 
 
+def change_feed(spark, sf):
+    """Cursors after a run of the feed; every fourth subscription's mail isn't delivered."""
+    from ..streaming.change_feed import change_feed as feed
+    from ..streaming.change_feed import read_cursor
+
+    latest = _latest_orders(spark, sf)
+    folder = scratch(spark, "change-feed")
+    subs = _followers(spark, sf, latest)
+    subs.write.parquet(f"{folder}/cursor/v=0")
+    # The newest order has no document where its key is odd; the one before it then counts.
+    orders = table(spark, sf, "orders")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())) - 1
+    entries = orders.select(
+        F.col("o_custkey").cast("string").alias("search_term"), place.alias("result_pos"), F.col("o_orderkey").cast("string").alias("case_number"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderpriority").alias("title"),
+        F.lit("N/A").alias("court"), F.lit("http://host.example").alias("detail_link"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("http://host.example/preuzimanje")).alias("document_download_link"), F.lit(None).cast("string").alias("document_link_text"),
+    )
+    entries.write.parquet(f"{folder}/entries")
+    stream = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 100_000).parquet(f"{folder}/entries")
+    deliver = lambda mail: mail.where("subscription_id % 4 <> 0")
+    analyse = lambda cases: cases.select("search_term", F.concat(F.lit("About "), "case_number").alias("analysis"))
+    feed(stream, f"{folder}/cursor", f"{folder}/outbox", f"{folder}/state", deliver, analyse).awaitTermination()
+    mail = spark.read.schema("subscription_id bigint, body string").parquet(f"{folder}/outbox").select("subscription_id", F.md5("body").alias("body_md5"))
+    cursor = read_cursor(spark, f"{folder}/cursor")
+    return cursor.join(mail, F.col("id") == F.col("subscription_id"), "left").select("id", "last_seen_case_identifier", "body_md5")
+
+
 def _messages(spark, sf):
     return table(spark, sf, "conversations").withColumn("content", F.when(F.col("turn") % 3 != 2, F.col("text"))).withColumn("parts", F.when(F.col("turn") % 3 == 2, F.array(F.struct(F.col("text").alias("text")))))
 
@@ -289,11 +367,12 @@ def token_bucket_stream(spark, sf):
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
-        query = stream(events, "user_id", *SCALED, expire=False).writeStream.format("memory").queryName("token_bucket_stream").outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
+        out = scratch(spark, "token-bucket")
+        writer = stream(events, "user_id", *SCALED, expire=False).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").outputMode("append")
+        writer.trigger(availableNow=True).start(out).awaitTermination()
     finally:
         spark.conf.set(provider, before) if before else spark.conf.unset(provider)
-    return spark.table("token_bucket_stream").select("event_id", F.col("key").cast("long").alias("user_id"), "allowed", "reason", "retry_after_ms")
+    return spark.read.parquet(out).select("event_id", F.col("key").cast("long").alias("user_id"), "allowed", "reason", "retry_after_ms")
 
 
 def fixed_windows(spark, sf):
@@ -330,7 +409,7 @@ _ITEM = (
 
 
 def _result_pages(spark, sf):
-    rows = table(spark, sf, "orders").where("o_custkey <= 200").select("o_custkey", "o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
     link = F.when(F.col("o_orderkey") % 2 == 0, F.lit('<a href="/d/preuzimanje">Get</a>')).otherwise(F.lit(""))
     item = F.lit(_ITEM)
     for i, c in enumerate((F.col("o_orderkey").cast("string"), F.col("o_orderpriority"), F.col("day"), link)):
@@ -406,7 +485,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         digest_latest_two, latest_n_with_documents, first_with_documents, latest_per_case, status_annotation, case_counts, single_case_summary, comparative_context,
-        synthesis_prompts, nested_payload, payload_shape, prompt_text, model_extract, progress_events, download_progress, safe_names, markdown_export, extension_ladder,
+        synthesis_prompts, synthesis_texts, progress_errors, token_frames, change_feed, nested_payload, payload_shape, prompt_text, model_extract, progress_events, download_progress, safe_names, markdown_export, extension_ladder,
         fence_strip_parse, subscribe_inserts, subscribe_conflicts, subscribe_ids, unsubscribe, active_subscriptions, change_detection, cursor_advance, mail_outbox,
         daily_check_notices, chat_normalised, chat_attachment, chat_last_n, chat_without_last, chat_running_text, chat_client_messages, chat_json_bodies, token_stream,
         token_bucket, token_bucket_stream, fixed_windows, queue_times, sse_frames, sse_frames_unbuffered, html_entries, html_entries_plain, html_links, html_navigation,

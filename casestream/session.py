@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -20,3 +25,16 @@ def session(master: str | None = None, app: str = "casestream", **more: str) ->
     for k, v in (SETTINGS | more).items():
         builder = builder.config(k, v)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name under the one that the cluster names in spark.checkpoint.dir; under a
+    folder of this machine only where the setting is absent (local mode, tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="casestream-")
+        atexit.register(shutil.rmtree, found, True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/casestream/{label}-{uuid.uuid4().hex}"

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ from ..functions.text import is_blank
 # What may be uploaded.
 UPLOAD_MIME = ("application/pdf", "image/jpeg", "image/png", "image/gif", "image/webp")
 UPLOAD_BYTES = 2 * 1024 * 1024
+#: Bytes of entries that leave a task at once, but for one larger entry.
+MOST_BYTES = 16 << 20
+_ENTRY = (pa.int32(), pa.string(), pa.binary(), pa.string())
 _PARAGRAPH = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -53,15 +57,28 @@ def expand_archives(files: DataFrame, path: str = "path", keep: list[str] | None
     keep = keep or []
     schema = ", ".join(f"{c} {files.schema[c].dataType.simpleString()}" for c in [path, *keep])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                head = list(row[:-1])
-                for i, name, content, error in _unzipped(row[-1]):
-                    yield pd.DataFrame([[*head, i, name, content, error]], columns=[path, *keep, "entry_pos", "entry_name", "content", "error"])
+            heads, contents = batch.select([path, *keep]), batch.column("content")
+            rows, found, held = [], [], 0
+
+            def flush():
+                entries = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), _ENTRY, strict=True)]
+                return pa.RecordBatch.from_arrays([*heads.take(pa.array(rows)).columns, *entries], [path, *keep, "entry_pos", "entry_name", "content", "error"])
+
+            for i in range(batch.num_rows):
+                for entry in _unzipped(contents[i].as_py()):
+                    rows.append(i)
+                    found.append(entry)
+                    held += len(entry[2] or b"")
+                    if held >= MOST_BYTES:
+                        yield flush()
+                        rows, found, held = [], [], 0
+            if rows:
+                yield flush()
 
     is_zip = F.lower(F.col(path)).endswith(".zip")
-    inside = files.where(is_zip).select(path, *keep, "content").mapInPandas(run, f"{schema}, entry_pos int, entry_name string, content binary, error string")
+    inside = files.where(is_zip).select(path, *keep, "content").mapInArrow(run, f"{schema}, entry_pos int, entry_name string, content binary, error string")
     plain = files.where(~is_zip).select(path, *keep, F.lit(0).alias("entry_pos"), F.regexp_replace(path, "^.*/", "").alias("entry_name"), "content", F.lit(None).cast("string").alias("error"))
     return inside.unionByName(plain)
 

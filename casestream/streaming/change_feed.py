@@ -1,5 +1,8 @@
 """Change detection as micro-batches: new entries in, notices out, cursors moved after delivery.
 
+A notice is of a term's newest entry that has documents, with the analysis that an
+injected function makes of it, once for each term.
+
 The cursor table is a folder of snapshots, `cursor/v=<n>`, each complete; a batch writes the
 outbox first, hands it to the injected delivery, and only then a new snapshot. If a batch
 is run again, the outbox rows have the same keys."""
@@ -12,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.payload import mail_outbox
-from ..operators.select import first_per_term
-from ..operators.subscriptions import advance, changes
+from ..operators.subscriptions import advance
+from ..plans.analysis import daily_check
 
 
 def read_cursor(spark: SparkSession, path: str) -> DataFrame:
@@ -27,14 +30,13 @@ def _next(spark: SparkSession, path: str) -> int:
     return spark.read.parquet(path).agg(F.max("v")).first()[0] + 1
 
 
-def check_batch(entries: DataFrame, batch_id: int, cursor: str, outbox: str, deliver: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """One batch: `entries` are all or new entries with result_pos. `deliver` returns the
-    outbox rows that went out; those that failed keep their old cursor and come again."""
+def check_batch(entries: DataFrame, batch_id: int, cursor: str, outbox: str, deliver: Callable[[DataFrame], DataFrame] | None = None, analyse: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """One batch: `entries` are all or new entries with result_pos and their document link. `deliver`
+    returns the outbox rows that went out; those that failed keep their old cursor and come again.
+    `analyse` maps entries to (search_term, analysis)."""
     spark = entries.sparkSession
     subscriptions = read_cursor(spark, cursor)
-    found = changes(subscriptions, first_per_term(entries))
-    if "analysis" not in found.columns:
-        found = found.withColumn("analysis", F.lit(""))
+    found = daily_check(subscriptions, entries, analyse)
     target = f"{outbox}/batch={batch_id}"
     mail_outbox(found).write.mode("overwrite").parquet(target)
     sent = spark.read.parquet(target)
@@ -42,11 +44,11 @@ def check_batch(entries: DataFrame, batch_id: int, cursor: str, outbox: str, del
     advance(subscriptions, sent.select("subscription_id", "identifier")).write.mode("overwrite").parquet(f"{cursor}/v={_next(spark, cursor)}")
 
 
-def change_feed(entries: DataFrame, cursor: str, outbox: str, checkpoint: str, deliver: Callable[[DataFrame], DataFrame] | None = None):
+def change_feed(entries: DataFrame, cursor: str, outbox: str, checkpoint: str, deliver: Callable[[DataFrame], DataFrame] | None = None, analyse: Callable[[DataFrame], DataFrame] | None = None):
     """Start the query: all there is now, then stop."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
         if not df.isEmpty():
-            check_batch(df, batch_id, cursor, outbox, deliver)
+            check_batch(df, batch_id, cursor, outbox, deliver, analyse)
 
     return entries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,4 +1,5 @@
-"""Event frames over a stream of text chunks: what follows the last blank line waits in the state."""
+"""Event frames over a stream of text chunks: what follows the last blank line waits in the
+state, and comes out as a last frame with the chunk that is marked as the connection's end."""
 
 from __future__ import annotations
 
@@ -17,14 +18,20 @@ class FrameProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         rest, number = tuple(self.state.get()) if self.state.exists() else ("", 0)
+        # The chunks of a micro-batch come in any order.
         todo = pd.concat(list(rows)).sort_values("seq")
-        *frames, rest = (rest + "".join(c or "" for c in todo["chunk"])).split("\n\n")
-        out = []
-        for frame in frames:
-            if frame.lstrip().startswith("data:"):
-                out.append((key[0], number, frame.replace("data: ", "", 1)))
-            number += 1
-        self.state.update((rest, number))
+        out, ended = [], False
+        for chunk, end in zip(todo["chunk"], todo["ended"], strict=True):
+            *frames, rest = (rest + (chunk or "")).split("\n\n")
+            ended = ended or bool(end)
+            for frame in [*frames, rest] if end else frames:
+                if frame.lstrip().startswith("data:"):
+                    out.append((key[0], number, frame.replace("data: ", "", 1)))
+                number += 1
+        if ended:
+            self.state.clear()
+        else:
+            self.state.update((rest, number))
         yield pd.DataFrame(out, columns=["key", "frame_no", "payload"])
 
     def close(self) -> None:
@@ -32,6 +39,8 @@ class FrameProcessor(StatefulProcessor):
 
 
 def frame_stream(chunks: DataFrame, key: str = "conv_id") -> DataFrame:
-    """`chunks` has the key, seq and chunk, in order from batch to batch. Complete frames only."""
-    rows = chunks.selectExpr(f"cast({key} as string) as key", "seq", "chunk")
+    """`chunks` has the key, seq, chunk and, if a connection's end is known, ended, in order from
+    batch to batch."""
+    ended = "ended" if "ended" in chunks.columns else "false as ended"
+    rows = chunks.selectExpr(f"cast({key} as string) as key", "seq", "chunk", ended)
     return rows.groupBy("key").transformWithStateInPandas(FrameProcessor(), outputStructType=OUT, outputMode="Append", timeMode="None")
