@@ -6,11 +6,14 @@ how often each labeller gives each vote, from the counts of all vote patterns of
 the whole corpus (at most 3 ** 8 patterns, so the driver gets a bounded table).
 The posterior of a pattern is the weak label of its documents. A logistic scorer
 over hashed features (words, word shapes, binned ratios) learns the posteriors of
-at most SAMPLE documents, which the hash of doc_id picks, and then judges all.
-
-Defined cases: a null text or one without words is rejected with score 0; rows
-that repeat a doc_id are judged each; an empty table gives no rows; other columns
-aren't read by `classify`, and `classifier_stage` hands them on.
+about SAMPLE documents, and of 2 * SAMPLE at most, which the hash of doc_id and text
+picks and orders; one task trains it, in a few seconds whatever the corpus. It
+then judges all.
+
+Defined cases: a null text or one without words is rejected with score 0; a text may
+be of any length; a null doc_id is handed on; rows that repeat a doc_id are judged each;
+an empty table gives no rows; other columns aren't read by `classify`, and
+`classifier_stage` hands them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -143,9 +146,9 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pattern, features): the hashed features of the sample."""
+    """(pick, pattern, features): the hashed features of the sample."""
     for batch in batches:
-        for _, data, offsets in text_slices(batch.column("text")):
+        for row, data, offsets in text_slices(batch.column("text")):
             n, ratios, word, shape, first = measure(data, offsets)
             x = np.zeros((len(n), DIMS), np.float32)
             of = np.repeat(np.arange(len(n)), np.diff(first))
@@ -155,7 +158,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in _bins(ratios).T:
                 x[np.arange(len(n)), _WORDS + _SHAPES + b] += 1 / len(ratios)
             keep = np.flatnonzero(n > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(_pattern(votes(n, ratios))[keep]), pa.array([x[i].tobytes() for i in keep], pa.binary())], ["pattern", "x"])
+            columns = [batch.column("pick").slice(row, len(n)).take(pa.array(keep)), pa.array(_pattern(votes(n, ratios))[keep]), pa.array([x[i].tobytes() for i in keep], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["pick", "pattern", "x"])
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> dict:
@@ -182,7 +186,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> dict
 
 
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer on soft labels; both classes weigh the same."""
+    """Weights and bias of a logistic scorer on soft labels; both classes weigh the same. `x` is float32 and isn't copied."""
     w, b = np.zeros(x.shape[1]), 0.0
     if not len(x):
         return w, 3.0
@@ -190,15 +194,30 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.3, de
     each /= each.sum()
     m, s = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -50, 50)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + b, -50, 50)))
         d = each * (p - y)
-        g = np.append(x.T @ d + decay * w, d.sum())
+        g = np.append(d.astype(np.float32) @ x + decay * w, d.sum())
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
     return w, b
 
 
+def _train(posterior: np.ndarray):
+    """(weights, bias, n): one row, from all the rows of the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, patterns = [np.zeros((0, DIMS), np.float32)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            patterns.append(batch.column("pattern").to_numpy())
+            x.append(np.array([np.frombuffer(v.as_buffer(), np.float32) for v in batch.column("x")], np.float32).reshape(-1, DIMS))
+        x, patterns = np.concatenate(x), np.concatenate(patterns)
+        w, b = train(x, posterior[patterns])
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([float(b)]), pa.array([len(x)])], ["weights", "bias", "n"])
+
+    return run
+
+
 _JUDGED = "doc_id bigint, n_words bigint, n_bad_votes int, weak_label double, score double, kept boolean"
 
 
@@ -225,11 +244,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     patterns, counts = (np.array([r[k] for r in counted], np.int64) for k in ("pattern", "n"))
     model = estimate(patterns, counts)
     total = max(1, int(counts.sum()))
-    pick = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(total)) < sample
-    rows = texts.where(pick).limit(2 * sample).select("text").mapInArrow(_features, "pattern bigint, x binary").collect()
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float32).reshape(-1, DIMS)
-    w, b = train(x, model["posterior"][[r["pattern"] for r in rows]] if rows else np.zeros(0))
-    return model | {"weights": w, "bias": b, "sampled": len(rows)}
+    # Equal rows share their hash, so the order, and with it the model, is the same in each run.
+    pick = F.xxhash64("doc_id", "text", F.lit(5))
+    some = texts.select(pick.alias("pick"), "text").where(F.pmod("pick", F.lit(total)) < sample)
+    rows = some.mapInArrow(_features, "pick bigint, pattern bigint, x binary").orderBy("pick").limit(2 * sample)
+    made = rows.coalesce(1).mapInArrow(_train(model["posterior"]), "weights binary, bias double, n bigint").first()
+    return model | {"weights": np.frombuffer(made["weights"]), "bias": made["bias"], "sampled": made["n"]}
 
 
 def classify(docs: DataFrame, model: dict | None = None, least: float = LEAST) -> DataFrame:
