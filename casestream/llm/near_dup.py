@@ -7,21 +7,26 @@ Documents with equal sets form a node. A node's signature has 48 lanes of 16
 bits, the low bits of 48 MinHash minima, in 12 chunks of four lanes. Two nodes
 that differ in at most 23 lanes agree, by pigeonhole, on all but one lane of
 some chunk; so each chunk is indexed four times, every time with another lane
-left out. All pairs at that distance meet in a bucket, and two sets with
-similarity 0.75 fail to meet with probability 1e-7.
+left out. All pairs at that distance meet in a bucket, and most others at a
+similarity of 0.75 do too: of 10,000 such pairs about two are farther apart, and
+those fail to meet only if besides no chunk happens to agree.
 
 A bucket never turns into all its pairs. First each node is compared with the
 nearest of the smallest and largest nodes of its buckets; the links that full sets
 confirm give a first grouping. Links inside a group can't change the groups, so only
-pairs of different groups are left: where neither group is big, those at an allowed
-distance, each in the first bucket that both share; where one is big, its nodes and
-the outside nodes that meet it in some bucket are laid in tiles, blocks of both sides'
-full sets, and of each outside node one link at most leaves a tile.
+pairs of different groups are left, and one rule holds for them: every pair that meets
+in a bucket is compared by its full sets. Where neither group is big, a pair is taken
+in the first bucket that both share; where one is big, its nodes and the outside nodes
+that meet it in some bucket are laid in tiles, blocks of both sides' full sets, and of
+each outside node one link at most leaves a tile.
 
 Defined cases: null texts and texts without words have an empty set, are linked
-with nothing and form their own component; rows that repeat a doc_id or a text
-get equal rows out; a null doc_id is not the smallest; an empty table gives an
-empty result; columns besides doc_id and text aren't read.
+with nothing and form their own component; a text may be of any length; rows that
+repeat a doc_id are linked each by its own text, and rows that repeat doc_id and text
+get equal rows out; a null doc_id comes last, so it is a component's id only where no
+row has another; an empty table gives an empty result; columns besides doc_id and text
+aren't read by `link_components`, and `near_duplicate_stage` hands them on, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from .common import components, maybe_in, member_bitmap, mix, shingle_sets, stag
 
 LANES, CHUNK, LANE_BITS = 48, 4, 16
 CHUNKS = LANES // CHUNK
-#: The distance under which the index finds every pair, and above which pairs aren't looked at.
+#: The distance up to which the index finds every pair. The first round looks at no others.
 MOST_LANES = 2 * CHUNKS - 1
 #: Pairs of each node that the first round confirms at most.
 FIRST_TRIES = 4
@@ -50,7 +55,7 @@ _RANDOM = np.random.default_rng(48)
 _MULTIPLY = _RANDOM.integers(0, 2**63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RANDOM.integers(0, 2**63, LANES, dtype=np.uint64)
 
-_SIGNED = "doc_id bigint, n_shingles bigint, node bigint, check bigint, " + ", ".join(f"s{i} bigint" for i in range(CHUNKS))
+_SIGNED = "doc_id bigint, th bigint, n_shingles bigint, node bigint, check bigint, " + ", ".join(f"s{i} bigint" for i in range(CHUNKS))
 
 
 def _signature(shingles: np.ndarray) -> np.ndarray:
@@ -78,7 +83,7 @@ def _sign(width: int):
                     node = np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
                     check = np.array([mix(s + np.uint64(99)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
                     signatures = np.array([_signature(s) if len(s) else np.zeros(CHUNKS, np.uint64) for s in sets]).view(np.int64)
-                out = [batch.column("doc_id").slice(row, len(sets)), pa.array(n), pa.array(node.view(np.int64)), pa.array(check.view(np.int64))]
+                out = [*(batch.column(c).slice(row, len(sets)) for c in ("doc_id", "th")), pa.array(n), pa.array(node.view(np.int64)), pa.array(check.view(np.int64))]
                 yield pa.RecordBatch.from_arrays([*out, *(pa.array(np.ascontiguousarray(signatures[:, i])) for i in range(CHUNKS))], [f.split()[0] for f in _SIGNED.split(", ")])
 
     return run
@@ -135,8 +140,8 @@ def _lanes(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def _near_in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): of two blocks of a bucket the pairs of different groups whose signatures are near,
-    unless an earlier bucket has the pair too: of an earlier chunk, or of an equal chunk's first lane."""
+    """(a, b): of two blocks of a bucket the pairs of different groups, unless an earlier bucket
+    has the pair too: of an earlier chunk, or of an equal chunk's first lane."""
     for batch in batches:
         for row in range(batch.num_rows):
             one, two = (batch.column(c)[row].values.flatten() for c in ("one", "two"))
@@ -149,7 +154,7 @@ def _near_in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 if not len(other):
                     continue
                 lanes = _lanes(s1[i], s2[other])
-                keep = (lanes.sum(axis=1) <= MOST_LANES) & (lanes[:, :chunk] > 1).all(axis=1) & ((lanes[:, chunk] == 1) | (lane == 0))
+                keep = (lanes[:, :chunk] > 1).all(axis=1) & ((lanes[:, chunk] == 1) | (lane == 0))
                 met = n2[other[keep]]
                 if len(met):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(met, n1[i])), pa.array(np.maximum(met, n1[i]))], ["a", "b"])
@@ -183,21 +188,45 @@ def _tile(percent: int):
 
 
 def _blocks(nodes: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """(group, nodes) to (group, [name]): lists of nodes and sets of about TILE_BYTES."""
+    """(group, nodes) to (group, part, parts, [name]): lists of nodes and sets of about TILE_BYTES."""
     held = nodes.join(sets, "node")
-    per = held.groupBy("group").agg(F.ceil(F.sum(F.length("shingles")) / TILE_BYTES).alias("parts"))
-    part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts"))
-    return held.join(per, "group").groupBy("group", part.alias("part")).agg(F.collect_list(F.struct("node", "shingles")).alias(name)).drop("part")
+    per = held.groupBy("group").agg(F.ceil(F.sum(F.length("shingles")) / TILE_BYTES).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int")
+    return held.join(per, "group").groupBy("group", "parts", part.alias("part")).agg(F.collect_list(F.struct("node", "shingles")).alias(name))
 
 
-def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach)
-    and kept (doc_id is that smallest) for each row of `docs`."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _tiles(inside: DataFrame, outside: DataFrame, sets: DataFrame) -> DataFrame:
+    """(members, outside): each block of a group's nodes with each block of its outside nodes. A tile has a key
+    of its own, so that a large group's are spread."""
+    one, two = _blocks(inside, sets, "members"), _blocks(outside, sets, "outside")
+    n_one, n_two = one.select("group", F.col("parts").alias("ps")).distinct(), two.select("group", F.col("parts").alias("qs")).distinct()
+    one = one.join(n_two, "group").select("group", F.col("part").alias("p"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), "members")
+    two = two.join(n_one, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), F.col("part").alias("q"), "outside")
+    return one.join(two, ["group", "p", "q"]).select("members", "outside")
+
+
+def _bucket_tiles(blocks: DataFrame) -> DataFrame:
+    """(slot, same, one, two): the pairs of blocks of each bucket, a bucket's only block with itself without a join."""
+    alone = blocks.where("parts = 1").select("slot", F.lit(True).alias("same"), F.col("block").alias("one"), F.col("block").alias("two"))
+    many = blocks.where("parts > 1")
+    one = many.select("key", "slot", F.col("part").alias("p"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("q"), F.col("block").alias("one"))
+    two = many.select("key", F.explode(F.sequence(F.lit(0), "part")).alias("p"), F.col("part").alias("q"), F.col("block").alias("two"))
+    return alone.union(one.join(two, ["key", "p", "q"]).select("slot", (F.col("p") == F.col("q")).alias("same"), "one", "two"))
+
+
+def _place(doc_id: str = "doc_id", th: str = "th") -> Column:
+    """Sorts rows by doc_id, null last, and then by the hash of the text."""
+    return F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("doc_id"), F.col(th).alias("th"))
+
+
+def link_rows(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, th (the hash of the text), n_shingles and first, the (last, doc_id, th) of the first
+    row that links reach, for each row of `docs`."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     signed = stage(texts.mapInArrow(_sign(width), _SIGNED), "near-signed")
     words = [f"s{i}" for i in range(CHUNKS)]
     nodes = signed.where("n_shingles > 0").groupBy("node", "check", "n_shingles")
-    nodes = stage(nodes.agg(F.min("doc_id").alias("first_doc"), *[F.first(w).alias(w) for w in words]), "near-nodes")
+    nodes = stage(nodes.agg(F.min(_place()).alias("first_row"), *[F.first(w).alias(w) for w in words]), "near-nodes")
 
     # The multi-index: 4 keys for each chunk, every time with one lane left out.
     masks = [((1 << 64) - 1) ^ (0xFFFF << (LANE_BITS * z)) for z in range(CHUNK)]
@@ -218,7 +247,8 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     tries = [F.min_by(F.struct("a", "b"), F.when(kind == i, F.struct("apart", "a", "b"))) for i in range(FIRST_TRIES)]
     nearest = both.groupBy("node").agg(F.array(*tries).alias("t")).select(F.explode("t").alias("p")).where("p is not null").select("p.a", "p.b").distinct()
     known = members.select("node").distinct()
-    there = signed.join(known, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    there = signed.join(known, "node", "left_semi").groupBy("node", "doc_id", "th").agg(F.count(F.lit(1)).alias("times"))
+    there = stage(there.groupBy("node").agg(F.min_by(F.struct("doc_id", "th", "times"), _place()).alias("x")).select("node", "x.*"), "near-there")
     sets = _sets_of(texts, there, width)
     links = stage(_confirmed(nearest, sets, percent), "near-links")
     grouped = components(links, "near-first")
@@ -231,37 +261,43 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
 
     # Neither group is big: the pairs that signatures allow.
     small = open_.where("not big").join(signatures, "node").select("key", "slot", "node", "root", *words)
-    parts = small.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET_BLOCK).alias("parts"), F.min("root").alias("__low"), F.max("root").alias("__high")).where("__low < __high").select("key", "parts")
-    blocks = small.join(parts, "key").groupBy("key", "slot", F.pmod(F.xxhash64("node", F.lit(4)), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("node", "root", *words)).alias("block"))
-    blocks = stage(blocks, "near-blocks")
-    one = blocks.select("key", "slot", F.col("part").alias("p"), F.col("block").alias("one"))
-    two = blocks.select("key", F.col("part").alias("q"), F.col("block").alias("two"))
-    met = one.join(two, "key").where("p <= q").select("slot", (F.col("p") == F.col("q")).alias("same"), "one", "two")
+    parts = small.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET_BLOCK).cast("int").alias("parts"), F.min("root").alias("__low"), F.max("root").alias("__high")).where("__low < __high").select("key", "parts")
+    blocks = small.join(parts, "key").groupBy("key", "slot", "parts", F.pmod(F.xxhash64("node", F.lit(4)), F.col("parts")).cast("int").alias("part")).agg(F.collect_list(F.struct("node", "root", *words)).alias("block"))
+    met = _bucket_tiles(stage(blocks, "near-blocks"))
     rest = met.mapInArrow(_near_in_bucket, "a bigint, b bigint")
-    later = _confirmed(rest, sets, percent)
+    later = _confirmed(stage(rest, "near-rest"), sets, percent)
 
     # One group is big: its nodes against the outside nodes that it meets, in tiles.
     hosts = open_.where("big").select("key", F.col("root").alias("group")).distinct()
     outside = open_.select("key", "node", "root", "big").join(hosts, "key").where((F.col("root") != F.col("group")) & (~F.col("big") | (F.col("root") < F.col("group"))))
     outside = stage(outside.select("group", "node").distinct(), "near-outside")
     inside = grouped.join(outside.select(F.col("group").alias("root")).distinct(), "root", "left_semi").select(F.col("root").alias("group"), "node")
-    tiles = _blocks(inside, sets, "members").join(_blocks(outside, sets, "outside"), "group")
-    across = tiles.select("members", "outside").mapInArrow(_tile(percent), "a bigint, b bigint")
+    across = _tiles(inside, outside, sets).mapInArrow(_tile(percent), "a bigint, b bigint")
     final = components(links.union(later).union(across), "near-final")
 
-    node_root = nodes.join(final, "node", "left").select("node", "check", "n_shingles", "first_doc", F.coalesce("root", "node").alias("root"))
-    first = node_root.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    node_root = stage(node_root.join(first, "root").select("node", "check", "n_shingles", "component_id"), "near-roots")
-    out = signed.select("doc_id", "n_shingles", "node", "check").join(node_root, ["node", "check", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    node_root = nodes.join(final, "node", "left").select("node", "check", "n_shingles", "first_row", F.coalesce("root", "node").alias("root"))
+    first = node_root.groupBy("root").agg(F.min("first_row").alias("first"))
+    node_root = stage(node_root.join(first, "root").select("node", "check", "n_shingles", "first"), "near-roots")
+    out = signed.select("doc_id", "th", "n_shingles", "node", "check").join(node_root, ["node", "check", "n_shingles"], "left")
+    return out.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(_place()).alias("first"))
+
+
+def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach)
+    and kept (doc_id is that smallest) for each row of `docs`."""
+    component = F.col("first.doc_id")
+    return link_rows(docs, width, percent).select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _sets_of(texts: DataFrame, there: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of the nodes that share a bucket, made again from the
-    texts: far less to write than the sets of all documents."""
-    some = maybe_in(texts, "doc_id", member_bitmap(there, "doc_id", there.count()))
-    some = some.join(there, "doc_id").select("node", "text")
+    """(node, shingles) of the nodes that share a bucket, made again from the texts of one row
+    each: far less to write than the sets of all documents."""
+    key = F.xxhash64("doc_id", "th").alias("key")
+    wanted = there.select(key, "node", F.col("doc_id").alias("d"), F.col("th").alias("t"))
+    some = maybe_in(texts.select("doc_id", "th", "text", key), "key", member_bitmap(wanted, "key", there.count()))
+    some = some.join(wanted, "key").where(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("node", "text")
+    if not there.where("times > 1").isEmpty():  # equal rows: one is enough
+        some = some.groupBy("node").agg(F.first("text").alias("text"))
     return stage(some.mapInArrow(_node_sets(width), "node bigint, shingles binary"), "near-sets")
 
 
@@ -272,11 +308,17 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id stays. Rows
-    that repeat that doc_id stay with it, and so do rows without a doc_id or without words."""
-    found = link_components(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(found, F.col("doc_id") == F.col("__gone"), "left_anti")
-    return left.select(*docs.columns)
+    """Pipeline stage: of each component the row with the smallest doc_id stays (null last; of rows with
+    that doc_id one by the hash of the text), and rows that repeat its doc_id and text with it.
+    Each row goes by its own text. Rows without words stay."""
+    found = link_rows(docs).where((F.col("n_shingles") > 0) & ~_place().eqNullSafe(F.col("first")))
+    gone = stage(found.select(F.xxhash64("doc_id", "th").alias("gone_key"), F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct(), "near-gone")
+    doc, th = F.col("row.doc_id").cast("long"), F.xxhash64("row.text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("key", F.xxhash64(doc, th))
+    bitmap = member_bitmap(gone, "gone_key", gone.count())
+    hit = (F.col("key") == F.col("gone_key")) & doc.eqNullSafe(F.col("gone_id")) & (th == F.col("gone_th"))
+    left = maybe_in(rows, "key", bitmap).join(gone, hit, "left_anti")
+    return left.union(maybe_in(rows, "key", bitmap, inverse=True)).select("row.*")
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
