@@ -9,9 +9,10 @@ are counted along it, and the shard's quota is a run of blocks from a seeded
 start, round the end: whole rounds are repeats. DataFrame and SQL functions only.
 
 Defined cases: a null text or one without words has size 0 and is never taken;
-null sources form one source, the last; an empty table gives no rows; rows that
-repeat a doc_id are documents of their own; columns other than doc_id, text and
-source pass through `mix_documents` unread. No source gets more than `most`
+null sources form one source, the last; a null doc_id sorts as an empty one; an empty
+table gives no rows; rows that repeat a doc_id are documents of their own; a text may
+be of any length; columns other than doc_id, text and source aren't read by
+`mix_documents`, and `mixing_stage` hands them on, whatever their names. No source gets more than `most`
 times its own size, and so no document more than `most` times its words.
 """
 
@@ -86,9 +87,14 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, most: int = 3, block: int =
     would be under 64 blocks. A shard has about `shard_docs` documents, and a
     source at most `most_shards` shards, so each task stays bounded.
     """
+    return _mixed(docs, weights, most, block, shard_docs, most_shards, seed).drop("th")
+
+
+def _mixed(docs: DataFrame, weights=WEIGHTS, most: int = 3, block: int = 32, shard_docs: int = 1024, most_shards: int = 65536, seed: int = 7) -> DataFrame:
+    """The rows of `mix_documents` and th, the hash of their texts."""
     # The order and the shards hang on doc_id alone, so that a rerun takes the same words.
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("__key")
-    sized = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), key)
+    sized = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), key, F.xxhash64("text").alias("th"))
     sized = stage(sized, "mix-sizes")
     targets = stage(source_targets(sized, weights, most), "mix-targets")
 
@@ -114,7 +120,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, most: int = 3, block: int =
     begin = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "rank", "shard")), 1, 8), 16, 10).cast("long"), n_blocks) * F.col("block")
     shard = shard.select(F.col("rank").alias("__rank"), F.col("shard").alias("__shard"), "shard_size", words.alias("words"), begin.alias("begin"))
 
-    along = Window.partitionBy("rank", "shard").orderBy("__key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    along = Window.partitionBy("rank", "shard").orderBy("__key", "size", "th").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("__to", F.sum("size").over(along)).withColumn("__from", F.col("__to") - F.col("size"))
     placed = placed.join(shard, (F.col("rank") == F.col("__rank")) & (F.col("shard") == F.col("__shard")))
     whole = F.greatest(F.col("shard_size"), F.lit(1))
@@ -123,18 +129,25 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, most: int = 3, block: int =
     overlap = lambda a, b: F.greatest(F.lit(0), F.least(F.col("__to"), b) - F.greatest(F.col("__from"), a))
     run = overlap(F.col("begin"), F.least(end, F.col("shard_size"))) + overlap(F.lit(0), end - F.col("shard_size"))
     taken = (F.col("__rounds") * F.col("size") + run).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "th")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the mix takes, each once for every
     started repeat (a document of which two and a half copies are taken stands
     three times); those of which nothing is taken go. A document without words
-    has nothing to take and goes too. Returns the columns of `docs`."""
-    taken = mix_documents(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    taken = taken.groupBy("__id").agg(F.max("__times").alias("__times"))
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(c) for c in docs.columns])
+    has nothing to take and goes too. Each row goes by its own doc_id, source and
+    text; rows that repeat all three stand as often as the one of which most is taken."""
+    key = ["doc_id", "source", "th"]
+    times = _mixed(docs).where("taken > 0").withColumn("times", F.ceil(F.col("taken") / F.col("size")).cast("int"))
+    times = stage(times.groupBy(*key).agg(F.max("times").alias("times")).withColumn("key", F.xxhash64(*key)), "mix-times")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = [F.col("row.doc_id"), F.col("row.source"), F.xxhash64("row.text")]
+    same = F.col("row_key") == F.col("key")
+    for mine, theirs in zip(own, key, strict=True):
+        same = same & mine.eqNullSafe(F.col(theirs))
+    out = rows.withColumn("row_key", F.xxhash64(*own)).join(times, same)
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
