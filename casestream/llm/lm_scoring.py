@@ -1,24 +1,27 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Words (A-Z lower-cased) and word pairs of the training texts are counted by
-64-bit hash. A count c has the level 1 + floor(log c / log BASE); an n-gram of
-level q is put into the filter q times, each time hashed with another of the
-numbers 1..q. A count is read back by probing 1, 2, ... until a probe fails, so a
-false positive can lift it by a level now and then but never lowers it. The
-filter has a fixed number of bits and is sent to all workers. Where the corpus
-has more n-grams than fit at BITS_EACH bits, those below some level are left
-out, the least frequent first; the levels' histogram, over all n-grams, tells
-where to cut. Each word's probability is a mixture of the pair's and the word's
-own smoothed relative frequency.
+64-bit hash, whose lowest bit tells pairs from words. A count c has the level
+1 + floor(log c / log BASE); an n-gram of level q is put into the filter q times,
+each time hashed with another of the numbers 1..q. A count is read back by probing
+1, 2, ... until a probe fails, so a false positive can lift it by a level now and
+then but never lowers it. Each word's probability is a mixture of the pair's and the
+word's own smoothed relative frequency.
+
+The filter has BITS_EACH bits for each number put in, as the histogram of all
+n-grams' levels says, and leaves none out. Up to BROADCAST_BITS it is sent to all
+workers. A larger one stays a table of pages: each distinct n-gram of the texts meets
+its page once, in a task that holds a page at a time, and the levels read come back to
+the texts in joins. Both ways make the same probes and give the same scores.
 
 The base score takes exact counts of single words: the levels that hold at most TOP of them, from the
 highest down, are sent to the workers as two arrays; occurrences of all other
 words meet their counts in a join.
 
-Defined cases: a null or empty text is the end token alone; a null doc_id counts
-as an empty string for the split; rows that repeat a doc_id are scored each; with
-no training text every probability is 1, so scores are 0; an empty table gives
-no rows; other columns aren't read.
+Defined cases: a null or empty text is the end token alone; a text may be of any
+length; a null doc_id counts as an empty string for the split; rows that repeat a
+doc_id are scored each; with no training text every probability is 1, so scores are 0;
+an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from .common import mix, stage, text_slices, word_hashes
 
 BASE = 1.5
 PAGE_BITS = 1 << 15
-FILTER_BITS = 1 << 28
+BROADCAST_BITS = 1 << 29
 BITS_EACH = 6
 TOP = 1 << 18
 FOLDS, HELD_OUT = 5, 1
@@ -43,6 +46,7 @@ PAIR_SHARE = 0.6
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _U = np.uint64
+_BIT = np.left_shift(1, np.arange(8)).astype(np.uint8)
 
 
 def _streams(batch: pa.RecordBatch, column: str = "text"):
@@ -52,34 +56,46 @@ def _streams(batch: pa.RecordBatch, column: str = "text"):
         yield row, np.insert(hashed, first[1:], _END), first + np.arange(len(first))
 
 
-def _pairs(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The hash of each token with the one before it; the end token also stands before a text."""
+def _before(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The token before each one; the end token also stands before a text."""
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[first[:-1]] = _END
-    return mix(before * _U(0x9E3779B97F4A7C15) + tokens + _U(2))
+    return before
 
 
-def _page(h: np.ndarray, pages: int) -> np.ndarray:
-    return (h >> _U(40)) % _U(pages)
+def _word_keys(tokens: np.ndarray) -> np.ndarray:
+    return tokens & ~_U(1)
 
 
-def _count(pages: int, most: int = 1_500_000):
-    """(n, page, h, c) with the counts of up to `most` tokens put together in memory."""
+def _pair_keys(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return mix(before * _U(0x9E3779B97F4A7C15) + tokens + _U(2)) | _U(1)
+
+
+def _page(h: np.ndarray, buckets: int, pages: int) -> np.ndarray:
+    """An n-gram's page: one of its bucket's. `buckets` is a power of two and divides `pages`."""
+    each = pages // buckets
+    return (h >> _U(40) & _U(buckets - 1)) * _U(each) + (h >> _U(20) & _U(0xFFFFF)) % _U(each)
+
+
+def _bucket(buckets: int):
+    return F.shiftrightunsigned("h", 40).bitwiseAND(F.lit(buckets - 1)).cast("int")
+
+
+def _count(most: int = 1_500_000):
+    """(h, c) with the counts of up to `most` tokens put together in memory."""
 
     def flush(parts):
-        for n in (1, 2):
-            h, c = np.unique(np.concatenate([p[n - 1] for p in parts]), return_counts=True)
+        for n in (0, 1):
+            h, c = np.unique(np.concatenate([p[n] for p in parts]), return_counts=True)
             for a in range(0, len(h), 100_000):
-                part = h[a : a + 100_000]
-                columns = [np.full(len(part), n, np.int8), _page(part, pages).astype(np.int32), part.view(np.int64), c[a : a + 100_000].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["n", "page", "h", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 100_000].view(np.int64)), pa.array(c[a : a + 100_000].astype(np.int64))], ["h", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
             for _, tokens, first in _streams(batch):
-                parts.append((tokens, _pairs(tokens, first)))
+                parts.append((_word_keys(tokens), _pair_keys(_before(tokens, first), tokens)))
                 held += len(tokens)
                 if held >= most:
                     yield from flush(parts)
@@ -99,40 +115,40 @@ def _probe_bits(h: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
     return tuple((g >> _U(15 * i)) & _U(PAGE_BITS - 1) for i in range(3))
 
 
-def _fill(least: int, pages: int):
+def _fill(buckets: int, pages: int):
     """(page, bits): the filter's pages that a task's n-grams set."""
+    size = PAGE_BITS // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, np.ndarray] = {}
+        known, bits = np.zeros(0, _U), np.zeros(0, np.uint8)
         for batch in batches:
-            h = batch.column("h").to_numpy().view(_U)
-            level = levels(batch.column("c").to_numpy())
-            page = batch.column("page").to_numpy()
-            order = np.argsort(page, kind="stable")
-            h, level, page = h[order], level[order], page[order]
-            for a, b in zip(*(x := np.flatnonzero(np.append(True, page[1:] != page[:-1])), np.append(x[1:], len(page))), strict=True):
-                own = bits.setdefault(int(page[a]), np.zeros(PAGE_BITS // 8, np.uint8))
-                for q in range(1, int(level[a:b].max()) + 1):
-                    some = h[a:b][(level[a:b] >= q) & (level[a:b] >= least)]
-                    for at in _probe_bits(some, q):
-                        np.bitwise_or.at(own, at >> _U(3), np.left_shift(1, at & _U(7)).astype(np.uint8))
-        for part in range(0, len(bits), 256):
-            keys = list(bits)[part : part + 256]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([bits[k].tobytes() for k in keys], pa.binary())], ["page", "bits"])
+            h, level = batch.column("h").to_numpy().view(_U), levels(batch.column("c").to_numpy())
+            page = _page(h, buckets, pages)
+            every = np.union1d(known, page)
+            if len(every) > len(known):
+                grown = np.zeros((len(every), size), np.uint8)
+                grown[np.searchsorted(every, known)] = bits.reshape(-1, size)
+                known, bits = every, grown.ravel()
+            base = np.searchsorted(known, page) * size
+            for q in range(1, int(level.max(initial=0)) + 1):
+                some = level >= q
+                for at in _probe_bits(h[some], q):
+                    np.bitwise_or.at(bits, base[some] + (at >> _U(3)).astype(np.int64), _BIT[(at & _U(7)).astype(np.int64)])
+        for a in range(0, len(known), 256):
+            part = range(a, min(a + 256, len(known)))
+            yield pa.RecordBatch.from_arrays([pa.array(known[part.start : part.stop].astype(np.int64)), pa.array([bits[i * size : (i + 1) * size].tobytes() for i in part], pa.binary())], ["page", "bits"])
 
     return run
 
 
-def read_levels(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The level of each hash, by probing 1, 2, ... until one fails."""
-    pages = len(bits) // (PAGE_BITS // 8)
-    base = _page(h, pages) * _U(PAGE_BITS // 8)
+def _probed(bits: np.ndarray, base: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The level of each hash, whose page begins at byte `base`, by probing 1, 2, ... until one fails."""
     level = np.zeros(len(h), np.int64)
     at = np.arange(len(h))
     for q in range(1, 200):
         hit = np.ones(len(at), bool)
         for place in _probe_bits(h[at], q):
-            hit &= (bits[base[at] + (place >> _U(3))] >> (place & _U(7)).astype(np.uint8)) & 1 == 1
+            hit &= (bits[base[at] + (place >> _U(3)).astype(np.int64)] >> (place & _U(7)).astype(np.uint8)) & 1 == 1
         at = at[hit]
         if not len(at):
             break
@@ -140,81 +156,125 @@ def read_levels(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return level
 
 
+def read_levels(bits: np.ndarray, buckets: int, h: np.ndarray) -> np.ndarray:
+    """The level of each hash in a whole filter."""
+    size = PAGE_BITS // 8
+    return _probed(bits, _page(h, buckets, len(bits) // size).astype(np.int64) * size, h)
+
+
+def _probe_page(key: tuple, asked: pa.Table, page: pa.Table) -> pa.Table:
+    """(h, q): the levels of a page's n-grams that are asked for."""
+    h = asked.column("h").to_numpy()
+    bits = np.frombuffer(page.column("bits")[0].as_py(), np.uint8) if page.num_rows else np.zeros(PAGE_BITS // 8, np.uint8)
+    return pa.table({"h": h, "q": _probed(bits, np.zeros(len(h), np.int64), h.view(_U))})
+
+
 def level_counts() -> np.ndarray:
     """The count that stands for each level: the middle of its range, 0 for level 0."""
     low = np.ceil(BASE ** np.arange(200) - 1e-9)
     return np.concatenate([[0.0], (low[:-1] + np.maximum(low[1:] - 1, low[:-1])) / 2])
 
 
-_SCORED = "key bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>"
+_GRAMS = ("pair", "word", "before", "times")
+_SCORED = "key bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>, " + ", ".join(f"{g} array<bigint>" for g in _GRAMS)
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int64) if values.dtype != _U else values.view(np.int64)))
 
 
 def _score(model, pair_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        bits, n, v = np.frombuffer(m["bits"], np.uint8), m["n"], m["v"]
+        bits, n, v = m["bits"], m["n"], m["v"]
         top_h, top_c = np.frombuffer(m["top_h"], _U), np.frombuffer(m["top_c"], np.int64)
         whole, means = n + 0.5 * (v + 1), level_counts()
         key = TaskContext.get().partitionId() << 33
         for batch in batches:
             for row, tokens, first in _streams(batch):
                 docs = len(first) - 1
-                unique, of = np.unique(tokens, return_inverse=True)
+                before = _before(tokens, first)
+                pairs = _pair_keys(before, tokens)
+                unique, of = np.unique(_word_keys(tokens), return_inverse=True)
                 at = np.minimum(np.searchsorted(top_h, unique), max(0, len(top_h) - 1))
                 hot = top_h[at] == unique if len(top_h) else np.zeros(len(unique), bool)
                 log_base = np.where(hot, np.log10(((top_c[at] if len(top_h) else 0) + 0.5) / whole), 0.0)
-                word = means[read_levels(bits, unique)]
-                own = ((word + 0.5) / whole)[of]
-                pair = means[read_levels(bits, _pairs(tokens, first))]
-                before = np.empty(len(tokens))
-                before[1:] = word[of][:-1]
-                before[first[:-1]] = word[np.searchsorted(unique, _END)]
-                ratio = np.minimum(1.0, pair / np.maximum(before, 1.0))
-                share = np.where(before > 0, pair_share, 0.0)
-                log_p = np.log10(np.minimum(1.0, share * ratio + (1 - share) * own))
-                sums = [np.add.reduceat(x, first[:-1]) for x in (hot[of].astype(np.int64), log_base[of], log_p)]
                 rare_at = np.flatnonzero(~hot[of])
-                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare_at, first).astype(np.int32)), pa.array(tokens[rare_at].view(np.int64)))
-                columns = [pa.array(np.arange(key, key + docs)), batch.column("doc_id").slice(row, docs), batch.column("held_out").slice(row, docs), pa.array(np.diff(first)), *(pa.array(s) for s in sums), rare]
+                rare = _lists(unique[of[rare_at]], np.searchsorted(rare_at, first))
+                if bits is None:
+                    # The distinct pairs of each text, their words and how often they stand there: joins look them up.
+                    text = np.repeat(np.arange(docs), np.diff(first))
+                    order = np.lexsort((pairs, text))
+                    new = np.append(True, (pairs[order][1:] != pairs[order][:-1]) | (text[order][1:] != text[order][:-1]))
+                    begin, pick = np.flatnonzero(new), order[new]
+                    ends = np.searchsorted(text[pick], np.arange(docs + 1))
+                    grams = [_lists(x, ends) for x in (pairs[pick], _word_keys(tokens)[pick], _word_keys(before)[pick], np.diff(np.append(begin, len(order))))]
+                    log_p = np.zeros(len(tokens))
+                else:
+                    grams = [pa.nulls(docs, pa.list_(pa.int64()))] * len(_GRAMS)
+                    whole_filter = np.frombuffer(bits, np.uint8)
+                    word = means[read_levels(whole_filter, m["buckets"], unique)]
+                    pair = means[read_levels(whole_filter, m["buckets"], pairs)]
+                    ahead = word[np.searchsorted(unique, _word_keys(before))]
+                    ratio = np.minimum(1.0, pair / np.maximum(ahead, 1.0))
+                    share = np.where(ahead > 0, pair_share, 0.0)
+                    log_p = np.log10(np.minimum(1.0, share * ratio + (1 - share) * ((word + 0.5) / whole)[of]))
+                sums = [np.add.reduceat(x, first[:-1]) for x in (hot[of].astype(np.int64), log_base[of], log_p)]
+                columns = [pa.array(np.arange(key, key + docs)), batch.column("doc_id").slice(row, docs), batch.column("held_out").slice(row, docs), pa.array(np.diff(first)), *(pa.array(s) for s in sums), rare, *grams]
                 key += docs
                 yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _SCORED.split(", ")])
 
     return run
 
 
-def score_texts(docs: DataFrame, filter_bits: int = FILTER_BITS, top: int = TOP, pair_share: float = PAIR_SHARE) -> DataFrame:
+def _score_by_page(scored: DataFrame, filled: DataFrame, buckets: int, pages: int, whole: float, pair_share: float) -> DataFrame:
+    """(key, score) of `scored` with a filter that stays a table of pages."""
+    grams = scored.select("key", F.explode(F.arrays_zip(*_GRAMS)).alias("g")).select("key", "g.*")
+    grams = stage(grams, "lm-grams")
+    asked = grams.select(F.explode(F.array("pair", "word", "before")).alias("h")).distinct()
+    each = pages // buckets
+    page = _bucket(buckets).cast("long") * each + F.pmod(F.shiftrightunsigned("h", 20).bitwiseAND(F.lit(0xFFFFF)), F.lit(each))
+    read = asked.withColumn("page", page).groupBy("page").cogroup(filled.groupBy("page")).applyInArrow(_probe_page, "h bigint, q bigint")
+    means = F.array(*[F.lit(float(x)) for x in level_counts()[:120]])
+    read = stage(read.select("h", F.get(means, F.least(F.col("q"), F.lit(119)).cast("int")).alias("count")), "lm-levels")
+    for gram in _GRAMS[:3]:
+        grams = grams.join(read.select(F.col("h").alias(gram), F.col("count").alias(f"{gram}_count")), gram)
+    ratio = F.least(F.lit(1.0), F.col("pair_count") / F.greatest("before_count", F.lit(1.0)))
+    share = F.when(F.col("before_count") > 0, pair_share).otherwise(0.0)
+    log_p = F.log10(F.least(F.lit(1.0), share * ratio + (1 - share) * (F.col("word_count") + 0.5) / whole))
+    return grams.groupBy("key").agg(F.sum(F.col("times") * log_p).alias("more_score"))
+
+
+def score_texts(docs: DataFrame, bits_each: int = BITS_EACH, broadcast_bits: int = BROADCAST_BITS, top: int = TOP, pair_share: float = PAIR_SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of `docs`."""
     spark = docs.sparkSession
-    pages = max(1, filter_bits // PAGE_BITS)
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold == HELD_OUT).alias("held_out"))
 
-    # Pages are dealt out by hash, so that each page is filled by one task; a page's n-grams come from all tasks,
-    # but each task has put its own occurrences of an n-gram together.
-    partial = texts.where("not held_out").select("text").mapInArrow(_count(pages), "n tinyint, page int, h bigint, c bigint")
-    counts = stage(partial.repartition("page").groupBy("page", "n", "h").agg(F.sum("c").alias("c")), "lm-counts")
-    words = counts.where("n = 1")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-
+    # Buckets, and with them pages, are dealt out by hash, so that each page is filled by one task; a page's n-grams
+    # come from all tasks, but each task has put its own occurrences of an n-gram together.
+    buckets = 1 << (32 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    partial = texts.where("not held_out").select("text").mapInArrow(_count(), "h bigint, c bigint")
+    counts = partial.withColumn("bucket", _bucket(buckets)).repartition("bucket").groupBy("bucket", "h").agg(F.sum("c").alias("c"))
+    counts = stage(counts.select("h", "c"), "lm-counts")
+    words = counts.where(F.col("h").bitwiseAND(F.lit(1)) == 0)
     # Two rows for each level: under 400.
     level = F.floor(F.log("c") / F.lit(float(np.log(BASE))) + 1e-9) + 1
-    by_level = counts.groupBy("n", level.alias("q")).agg(F.count(F.lit(1)).alias("k")).collect()
-    held: dict[int, int] = {}
-    for r in by_level:
-        held[r["q"]] = held.get(r["q"], 0) + r["k"] * r["q"]
-    room, least = filter_bits // BITS_EACH, max(held, default=1)
-    while least > 1 and sum(n for q, n in held.items() if q >= least - 1) <= room:
-        least -= 1
-    if sum(n for q, n in held.items() if q >= least) > room and len(held) > 1:
-        least += 1
-    filled = counts.select("page", "h", "c").mapInArrow(_fill(least, pages), "page int, bits binary")
+    by_level = counts.groupBy(F.col("h").bitwiseAND(F.lit(1)).alias("is_pair"), level.alias("q")).agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("n")).collect()
+    singles = {r["q"]: r["k"] for r in by_level if not r["is_pair"]}
+    n, v = sum(r["n"] for r in by_level if not r["is_pair"]), sum(singles.values())
+    put_in = sum(r["q"] * r["k"] for r in by_level)
+    pages = buckets * max(1, -(-put_in * bits_each // (buckets * PAGE_BITS)))
+    filled = counts.mapInArrow(_fill(buckets, pages), "page bigint, bits binary")
     filled = filled.groupBy("page").agg(F.bitmap_or_agg("bits").alias("bits"))
-    bits = bytearray(pages * PAGE_BITS // 8)
-    for r in filled.toLocalIterator():
-        bits[r["page"] * (PAGE_BITS // 8) : (r["page"] + 1) * (PAGE_BITS // 8)] = r["bits"]
+    bits = None
+    if pages * PAGE_BITS <= broadcast_bits:
+        bits = bytearray(pages * PAGE_BITS // 8)
+        for r in filled.toLocalIterator():
+            bits[r["page"] * (PAGE_BITS // 8) : (r["page"] + 1) * (PAGE_BITS // 8)] = r["bits"]
 
     # The lowest level from which on words are sent: at most `top` of them, and no sort over all words to find them.
-    singles, sent, from_level = {r["q"]: r["k"] for r in by_level if r["n"] == 1}, 0, None
+    sent, from_level = 0, None
     for q in sorted(singles, reverse=True):
         sent += singles[q]
         if sent > top:
@@ -223,23 +283,27 @@ def score_texts(docs: DataFrame, filter_bits: int = FILTER_BITS, top: int = TOP,
     frequent = words.where(level >= from_level if from_level else F.lit(False)).select("h", "c").toPandas()
     h = frequent["h"].to_numpy(np.int64).view(_U)
     order = np.argsort(h)
-    model = {"bits": bytes(bits), "n": total["n"], "v": total["v"], "top_h": h[order].tobytes(), "top_c": frequent["c"].to_numpy(np.int64)[order].tobytes()}
+    model = {"bits": bits, "buckets": buckets, "n": n, "v": v, "top_h": h[order].tobytes(), "top_c": frequent["c"].to_numpy(np.int64)[order].tobytes()}
     scored = stage(texts.mapInArrow(_score(spark.sparkContext.broadcast(model), pair_share), _SCORED), "lm-scored")
 
-    whole = total["n"] + 0.5 * (total["v"] + 1)
+    whole = n + 0.5 * (v + 1)
     rare = scored.select("key", F.explode("rare").alias("h")).groupBy("key", "h").agg(F.count(F.lit(1)).alias("times"))
     rare = rare.join(words.select("h", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     log_p = F.log10((F.col("c") + 0.5) / whole)
     rare = rare.groupBy("key").agg(F.sum(F.col("times") * log_p).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
-    out = scored.drop("rare").join(rare, "key", "left")
+    out = scored.drop("rare", *_GRAMS).join(rare, "key", "left")
+    score = F.col("score")
+    if bits is None:
+        out = out.join(_score_by_page(scored, stage(filled, "lm-filter"), buckets, pages, whole, pair_share), "key", "left")
+        score = F.coalesce("more_score", F.lit(0.0))
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(total["n"]).cast("long").alias("train_tokens"),
+        F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        score.alias("score"),
     )
 
 
