@@ -11,11 +11,13 @@ significant slice of the sum downward; rows that are still equal at the boundary
 have equal scores, and the smallest ids of them win.
 
 Queries are met with the index in tiles: a block of rows and a block of queries.
-Only k rows for each query leave a tile.
+The tiles form a grid, cut into cells that are dealt out one by one, so a block of rows
+goes to one cell for each band of queries and not to each query block. Only k rows for
+each query leave a tile.
 
 Defined cases: vectors that are null or hold null or non-finite components take no
-part; scaled components beyond +-2^27 stand at that bound; missing components of
-shorter vectors are 0; an empty vector scores 0; rows that repeat a vec_id all take
+part; scores are exact, and where a component or a score of some row might not be a
+64-bit integer the search fails and says so; missing components of shorter vectors are 0; an empty vector scores 0; rows that repeat a vec_id all take
 part, but for a query of that id; a null vec_id is no query and comes last among
 ties; an empty table, or one without queries, gives no rows.
 """
@@ -26,20 +28,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stage
 
-BOUND = 1 << 27
-BLOCK_ROWS, QUERY_BLOCK, QUERY_BATCH = 8192, 256, 16
+#: Scaled components and scores are under this; floats tell, which round, so there is a bit to spare.
+BOUND = 1 << 61
+BLOCK_ROWS, QUERY_BLOCK, QUERY_BATCH = 4096, 256, 16
+#: Blocks of a cell's side at most.
+CELL_SIDE = 16
 _NO_ID = np.iinfo(np.int64).max
-_INDEX = "rows int, dims int, bits int, low bigint, ids binary, slices binary"
+_INDEX = "block int, rows int, dims int, bits int, low bigint, ids binary, slices binary"
 _HIT = "query_id bigint, vec_id bigint, score bigint"
 
 
 def quantised(vector: Column) -> Column:
-    scaled = F.transform(vector, lambda x: F.floor(F.greatest(F.least(x.cast("double") * 256, F.lit(float(BOUND))), F.lit(float(-BOUND)))).cast("long"))
+    """floor(256 * x) of each component; null for vectors that take no part."""
+
+    def floor(x: Column) -> Column:
+        wide = F.abs(x.cast("double") * 256) >= float(BOUND)
+        return F.when(wide, F.raise_error(F.lit("a component times 256 is no 64-bit integer")).cast("long")).otherwise(F.floor(x.cast("double") * 256).cast("long"))
+
+    scaled = F.transform(vector, floor)
     fine = F.forall(vector, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
     return F.when(vector.isNotNull() & fine, scaled)
 
@@ -66,11 +78,11 @@ def _slice_block(ids: np.ndarray, values: np.ndarray) -> list:
 
 def _build(most_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lists = [], []
+        ids, lists, number = [], [], TaskContext.get().partitionId()
 
         def block():
             made = _slice_block(np.array([_NO_ID if i is None else i for i in ids], np.int64), _padded(lists))
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(made, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], [f.split()[0] for f in _INDEX.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([number, *made], (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], [f.split()[0] for f in _INDEX.split(", ")])
 
         for batch in batches:
             for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist(), strict=True):
@@ -115,6 +127,8 @@ def search_block(block: dict, query_ids: np.ndarray, queries: np.ndarray, k: int
     slices = np.concatenate([raw, ~raw, np.zeros((1, words), np.uint64)])
     weight, queries = np.abs(queries[:, :dims]), queries[:, :dims]
     top = (1 << bits) - 1
+    if bits > 61 or (weight.astype(float).sum(axis=1) * (max(abs(low), abs(low + top)) + top)).max(initial=0) >= BOUND:
+        raise OverflowError("a score might be no 64-bit integer")
     plus = np.where(queries < 0, -weight * (top + low), weight * low).sum(axis=1)
     addends: dict[int, list[np.ndarray]] = {}
     for i in range(int(weight.max(initial=0)).bit_length()):
@@ -178,9 +192,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOC
     """query_id, rank, vec_id and score: for each of `queries` (query_id, v) the
     k best of all `vectors` (vec_id, v) but those with the query's own id."""
     index = build_index(vectors, block_rows)
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = queries.withColumn("qb", F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks)).cast("int")).groupBy("qb").agg(F.collect_list(F.struct("query_id", "v")).alias("queries"))
-    tiles = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "qb")
+    blocks, asked_blocks = max(1, index.count()), max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = queries.withColumn("qb", F.pmod(F.xxhash64("query_id", "v"), F.lit(asked_blocks)).cast("int")).groupBy("qb").agg(F.collect_list(F.struct("query_id", "v")).alias("queries"))
+    # Cells of the grid of tiles: as many a side as give each core a few, and at most CELL_SIDE.
+    side = max(1, round((blocks * asked_blocks / (4 * queries.sparkSession.sparkContext.defaultParallelism)) ** 0.5))
+    side = min(side, CELL_SIDE)
+    wide, high = -(-blocks // side), -(-asked_blocks // side)
+    parts = wide * high
+    column = F.col("block") % wide
+    rows = index.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(high - 1)), lambda y: column * high + y)))
+    cols = asked.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda x: x * high + F.col("qb") % high)))
+    tiles = rows.repartition(parts, "cell").join(cols.repartition(parts, "cell").hint("shuffle_hash"), "cell")
     hits = tiles.select("rows", "dims", "bits", "low", "ids", "slices", "queries").mapInArrow(_search(k), _HIT)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

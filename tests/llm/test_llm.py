@@ -232,18 +232,45 @@ def test_rules(spark):
             assert table[rule.name].n_failed == sum(f >> k & 1 for f in flags) and table[rule.name].n_failed_alone == sum(f == 1 << k for f in flags)
 
 
-@pytest.mark.parametrize("top", [1 << 18, 20])
-def test_scores(spark, corpus, top):
-    got = lm_scoring.score_texts(documents(spark, corpus), filter_bits=1 << 20, top=top).collect()
+def brute_scores(rows):
+    """{row: (held_out, n_tokens, n_known, train tokens, base score, score)} from exact counts, quantised for the score."""
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
-    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
-    count = Counter(x for i, t, _ in corpus if not held(i) for x in tokens(t))
-    n, v = sum(count.values()), len(count)
-    want = sorted((i, held(i), len(tokens(t)), sum(x in count for x in tokens(t)), n, round(sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in tokens(t)), 6)) for i, t, _ in corpus)
-    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score <= 0 for r in got)
+    pairs = lambda t: list(zip([None, *tokens(t)[:-1]], tokens(t), strict=True))
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
+    train = [t for i, t, _ in rows if not held(i)]
+    count, both = Counter(x for t in train for x in tokens(t)), Counter(x for t in train for x in pairs(t))
+    n, v, mean = sum(count.values()), len(count), lm_scoring.level_counts()
+    about = lambda c: mean[1 + math.floor(math.log(c) / math.log(lm_scoring.BASE) + 1e-9)] if c else 0.0
+    whole, out = n + 0.5 * (v + 1), []
+    for i, t, _ in rows:
+        score = 0.0
+        for before, word in pairs(t):
+            share = lm_scoring.PAIR_SHARE if count[before] else 0.0
+            ratio = min(1.0, about(both[before, word]) / max(about(count[before]), 1.0))
+            score += math.log10(min(1.0, share * ratio + (1 - share) * (about(count[word]) + 0.5) / whole))
+        base = sum(math.log10((count[x] + 0.5) / whole) for x in tokens(t))
+        out.append((-1 if i is None else i, held(i), len(tokens(t)), sum(x in count for x in tokens(t)), n, round(base, 6), round(score, 6)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("top", "broadcast_bits"), [(1 << 18, 1 << 29), (20, 1 << 29), (1 << 18, 0)])
+def test_scores(spark, corpus, top, broadcast_bits):
+    rows = [*corpus, (None, "w1 w2 w3", "s"), (700, "w1 w2 " * 20_000, "s")]
+    got = lm_scoring.score_texts(documents(spark, rows), bits_each=200, broadcast_bits=broadcast_bits, top=top).collect()
+    want = brute_scores(rows)
+    rounded = sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got)
+    assert [r[:5] for r in rounded] == [r[:5] for r in want]
+    for k in (5, 6):  # with so many bits next to no probe hits by chance
+        assert np.allclose([r[k] for r in rounded], [r[k] for r in want], rtol=1e-6 if k == 5 else 1e-3)
     out = [r for r in got if r.held_out and r.n_tokens > 20]
-    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    assert all(r.score <= 0 for r in got) and sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_scores_without_training_text(spark):
+    rows = documents(spark, [(3, "a b", "s"), (3, None, "s")])
+    assert zlib.crc32(b"3") % 5 == lm_scoring.HELD_OUT
+    assert [(r.score, r.base_score, r.n_tokens) for r in lm_scoring.score_texts(rows).orderBy("n_tokens").collect()] == [(0, 0, 1), (0, 0, 3)]
+    assert lm_scoring.score_texts(rows.limit(0)).count() == 0
 
 
 def test_filter_never_reads_a_level_too_low():
@@ -251,14 +278,14 @@ def test_filter_never_reads_a_level_too_low():
 
     rng = np.random.default_rng(1)
     h, c = rng.integers(0, 2**63, 3000, dtype=np.uint64), rng.integers(1, 500, 3000)
-    pages = 16
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (lm_scoring._page(h, pages).astype(np.int32), h.view(np.int64), c)], ["page", "h", "c"])
+    buckets, pages = 8, 16
+    batch = pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
     bits = np.zeros(pages * lm_scoring.PAGE_BITS // 8, np.uint8)
-    for out in lm_scoring._fill(1, pages)(iter([batch])):
+    for out in lm_scoring._fill(buckets, pages)(iter([batch.slice(0, 1000), batch.slice(1000)])):
         for page, own in zip(*out.columns, strict=True):
             a = page.as_py() * lm_scoring.PAGE_BITS // 8
             bits[a : a + lm_scoring.PAGE_BITS // 8] = np.frombuffer(own.as_py(), np.uint8)
-    read, true = lm_scoring.read_levels(bits, h), lm_scoring.levels(c)
+    read, true = lm_scoring.read_levels(bits, buckets, h), lm_scoring.levels(c)
     assert (read >= true).all() and (read == true).mean() > 0.8
 
 
@@ -268,13 +295,31 @@ def test_top_k(spark):
     rows += [(300, rows[0][1]), (301, rows[0][1]), (350, None), (400, [0.1, None] * 3), (450, [float("nan")] * 6), (500, []), (550, [float("inf")] * 6), (600, [100.5] * 6), (601, [-0.001] * 6)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, rank string")
     good = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    good |= {None: [math.floor(256 * float(np.float32(0.1)))] * 6}
+    df = df.union(spark.createDataFrame([(None, [0.1] * 6, "x")], df.schema))
     vectors = df.select("vec_id", topk_search.quantised(F.col("embedding")).alias("v")).where("v is not null")
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "v"), 5, block_rows=70).collect()}
     want = {}
-    for q in (i for i in good if i % 50 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(good[q], v, strict=False)), i) for i, v in good.items() if i != q)
-        want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(scored[:5])}
+    for q in (i for i in good if i is not None and i % 50 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(good[q], v, strict=False)), i is None, i) for i, v in good.items() if i is None or i != q)
+        want |= {(q, k + 1): (i, -s) for k, (s, _, i) in enumerate(scored[:5])}
     assert got == want
+    assert topk_search.top_k(vectors.limit(0), vectors.limit(0).select(F.col("vec_id").alias("query_id"), "v"), 5).count() == 0
+
+
+def test_top_k_of_large_components(spark):
+    """Scores are exact as long as they are 64-bit integers; beyond, the search refuses."""
+
+    def search(rows):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        vectors = df.select("vec_id", topk_search.quantised(F.col("embedding")).alias("v")).where("v is not null")
+        return [(r.vec_id, r.score) for r in topk_search.top_k(vectors, vectors.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "v"), 5).orderBy("rank").collect()]
+
+    assert search([(0, [1e6]), (1, [1e6]), (2, [2e6]), (3, [-3e6])]) == [(2, 131072000000000000), (1, 65536000000000000), (3, -196608000000000000)]
+    assert search([(0, [1.0]), (1, [1e12]), (2, [-1e12])]) == [(1, 256 * 256 * 10**12), (2, -256 * 256 * 10**12)]
+    for rows in ([(0, [1e12]), (1, [1e12])], [(0, [1e300]), (1, [0.0])]):
+        with pytest.raises(Exception, match="64-bit"):
+            search(rows)
 
 
 def test_chat_round_trip(spark):
@@ -336,7 +381,7 @@ def brute_dropped(rows):
     sets = {i: {t[k : k + 5] for k in range(max(1, len(t) - 4))} for i, t, _ in rows}
     root = {i: i for i in sets}
     for a, b in combinations(sorted(sets), 2):
-        if root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+        if root[a] != root[b] and 4 * min(len(sets[a]), len(sets[b])) >= 3 * max(len(sets[a]), len(sets[b])) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
             x, y = sorted((root[a], root[b]))
             root = {i: x if r == y else r for i, r in root.items()}
     return {i: int(r != i) for i, r in root.items()}
@@ -353,6 +398,27 @@ def test_line_dedup_compares_all_of_a_band(spark):
     assert got == brute_dropped(rows)
 
 
+def test_line_dedup_of_lines_with_a_common_beginning(spark):
+    """1,000 lines with the same 16 words first and eight of their own behind, in pairs with one to four typed errors."""
+    rng = random.Random(23)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 9)))
+    start = " ".join(word() for _ in range(16))
+    rows = []
+    for i in range(500):
+        line = f"{start} " + " ".join(word() for _ in range(8))
+        other = list(line)
+        for _ in range(1 + i % 4):
+            other[rng.randrange(len(start), len(line))] = rng.choice(letters)
+        rows += [(2 * i, line, "s"), (2 * i + 1, "".join(other), "s")]
+    want = brute_dropped(rows)
+    got = {r[0]: r[1] for r in line_dedup.dedup_lines(documents(spark, rows)).select("row.doc_id", "n_dropped").collect()}
+    assert not any(got[i] > want[i] for i in got)
+    recall = sum(got.values()) / sum(want.values())
+    print(f"recall {recall:.3f} of {sum(want.values())} lines")
+    assert recall >= 0.9
+
+
 def test_line_dedup_of_short_lines(spark):
     """Short lines of all lengths whose last characters are changed, added or missing."""
     rng = random.Random(22)
@@ -382,6 +448,6 @@ def test_classifier_on_held_out_labels(spark):
 def test_bitmap_keeps_every_member(spark):
     keys = spark.range(0, 5000, 7).withColumnRenamed("id", "k")
     rows = spark.range(5000).withColumnRenamed("id", "k")
-    bitmap = common.member_bitmap(keys, "k")
+    bitmap = common.member_bitmap(keys, "k", 700)
     hit, miss = common.maybe_in(rows, "k", bitmap), common.maybe_in(rows, "k", bitmap, inverse=True)
     assert hit.join(keys, "k").count() == keys.count() and hit.count() + miss.count() == 5000 and hit.count() < 2500
