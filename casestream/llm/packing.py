@@ -10,7 +10,8 @@ together. The outcome is a list of runs: "the next n pieces of length l go, m
 to a bin, to bins b, b + 1, ... at offset o". Every piece then finds its place
 from its rank among the pieces of its length.
 
-Defined cases: a null or empty text is one piece holding the end id; rows that
+Defined cases: a null or empty text is one piece holding the end id; a text may be of
+any length; a null doc_id is handed on; other columns aren't read; rows that
 repeat a doc_id are documents of their own, told apart by their text or, where
 that is equal too, interchangeable; an empty table gives no rows.
 """

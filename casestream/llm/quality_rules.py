@@ -7,8 +7,8 @@ dropping it would give back, comes from bitwise aggregation over the ledger.
 DataFrame and SQL functions only.
 
 Defined cases: a null text has no words and fails `few_words`; a text of white
-space alone too; rows that repeat a doc_id are judged each; an empty table gives
-an empty ledger; `ledger` reads doc_id and text, whatever other columns there are.
+space alone too; a text may be of any length; a null doc_id is handed on; rows that repeat a
+doc_id are judged each; an empty table gives an empty ledger; `ledger` reads doc_id and text, whatever other columns there are.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ doc_id and by the Bloom filters, before any ids are read.
 
 Defined cases: a null or empty text is a row with the end id alone; a null
 doc_id comes first; rows that repeat a doc_id stand one after the other, by
-their ids' checksum; an empty table writes no rows; other columns aren't read.
+their ids' checksum; a text may be of any length; an empty table writes no rows; other
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import public_tokenizer, scratch_path, text_slices
 from .tokens import encoder
 
 END_ID = 1
+#: Bytes of text that a file holds at most, but for a range of equal doc_ids.
+FILE_BYTES = 256 << 20
 _ROW = "doc_id bigint, n_tokens bigint, ids array<int>"
 _DIGEST = "doc_id bigint, n_tokens bigint, ids_crc32 bigint, file string"
 
@@ -58,8 +61,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Write (doc_id, n_tokens, ids) of all rows of `docs` as ORC under `path`."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # Not coalesced by size, so that encoding, which costs far more than reading, stays spread.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # As many files as keep FILE_BYTES of text each; not coalesced by size, so that encoding, which costs far more than reading, stays spread.
+    whole = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-whole // FILE_BYTES))
     dealt = texts.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("text"))
     rows = dealt.mapInArrow(_encode(tokenizer, end_id), _ROW)
     options = {
@@ -85,9 +89,10 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")
     read = read_token_files(spark, path).select("doc_id", "n_tokens", "ids", name)
     digests = read.mapInArrow(_digest, _DIGEST)
-    # A file is one range of doc_id, and names ascend with the ranges. There are as many rows here as files.
+    # A file is one range of doc_id; the number in its name is that of the range. There are as many rows here as files.
     per_file = read_token_files(spark, path).select("n_tokens", name).groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    before = Window.partitionBy(F.lit(0)).orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     ahead = per_file.select(F.col("file").alias("__file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = digests.withColumn("upto", F.sum("n_tokens").over(inside)).join(ahead, F.col("file") == F.col("__file"))

@@ -1,10 +1,12 @@
 """Token ids of whole texts with a public tokenizer.
 
-The tokenizer splits at white space and treats each word by itself, so words are
-encoded once by the library and found again in a table, by the 64-bit hash of their
-bytes: that two of a worker's words share a hash has a chance under 1e-6 in all. A word
-of ASCII letters or digits with closing punctuation shares the entry of the word without
-it, since the tokenizer cuts there too.
+A tokenizer that splits at white space and treats each word by itself needs to encode
+a word once: it is found again in a table, by the 64-bit hash of its bytes; that two of
+a worker's words share a hash has a chance under 1e-6 in all. If the tokenizer also cuts
+before closing punctuation, a word shares the entry of the word without it, and if it
+lower-cases ASCII letters, that of the small word. Which of this holds is tried out on
+PROBES when an encoder is made; for a tokenizer that doesn't split so, whole texts go to
+the library.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ _SLOTS = 1 << 21
 _MOST_WORDS = _SLOTS // 2
 #: Words looked up at once: each may add two entries, and the table still has room.
 _AT_ONCE = _SLOTS // 8
+#: Words that tell how a tokenizer behaves.
+PROBES = ("Hello", "WORLD", "the", "Zebras", "x9", "Antidisestablishmentarianism", "I", "don't", "2024", "naïve", "ab-cd")
 _U = np.uint64
 
 
@@ -38,14 +42,17 @@ class _Growing:
 
 
 class WordEncoder:
-    """Ids of texts, equal to the library's for the whole text, for a tokenizer whose
-    pieces never reach over the characters U+0009 to U+000D and U+0020. Memory is bounded:
-    a full table starts anew."""
+    """Ids of texts, equal to the library's for the whole text. Memory is bounded: a full table starts anew."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        gaps = (" ", "  ", "\n", " \t\r\n\x0b\x0c ")
+        self.by_word = all(one(f"{g}{a}{g}{b}{g}") == one(a) + one(b) for g in gaps for a, b in zip(PROBES, PROBES[1:], strict=False))
+        self.cuts = all(one(a + t) == one(a) + one(t) for a in PROBES for t in [*_TAIL.decode(), ".,", "!!"])
+        self.lowers = all(one(a) == one(a.lower()) for a in PROBES)
         self.clear()
 
     def clear(self) -> None:
@@ -102,11 +109,11 @@ class WordEncoder:
     def _learn(self, texts: list[bytes], hashed: np.ndarray) -> None:
         split, parts = [], {}
         for w in texts:
-            root = w.rstrip(_TAIL)
+            root = w.rstrip(_TAIL) if self.cuts else w
             if not root or not root[-1:].isalnum():
                 root = w
             tail = w[len(root) :]
-            if root.isalpha():
+            if self.lowers and root.isalpha():
                 root = root.lower()
             split.append((root, tail))
             parts[root] = None
@@ -128,6 +135,10 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (int32), and where each text's begin, with one entry more."""
+        if not self.by_word:
+            texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for x in ids for i in x], np.int32), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
         hashed, first, begin, size = words(data, offsets, lower=False)
         parts, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for a in range(0, len(hashed), _AT_ONCE):
