@@ -40,8 +40,25 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/casestream/{label}-{uuid.uuid4().hex}"
+    """A new folder for a staged table."""
+    _MADE.append(f"{shared_folder(spark).rstrip('/')}/casestream/{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def n_staged() -> int:
+    """How many folders this driver has made so far, for `drop_staged`."""
+    return len(_MADE)
+
+
+def drop_staged(spark: SparkSession, first: int, last: int) -> None:
+    """Delete the staged tables from the `first` on and before the `last`, which nothing reads any more."""
+    for path in _MADE[first:last]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
