@@ -113,3 +113,18 @@ def ordered_text(value: Column, order: Column, separator: str) -> Column:
     """Aggregate: the non-null values in `order`, joined."""
     rows = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v")))))
     return F.array_join(F.transform(rows, lambda r: r["v"]), separator)
+
+
+def is_search_term(x: Column | str, least: int = 8) -> Column:
+    """Whether a term has enough characters, outer white space aside."""
+    return F.coalesce(F.length(trimmed(x)) >= least, F.lit(False))
+
+
+def iso_time(ts: Column | str) -> Column:
+    """A time in UTC as ISO text with milliseconds."""
+    return F.date_format(F.to_utc_timestamp(_col(ts).cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def data_url(content: Column | str, mime: str) -> Column:
+    """Bytes as a data URL, as a request carries them inline."""
+    return F.concat(F.lit(f"data:{mime};base64,"), F.regexp_replace(F.base64(_col(content)), "\\s", ""))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, truthy
@@ -64,6 +68,21 @@ def last_n(messages: DataFrame, n: int = 50, key: str = "conv_id", order: str =
     return messages.withColumn("__from_end", F.row_number().over(place)).where(F.col("__from_end") <= n).drop("__from_end")
 
 
+def write_history(messages: DataFrame, path: str, n: int = 50, key: str = "conv_id", order: str = "turn") -> None:
+    """Write the last n messages of each conversation; they replace what was stored."""
+    last_n(messages, n, key, order).write.mode("overwrite").parquet(path)
+
+
+def read_history(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Stored messages; none for a first visit, when nothing is stored yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def without_last(messages: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
     return messages.withColumn("__last", F.max(order).over(Window.partitionBy(key))).where(F.col(order) < F.col("__last")).drop("__last")
 
@@ -90,16 +109,34 @@ def token_frames(items: DataFrame, key: str = "conv_id", order: str = "turn", fa
     return rows.select(key, order, F.concat(F.lit("data: "), "__body", F.lit("\n\n")).alias("frame"))
 
 
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of connections whose chunks come one after the other: what follows the last blank line is all that is held."""
+    key, begun, number, rest = None, False, 0, ""
+    for batch in batches:
+        out = []
+        for k, chunk in zip(batch["key"], batch["chunk"], strict=True):
+            if begun and k != key:
+                out.append((key, number, rest))
+            if not begun or k != key:
+                key, begun, number, rest = k, True, 0, ""
+            *done, rest = (rest + chunk).split("\n\n")
+            for frame in done:
+                out.append((key, number, frame))
+                number += 1
+        yield pd.DataFrame(out, columns=["key", "frame_no", "frame"])
+    if begun:
+        yield pd.DataFrame([(key, number, rest)], columns=["key", "frame_no", "frame"])
+
+
 def frames(chunks: DataFrame, key: str = "conv_id", order: str = "seq", chunk: str = "chunk", buffered: bool = True) -> DataFrame:
     """Event frames out of text chunks: (key, frame_no, payload). Frames end at a blank line and begin
     with "data:". Buffered, a frame may reach over chunks, and what is left at the end counts too;
     unbuffered, each chunk is cut by itself, and a frame must begin with "data: "."""
     marked = lambda f: F.regexp_replace(f, r"^([\s\S]*?)data: ", "$1")  # noqa: E731  the first mark only
     if buffered:
-        rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(chunk, F.lit("")).alias("c"))))
-        whole = chunks.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r["c"]), "").alias("whole"))
-        cut = whole.select(key, F.posexplode(F.split("whole", "\n\n", -1)).alias("frame_no", "frame"))
-        return cut.where(F.ltrim("frame").startswith("data:")).select(key, F.col("frame_no").cast("long").alias("frame_no"), marked(F.col("frame")).alias("payload"))
+        rows = chunks.select(F.col(key).alias("key"), F.col(order).alias("seq"), F.coalesce(chunk, F.lit("")).alias("chunk"))
+        cut = rows.repartition("key").sortWithinPartitions("key", "seq").mapInPandas(_cut, f"key {rows.schema['key'].dataType.simpleString()}, frame_no bigint, frame string")
+        return cut.where(F.ltrim("frame").startswith("data:")).select(F.col("key").alias(key), "frame_no", marked(F.col("frame")).alias("payload"))
     cut = chunks.select(key, order, F.posexplode(F.split(chunk, "\n\n", -1)).alias("k", "frame")).where(F.col("frame").startswith("data: "))
     number = F.row_number().over(Window.partitionBy(key).orderBy(order, "k")) - 1
     return cut.select(key, number.cast("long").alias("frame_no"), marked(F.col("frame")).alias("payload"))

@@ -285,6 +285,28 @@ WHERE regexp_matches(html, '(?s)<nav>.*?<li><a href=.*?</nav>')""",
 SELECT doc_id, CAST(0 AS INTEGER) AS entry_pos, 'inner/a.txt' AS entry_name, CAST(length(text) AS BIGINT) AS n_chars, false AS failed FROM documents WHERE doc_id % 10 <> 0
 UNION ALL SELECT doc_id, 1, 'b.bin', 0, false FROM documents WHERE doc_id % 10 <> 0
 UNION ALL SELECT doc_id, 0, NULL, 0, true FROM documents WHERE doc_id % 10 = 0""",
+    "text_by_suffix": """
+WITH d AS (SELECT doc_id, text, octet_length(encode(text)) AS size, doc_id % 6 AS k FROM documents),
+t AS (SELECT doc_id, CASE WHEN k = 0 THEN text WHEN k IN (1, 2) AND size % 7 <> 0 THEN 'page one of ' || size || chr(10) || chr(10) || 'page two' || chr(10) || chr(10) ELSE '' END AS text FROM d)
+SELECT doc_id, md5(text) AS text_md5, NOT regexp_matches(text, '[^\\s]') AS unreadable FROM t""",
+    "archive_listing": """
+SELECT CASE WHEN doc_id % 2 = 1 THEN doc_id || '.ZIP' ELSE doc_id || '.zip' END AS path, CASE WHEN doc_id % 10 = 0 THEN 'error' ELSE 'success' END AS status,
+       CASE WHEN doc_id % 10 <> 0 THEN 'inner/,inner/a.txt,b.bin' END AS names, doc_id % 10 = 0 AS failed FROM documents""",
+    "download_files": """
+SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN 'Page_' || page_id || CASE WHEN page_id % 2 = 1 THEN '.pdf' ELSE '.docx' END END AS file_name,
+       CASE WHEN page_id % 5 <> 0 THEN CAST(octet_length(encode(url || '#' || page_id)) AS BIGINT) END AS n_bytes, CASE WHEN page_id % 5 = 0 THEN '404 for ' || page_id END AS error FROM pages""",
+    "detail_page_cases": """
+WITH n AS (SELECT source AS search_term, max(doc_id) AS entry_id FROM documents WHERE doc_id % 7 = 3 GROUP BY source)
+SELECT search_term, entry_id, array_to_string([ 'http://host.example/' || entry_id || '/' || k || '=Doc ' || k FOR k IN range(0, entry_id % 3 + 1)], ';') AS links FROM n""",
+    "chat_turn": """
+WITH m AS (SELECT conv_id, count(*) FILTER (role IN ('user', 'assistant', 'model') AND text <> '') + 1 AS n,
+                  arg_max(length(text), turn) FILTER (role IN ('user', 'assistant', 'model') AND text <> '') AS size FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN n % 4 <> 0 THEN n || ' messages, the last of ' || size END AS reply, CASE WHEN n % 4 = 0 THEN 'the model is down' END AS error FROM m""",
+    "chat_history": """
+SELECT conv_id, turn, role, md5(text) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4""",
+    "term_checks": "SELECT p_partkey, length(trim(left(p_name, CAST(p_partkey % 12 AS INTEGER)))) >= 8 AS enough FROM part",
+    "iso_times": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso, CAST(year(ts) AS INTEGER) AS year FROM events",
+    "inline_data": "SELECT page_id, md5('data:image/png;base64,' || to_base64(encode(html))) AS url_md5 FROM pages",
     "upload_admission": """
 SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'application/pdf' ELSE 'image/png' END AS mime, CAST(length(html) * 200 AS BIGINT) AS length FROM pages
 WHERE page_id % 4 < 2 AND length(html) * 200 <= 2097152""",

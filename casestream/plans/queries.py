@@ -7,6 +7,7 @@ requests; conversations for chats."""
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 
@@ -26,7 +27,8 @@ from ..session import scratch
 from ..sources import files as Files
 from ..sources import html as H
 from ..sources.tables import table
-from .analysis import daily_check, processed_cases
+from .analysis import chat_turn as answer_chats
+from .analysis import daily_check, first_case_by_detail_pages, processed_cases
 
 SCALED = (L.Bucket(5, 28_800_000), L.Bucket(3, 14_400_000))
 
@@ -455,6 +457,99 @@ def zip_entries(spark, sf):
     return Files.extract_text(Files.expand_archives(files, keep=["doc_id"])).select("doc_id", "entry_pos", "entry_name", F.length("text").cast("long").alias("n_chars"), F.col("error").isNotNull().alias("failed"))
 
 
+def _named(spark, sf):
+    """Documents as files of several kinds: texts, PDFs that only OCR can read, capitals in suffixes, broken ones."""
+    ends = F.array(*[F.lit(x) for x in (".txt", ".pdf", ".PDF", ".TXT", ".docx", ".bin")])
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.get(ends, (F.col("doc_id") % 6).cast("int")))
+    return table(spark, sf, "documents").select("doc_id", name.alias("entry_name"), F.col("text").cast("binary").alias("content"))
+
+
+def _pages_of(content: bytes) -> list[str]:
+    """An OCR stand-in: two pages, or a failure where the size is a multiple of seven."""
+    if len(content) % 7 == 0:
+        raise OSError("unreadable image")
+    return [f"page one of {len(content)}", "page two"]
+
+
+def text_by_suffix(spark, sf):
+    """Texts by suffix with OCR, and what is left for the dead letters."""
+    texts = Files.extract_text(_named(spark, sf), ocr=_pages_of)
+    dead = Files.unreadable(texts).select("doc_id", F.lit(True).alias("unreadable"))
+    return texts.join(dead, "doc_id", "left").select("doc_id", F.md5("text").alias("text_md5"), F.coalesce("unreadable", F.lit(False)).alias("unreadable"))
+
+
+def archive_listing(spark, sf):
+    files = table(spark, sf, "documents").select("doc_id", "text").mapInPandas(_archives, "doc_id bigint, path string, content binary")
+    return Files.archive_listing(files).select("path", "status", F.array_join("extracted_files", ",").alias("names"), F.col("error_message").isNotNull().alias("failed"))
+
+
+def _fetch(url: str) -> tuple[bytes, dict[str, str]]:
+    """A fetch stand-in: the URL's bytes and headers by its page number."""
+    number = int(url.rpartition("#")[2])
+    if number % 5 == 0:
+        raise OSError(f"404 for {number}")
+    return url.encode(), {"content-type": "application/pdf"} if number % 2 else {"content-disposition": 'attachment; filename="a.docx"'}
+
+
+def download_files(spark, sf):
+    """Downloads, each by itself, written to a job's folder under safe names and read back."""
+    links = table(spark, sf, "pages").select("page_id", F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("url"))
+    got = Files.download(links, _fetch)
+    end = T.extension_of_download("disposition", "mime", F.lit("x"))
+    named = got.select("page_id", "error", "content", F.concat(T.download_name(F.concat(F.lit("Page "), F.col("page_id").cast("string"))), end).alias("file_name"))
+    folder = scratch(spark, "downloads")
+    Files.write_files(named.where("error is null"), folder)
+    there = spark.read.parquet(folder).select("file_name", F.octet_length("content").cast("long").alias("n_bytes"))
+    failed = F.col("error").isNotNull()
+    return named.select("page_id", "error", F.when(~failed, F.col("file_name")).alias("file_name")).join(there, "file_name", "left").select("page_id", "file_name", "n_bytes", "error")
+
+
+def detail_page_cases(spark, sf):
+    """The newest document of each term with links on its detail page, with all of them."""
+    entries = _documents(spark, sf).select("search_term", F.col("doc_id").alias("entry_id"), (-F.col("doc_id")).alias("result_pos"))
+    pages = entries.where("entry_id % 7 = 3").select("entry_id", F.explode(F.sequence(F.lit(0), (F.col("entry_id") % 3).cast("int"))).alias("link_pos"))
+    links = pages.withColumns({"url": F.concat_ws("/", F.lit("http://host.example"), "entry_id", "link_pos"), "text": F.concat(F.lit("Doc "), "link_pos")})
+    found = first_case_by_detail_pages(entries, links)
+    return found.select("search_term", "entry_id", F.array_join(F.transform("document_links", lambda x: F.concat(x["url"], F.lit("="), x["text"])), ";").alias("links"))
+
+
+def _echo():
+    def reply(chat: str) -> str:
+        messages = json.loads(chat)
+        if len(messages) % 4 == 0:
+            raise RuntimeError("the model is down")
+        return f"{len(messages)} messages, the last of {len(messages[-1]['content'])}"
+
+    return reply
+
+
+def chat_turn(spark, sf):
+    return answer_chats(_messages(spark, sf), _echo).select("conv_id", "reply", "error")
+
+
+def chat_history(spark, sf):
+    """Stored, and read again; a folder that isn't there reads as a first visit."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    folder = scratch(spark, "history")
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    first_visit = C.read_history(spark, folder, schema)
+    C.write_history(rows, folder, 4)
+    return C.read_history(spark, folder, schema).union(first_visit).select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+def term_checks(spark, sf):
+    odd = F.concat(F.lit(" \t"), F.left("p_name", (F.col("p_partkey") % 12).cast("int")), F.lit("\n"))
+    return table(spark, sf, "part").select("p_partkey", T.is_search_term(odd).alias("enough"))
+
+
+def iso_times(spark, sf):
+    return table(spark, sf, "events").select("event_id", T.iso_time("ts").alias("iso"), F.year("ts").alias("year"))
+
+
+def inline_data(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.md5(T.data_url(F.col("html").cast("binary"), "image/png")).alias("url_md5"))
+
+
 def upload_admission(spark, sf):
     kinds = F.array(*[F.lit(m) for m in ("application/pdf", "image/png", "text/html", "image/tiff")])
     rows = table(spark, sf, "pages").select("page_id", F.get(kinds, (F.col("page_id") % 4).cast("int")).alias("mime"), (F.length("html").cast("long") * 200).alias("length"))
@@ -489,6 +584,6 @@ QUERIES = {
         fence_strip_parse, subscribe_inserts, subscribe_conflicts, subscribe_ids, unsubscribe, active_subscriptions, change_detection, cursor_advance, mail_outbox,
         daily_check_notices, chat_normalised, chat_attachment, chat_last_n, chat_without_last, chat_running_text, chat_client_messages, chat_json_bodies, token_stream,
         token_bucket, token_bucket_stream, fixed_windows, queue_times, sse_frames, sse_frames_unbuffered, html_entries, html_entries_plain, html_links, html_navigation,
-        zip_entries, upload_admission, clamp_settings, search_by_term, display_defaults, whitespace,
+        zip_entries, text_by_suffix, archive_listing, download_files, detail_page_cases, chat_turn, chat_history, term_checks, iso_times, inline_data, upload_admission, clamp_settings, search_by_term, display_defaults, whitespace,
     )
 }

@@ -169,6 +169,12 @@ def download(links: DataFrame, fetch: Callable[[str], tuple[bytes, dict[str, str
     return links.withColumn("__got", get(url)).select(*links.columns, "__got.*")
 
 
+def write_files(files: DataFrame, path: str) -> None:
+    """Write downloads (file_name, content), a row for each, so that a reader takes them by name; a job's
+    folder holds them until it is deleted as a whole."""
+    files.select("file_name", "content").write.mode("overwrite").parquet(path)
+
+
 def unreadable(documents: DataFrame) -> DataFrame:
     """Dead letters: documents without text."""
     return documents.where(is_blank("text"))
