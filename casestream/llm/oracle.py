@@ -74,6 +74,7 @@ ORACLES: dict[str, str] = {
     "op1_mixing": _MIXING,
     "op3_near_dup": _NEAR,
     "op6_quality_rules": quality_rules.ORACLE,
+    "rule_ablations": quality_rules.ABLATIONS,
     "op8_topk_search": topk_search.ORACLE,
     "op9_chat_format": _CHAT,
 }

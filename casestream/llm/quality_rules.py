@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import stage, words_of
 
 # The characters that count as symbols, and white space between words.
 SYMBOLS = "#*$%&|<>"
@@ -72,10 +72,10 @@ def _repeat_words(words: Column) -> Column:
     at = F.sequence(F.lit(0), n - 3)
     window = F.transform(at, lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
     # Null stands in front of and behind the sorted windows.
-    line = F.array_sort(window)
+    line = F.sort_array(window)
     same = lambda line, x, j: (x["h"] == F.get(line, j - 1)["h"]).eqNullSafe(True) | (x["h"] == F.get(line, j + 1)["h"]).eqNullSafe(True)
     twice = F.transform(F.array(line), lambda s: F.transform(F.filter(s, lambda x, j: same(s, x, j)), lambda x: x["i"]))
-    places = F.array_sort(F.get(twice, 0))
+    places = F.sort_array(F.get(twice, 0))
     covered = F.transform(F.array(places), lambda p: F.aggregate(F.transform(p, lambda i, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - i, F.lit(3)))), F.lit(0), lambda a, x: a + x))
     return F.when(n < 3, F.lit(0)).otherwise(F.get(covered, 0))
 
@@ -131,6 +131,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed, "kept", "failed")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of the whole `documents` table, stored once, and the ablations of every policy from it."""
+    book = stage(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "rule-ledger")
+    each = [ablations(book, p).withColumn("policy", F.lit(v)) for v, p in sorted(POLICIES.items())]
+    return each[0].unionByName(each[1])
+
+
 _FAILS = " | ".join(f"(CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END)" for i, r in enumerate(RULES))
 
 ORACLE = f"""
@@ -159,3 +166,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed & {POLICIES[1].mask}) <> 0 AS base_failed, (failed & {POLICIES[PRODUCTION].mask}) = 0 AS kept, failed
 FROM f
 """
+
+_RULE_ROWS = ", ".join(f"({v}, {p.mask}, {1 << i}, '{r.name}')" for v, p in POLICIES.items() for i, r in enumerate(RULES) if r.name in p.rules)
+
+ABLATIONS = f"""
+WITH book AS ({ORACLE}), rules AS (SELECT * FROM (VALUES {_RULE_ROWS}) AS x(policy, mask, bit, rule))
+SELECT policy, rule, count(*) FILTER ((failed & mask & bit) <> 0) AS n_failed, count(*) FILTER ((failed & mask) = bit) AS n_failed_alone, count(*) FILTER ((failed & mask) = 0) AS n_kept
+FROM book, rules GROUP BY policy, rule
+"""

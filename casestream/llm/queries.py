@@ -10,7 +10,7 @@ from .near_dup import op3_near_dup
 from .oracle import ORACLES
 from .packing import op4_packing
 from .quality_classifier import op2_quality_classifier
-from .quality_rules import op6_quality_rules
+from .quality_rules import op6_quality_rules, rule_ablations
 from .token_files import op5_token_files
 from .topk_search import op8_topk_search
 
@@ -21,6 +21,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
     "op6_quality_rules": op6_quality_rules,
+    "rule_ablations": rule_ablations,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_topk_search": op8_topk_search,
     "op9_chat_format": op9_chat_format,
