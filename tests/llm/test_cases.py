@@ -1,6 +1,7 @@
 """Odd rows for every operator, and the corpus pipeline, each stage against a brute-force version."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -301,3 +302,15 @@ def test_pipeline_drops_its_tables(spark, tmp_path):
     assert b.agg(F.sum("id")).first()[0] == 6
     with pytest.raises(Exception, match="(?i)not.*exist|FILE_NOT_EXIST|FileNotFound"):
         a.count()
+
+
+def test_classifier_agrees_with_given_labels(spark):
+    """Held-out accuracy: the model never sees `labels`."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.exists(f"{folder}/labels.parquet"):
+        pytest.skip("no test data here")
+    judged = quality_classifier.op2_quality_classifier(spark, folder)
+    rows = judged.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("quality", "kept").collect()
+    bad, good = [r.kept for r in rows if r.quality == 0], [r.kept for r in rows if r.quality == 1]
+    print(f"rejected {1 - sum(bad) / len(bad):.3f} of {len(bad)} low-quality, {1 - sum(good) / len(good):.3f} of {len(good)} others")
+    assert sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.97 * len(good)
