@@ -15,8 +15,9 @@ A bucket never turns into all its pairs. First each node is compared with the
 nearest of the smallest and largest nodes of its buckets; the links that full sets
 confirm give a first grouping. Links inside a group can't change the groups, so only
 pairs of different groups are left, and one rule holds for them: every pair that meets
-in a bucket is compared by its full sets. Where neither group is big, a pair is taken
-in the first bucket that both share; where one is big, its nodes and the outside nodes
+in a bucket and differs in at most FAR_LANES lanes is compared by its full sets; of
+pairs at similarity 0.75 one in a million is farther apart. Where neither group is big, a
+pair is taken in the first bucket that both share; where one is big, its nodes and the outside nodes
 that meet it in some bucket are laid in tiles, blocks of both sides' full sets, and of
 each outside node one link at most leaves a tile.
 
@@ -44,6 +45,8 @@ LANES, CHUNK, LANE_BITS = 48, 4, 16
 CHUNKS = LANES // CHUNK
 #: The distance up to which the index finds every pair. The first round looks at no others.
 MOST_LANES = 2 * CHUNKS - 1
+#: Lanes beyond which no pair is at the similarity asked for.
+FAR_LANES = 27
 #: Pairs of each node that the first round confirms at most.
 FIRST_TRIES = 4
 #: Groups of so many nodes are compared with outside nodes in tiles of about TILE_BYTES of shingles each side.
@@ -140,7 +143,7 @@ def _lanes(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def _near_in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): of two blocks of a bucket the pairs of different groups, unless an earlier bucket
+    """(a, b): of two blocks of a bucket the pairs of different groups up to FAR_LANES apart, unless an earlier bucket
     has the pair too: of an earlier chunk, or of an equal chunk's first lane."""
     for batch in batches:
         for row in range(batch.num_rows):
@@ -154,7 +157,7 @@ def _near_in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 if not len(other):
                     continue
                 lanes = _lanes(s1[i], s2[other])
-                keep = (lanes[:, :chunk] > 1).all(axis=1) & ((lanes[:, chunk] == 1) | (lane == 0))
+                keep = (lanes.sum(axis=1) <= FAR_LANES) & (lanes[:, :chunk] > 1).all(axis=1) & ((lanes[:, chunk] == 1) | (lane == 0))
                 met = n2[other[keep]]
                 if len(met):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(met, n1[i])), pa.array(np.maximum(met, n1[i]))], ["a", "b"])
