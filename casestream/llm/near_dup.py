@@ -16,10 +16,11 @@ nearest of the smallest and largest nodes of its buckets; the links that full se
 confirm give a first grouping. Links inside a group can't change the groups, so only
 pairs of different groups are left, and one rule holds for them: every pair that meets
 in a bucket and differs in at most FAR_LANES lanes is compared by its full sets; of
-pairs at similarity 0.75 one in a million is farther apart. Where neither group is big, a
-pair is taken in the first bucket that both share; where one is big, its nodes and the outside nodes
-that meet it in some bucket are laid in tiles, blocks of both sides' full sets, and of
-each outside node one link at most leaves a tile.
+pairs at similarity 0.75 one in a million is farther apart. Where one group is big, its
+nodes and the outside nodes that meet it in some bucket are laid in tiles, blocks of both
+sides' full sets, and of each outside node one link at most leaves a tile. Those links
+join groups again, and then, where neither group is big, a pair that still is of different
+groups is taken in the first bucket that both share.
 
 Defined cases: null texts and texts without words have an empty set, are linked
 with nothing and form their own component; a text may be of any length; rows that
@@ -262,20 +263,23 @@ def link_rows(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     several = placed.groupBy("key").agg(F.min("root").alias("__low"), F.max("root").alias("__high")).where("__low < __high").select("key")
     open_ = stage(placed.join(several, "key"), "near-open")
 
-    # Neither group is big: the pairs that signatures allow.
-    small = open_.where("not big").join(signatures, "node").select("key", "slot", "node", "root", *words)
+    # One group is big: its nodes against the outside nodes that it meets, in tiles.
+    hosts = open_.where("big").select("key", F.col("root").alias("group")).distinct()
+    outside = open_.select("key", "node", "root", "big").join(hosts, "key").where((F.col("root") != F.col("group")) & (~F.col("big") | (F.col("root") < F.col("group"))))
+    outside = stage(outside.select("group", "node").distinct(), "near-outside")
+    inside = grouped.join(outside.select(F.col("group").alias("root")).distinct(), "root", "left_semi").select(F.col("root").alias("group"), "node")
+    across = stage(_tiles(inside, outside, sets).mapInArrow(_tile(percent), "a bigint, b bigint"), "near-across")
+    if not across.isEmpty():
+        grouped = components(links.union(across), "near-second")
+
+    # Neither group is big: the pairs that signatures allow, of groups that are still different.
+    small = open_.where("not big").drop("root").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node")).join(signatures, "node").select("key", "slot", "node", "root", *words)
     parts = small.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET_BLOCK).cast("int").alias("parts"), F.min("root").alias("__low"), F.max("root").alias("__high")).where("__low < __high").select("key", "parts")
     blocks = small.join(parts, "key").groupBy("key", "slot", "parts", F.pmod(F.xxhash64("node", F.lit(4)), F.col("parts")).cast("int").alias("part")).agg(F.collect_list(F.struct("node", "root", *words)).alias("block"))
     met = _bucket_tiles(stage(blocks, "near-blocks"))
     rest = met.mapInArrow(_near_in_bucket, "a bigint, b bigint")
     later = _confirmed(stage(rest, "near-rest"), sets, percent)
 
-    # One group is big: its nodes against the outside nodes that it meets, in tiles.
-    hosts = open_.where("big").select("key", F.col("root").alias("group")).distinct()
-    outside = open_.select("key", "node", "root", "big").join(hosts, "key").where((F.col("root") != F.col("group")) & (~F.col("big") | (F.col("root") < F.col("group"))))
-    outside = stage(outside.select("group", "node").distinct(), "near-outside")
-    inside = grouped.join(outside.select(F.col("group").alias("root")).distinct(), "root", "left_semi").select(F.col("root").alias("group"), "node")
-    across = _tiles(inside, outside, sets).mapInArrow(_tile(percent), "a bigint, b bigint")
     final = components(links.union(later).union(across), "near-final")
 
     node_root = nodes.join(final, "node", "left").select("node", "check", "n_shingles", "first_row", F.coalesce("root", "node").alias("root"))
