@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules, topk_search
+from . import fill_middle, quality_rules, topk_search
 
 # Mixing, with every quotient laid out: both deals by rank among all of them.
 _MIXING = """
@@ -77,4 +77,5 @@ ORACLES: dict[str, str] = {
     "rule_ablations": quality_rules.ABLATIONS,
     "op8_topk_search": topk_search.ORACLE,
     "op9_chat_format": _CHAT,
+    "op13_fill_in_middle": fill_middle.ORACLE,
 }

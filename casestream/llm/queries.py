@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import op9_chat_format
+from .fill_middle import op13_fill_in_middle
 from .line_dedup import op10_line_dedup
 from .lm_scoring import op7_lm_scoring
 from .mixing import op1_mixing
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_chat_format": op9_chat_format,
     "op10_line_dedup": op10_line_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
