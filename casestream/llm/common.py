@@ -202,6 +202,27 @@ def maybe_in(df: DataFrame, column: str, bitmap: Bitmap, inverse: bool = False)
     return joined.where(~hit if inverse else hit).drop("__page", "__bit", "__words")
 
 
+# -- joins that hot keys can't hurt ------------------------------------------
+
+#: A key with more than one in so many of all rows is hot: there are at most so many such keys, and they are broadcast.
+HOT_SHARE = 1000
+
+
+def join_by_key(rows: DataFrame, values: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Every row with the columns of its key in `values`, null keys being equal; without a match they are null. `values` has
+    one row for each key, and in `count` how many of the rows have it: keys that hold more than a thousandth of
+    all rows, at most HOT_SHARE, are broadcast, so that none of them is shuffled to one task."""
+    total = values.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT_SHARE > total
+    named = values.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    drop = [f"__{k}" for k in keys]
+    few = named.where(hot).withColumn("__hot", F.lit(True))
+    marked = rows.join(F.broadcast(few), same, "left")
+    rest = marked.where(F.col("__hot").isNull()).select(*rows.columns).join(named.where(~hot), same, "left")
+    return marked.where("__hot").drop("__hot", *drop).unionByName(rest.drop(*drop))
+
+
 # -- connected components --------------------------------------------------
 
 

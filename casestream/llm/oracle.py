@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fill_middle, quality_rules, topk_search
+from . import fill_middle, quality_rules, topk_search, vector_codes
 
 # Mixing, with every quotient laid out: both deals by rank among all of them.
 _MIXING = """
@@ -77,5 +77,6 @@ ORACLES: dict[str, str] = {
     "rule_ablations": quality_rules.ABLATIONS,
     "op8_topk_search": topk_search.ORACLE,
     "op9_chat_format": _CHAT,
+    "op12_vector_codes": vector_codes.ORACLE,
     "op13_fill_in_middle": fill_middle.ORACLE,
 }

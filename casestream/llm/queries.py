@@ -12,8 +12,10 @@ from .oracle import ORACLES
 from .packing import op4_packing
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op6_quality_rules, rule_ablations
+from .simhash_dedup import op11_simhash_dedup
 from .token_files import op5_token_files
 from .topk_search import op8_topk_search
+from .vector_codes import op12_vector_codes
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -27,6 +29,8 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_chat_format": op9_chat_format,
     "op10_line_dedup": op10_line_dedup,
+    "op11_simhash_dedup": op11_simhash_dedup,
+    "op12_vector_codes": op12_vector_codes,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
