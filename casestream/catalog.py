@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from .plans.oracle import ORACLES
-from .plans.queries import QUERIES
+from .plans import live, oracle
+from .plans import queries as batch
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {**batch.QUERIES, **live.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLES)
+    return {**oracle.ORACLES, **live.ORACLES}

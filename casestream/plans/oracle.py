@@ -80,7 +80,7 @@ SELECT event_id, user_id, allowed, reason, CAST(retry_after_ms AS BIGINT) AS ret
 """
 
 _FRAMES = """
-rows AS (SELECT conv_id, turn, '{"content":"' || regexp_replace(text, '[^A-Za-z ]', '', 'g') || '"}' AS payload FROM conversations)"""
+rows AS (SELECT conv_id, turn, '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || '}' AS payload FROM conversations)"""
 
 ORACLES = {
     "digest_latest_two": _DIGEST,

@@ -290,13 +290,13 @@ def daily_check_notices(spark, sf):
 
 def change_feed(spark, sf):
     """Cursors after a run of the feed; every fourth subscription's mail isn't delivered."""
+    from ..sources.versioned import VersionedTable
     from ..streaming.change_feed import change_feed as feed
-    from ..streaming.change_feed import read_cursor
 
     latest = _latest_orders(spark, sf)
     folder = scratch(spark, "change-feed")
     subs = _followers(spark, sf, latest)
-    subs.write.parquet(f"{folder}/cursor/v=0")
+    cursor = VersionedTable.create(subs, f"{folder}/cursor", ["id"], buckets=16)
     # The newest order has no document where its key is odd; the one before it then counts.
     orders = table(spark, sf, "orders")
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())) - 1
@@ -308,10 +308,9 @@ def change_feed(spark, sf):
     stream = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 100_000).parquet(f"{folder}/entries")
     deliver = lambda mail: mail.where("subscription_id % 4 <> 0")
     analyse = lambda cases: cases.select("search_term", F.concat(F.lit("About "), "case_number").alias("analysis"))
-    feed(stream, f"{folder}/cursor", f"{folder}/outbox", f"{folder}/state", deliver, analyse).awaitTermination()
-    mail = spark.read.schema("subscription_id bigint, body string").parquet(f"{folder}/outbox").select("subscription_id", F.md5("body").alias("body_md5"))
-    cursor = read_cursor(spark, f"{folder}/cursor")
-    return cursor.join(mail, F.col("id") == F.col("subscription_id"), "left").select("id", "last_seen_case_identifier", "body_md5")
+    feed(stream, cursor, f"{folder}/outbox", f"{folder}/state", deliver, analyse).awaitTermination()
+    mail = spark.read.schema("subscription_id bigint, body string").parquet(f"{folder}/outbox/mail").select("subscription_id", F.md5("body").alias("body_md5"))
+    return cursor.read().join(mail, F.col("id") == F.col("subscription_id"), "left").select("id", "last_seen_case_identifier", "body_md5")
 
 
 def _messages(spark, sf):
@@ -387,11 +386,13 @@ def queue_times(spark, sf):
 
 
 def _chunks(spark, sf):
-    words = F.regexp_replace("text", "[^A-Za-z ]", "")
-    rows = table(spark, sf, "conversations").withColumn("frame", F.concat(F.lit('data: {"content":"'), words, F.lit('"}\n\n')))
+    """The messages of each conversation as one text of event frames, cut every 40 characters; the last chunk ends the connection."""
+    body = F.to_json(F.struct(F.col("text").alias("content")), {"ignoreNullFields": "false"})
+    rows = table(spark, sf, "conversations").withColumn("frame", F.concat(F.lit("data: "), body, F.lit("\n\n")))
     whole = rows.groupBy("conv_id").agg(T.ordered_text(F.col("frame"), F.col("turn"), "").alias("whole"))
-    cut = F.explode(F.sequence(F.lit(0), F.floor((F.length("whole") - 1) / 40))).alias("seq")
-    return whole.select("conv_id", "whole", cut).select("conv_id", "seq", F.expr("substring(whole, cast(seq * 40 + 1 as int), 40)").alias("chunk"))
+    last = F.floor((F.length("whole") - 1) / 40)
+    cut = whole.select("conv_id", "whole", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("seq"))
+    return cut.select("conv_id", "seq", F.expr("substring(whole, cast(seq * 40 + 1 as int), 40)").alias("chunk"), (F.col("seq") == F.col("last")).alias("ended"))
 
 
 def sse_frames(spark, sf):

@@ -1,5 +1,15 @@
-"""Event frames over a stream of text chunks: what follows the last blank line waits in the
-state, and comes out as a last frame with the chunk that is marked as the connection's end."""
+"""Event frames over a stream of text chunks that may come in any order.
+
+A connection's chunks are numbered from 0. One that comes before its turn waits in a map in the state
+store, by its number, and leaves it when all before it have come; a frame that is not yet
+closed by a blank line waits too. What follows the last blank line comes out as a last frame with the
+chunk that is marked as the connection's end.
+
+Memory: one Arrow batch and the open frame of one connection. The map is as large as the gap: a stream in order
+never writes to it. A number that has been read already counts once, so a source that
+repeats chunks does no harm. With `patience`, a connection whose missing chunk doesn't come within that time after
+its last chunk is given up: one row with `error` names the missing number, and its state goes. Such a query has a clock to run
+by; one that takes what there is and stops has none, and waits."""
 
 from __future__ import annotations
 
@@ -7,40 +17,93 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUT = "key string, frame_no bigint, payload string"
+OUT = "key string, frame_no bigint, payload string, error string"
+_COLUMNS = ["key", "frame_no", "payload", "error"]
 
 
 class FrameProcessor(StatefulProcessor):
+    def __init__(self, patience_ms: int | None = None):
+        self.patience_ms = patience_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("rest", "rest string, next bigint")
+        self.handle = handle
+        self.place = handle.getValueState("place", "rest string, next_chunk bigint, next_frame bigint")
+        self.waiting = handle.getMapState("waiting", "seq bigint", "chunk string, ended boolean")
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def _next(self, seq: int) -> tuple[str, bool] | None:
+        """The chunk of that number, if it waits."""
+        if not self.waiting.containsKey((seq,)):
+            return None
+        found = tuple(self.waiting.getValue((seq,)))
+        self.waiting.removeKey((seq,))
+        return found
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rest, number = tuple(self.state.get()) if self.state.exists() else ("", 0)
-        # The chunks of a micro-batch come in any order.
-        todo = pd.concat(list(rows)).sort_values("seq")
-        out, ended = [], False
-        for chunk, end in zip(todo["chunk"], todo["ended"], strict=True):
-            *frames, rest = (rest + (chunk or "")).split("\n\n")
-            ended = ended or bool(end)
-            for frame in [*frames, rest] if end else frames:
-                if frame.lstrip().startswith("data:"):
-                    out.append((key[0], number, frame.replace("data: ", "", 1)))
-                number += 1
+        rest, expected, number = tuple(self.place.get()) if self.place.exists() else ("", 0, 0)
+        held, ended = self.waiting.exists(), False
+        for batch in rows:
+            out = []
+            for seq, chunk, end in batch.sort_values("seq")[["seq", "chunk", "ended"]].itertuples(index=False):
+                if seq > expected and not ended:
+                    self.waiting.updateValue((int(seq),), (chunk or "", bool(end)))
+                    held = True
+                turn = (chunk or "", bool(end)) if seq == expected and not ended else None
+                while turn is not None:
+                    text, ended = turn
+                    frames = (rest + text).split("\n\n")
+                    rest = "" if ended else frames.pop()
+                    out += [(key[0], number + k, f.replace("data: ", "", 1), None) for k, f in enumerate(frames) if f.lstrip().startswith("data:")]
+                    number, expected = number + len(frames), expected + 1
+                    turn = self._next(expected) if held and not ended else None
+            yield pd.DataFrame(out, columns=_COLUMNS)
         if ended:
-            self.state.clear()
+            self._forget()
         else:
-            self.state.update((rest, number))
-        yield pd.DataFrame(out, columns=["key", "frame_no", "payload"])
+            self.place.update((rest, expected, number))
+            self._wait(timerValues)
+
+    def _wait(self, timerValues) -> None:
+        """Set the timer anew while there is a gap."""
+        if self.patience_ms is None:
+            return
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+            self.timer.clear()
+        if self.waiting.exists():
+            at = timerValues.getCurrentProcessingTimeInMs() + self.patience_ms
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def _forget(self) -> None:
+        if self.patience_ms is not None and self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+        for state in (self.place, self.waiting, self.timer):
+            state.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, expected, number = tuple(self.place.get())
+        self.timer.clear()
+        self._forget()
+        yield pd.DataFrame([(key[0], number, None, f"chunk {expected} is missing")], columns=_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def frame_stream(chunks: DataFrame, key: str = "conv_id") -> DataFrame:
-    """`chunks` has the key, seq, chunk and, if a connection's end is known, ended, in order from
-    batch to batch."""
+def frame_stream(chunks: DataFrame, key: str = "conv_id", patience_ms: int | None = None) -> DataFrame:
+    """`chunks` has the key, seq, chunk and, if a connection's end is known, ended: (key, frame_no, payload), and
+    with `patience_ms` error. Rows without a number are no chunks."""
     ended = "ended" if "ended" in chunks.columns else "false as ended"
-    rows = chunks.selectExpr(f"cast({key} as string) as key", "seq", "chunk", ended)
-    return rows.groupBy("key").transformWithStateInPandas(FrameProcessor(), outputStructType=OUT, outputMode="Append", timeMode="None")
+    rows = chunks.where("seq is not null").selectExpr(f"cast({key} as string) as key", "cast(seq as bigint) as seq", "chunk", ended)
+    out = rows.groupBy("key").transformWithStateInPandas(FrameProcessor(patience_ms), outputStructType=OUT, outputMode="Append", timeMode="None" if patience_ms is None else "ProcessingTime")
+    return out.drop("error") if patience_ms is None else out
+
+
+def finished_frames(frames: DataFrame) -> DataFrame:
+    """The frames of connections that weren't given up."""
+    given_up = frames.where(F.col("error").isNotNull()).select("key")
+    return frames.where(F.col("error").isNull()).join(given_up, "key", "left_anti")
