@@ -55,6 +55,13 @@ BIG_GROUP, TILE_BYTES = 32, 2_000_000
 #: Nodes of a bucket that are compared at once with as many others.
 BUCKET_BLOCK = 1024
 
+
+def _sizes_allow(one, two, percent: int):
+    """Whether sets of such sizes can be that similar: the smaller holds all they share, the larger is part of their union."""
+    least, most = (F.least, F.greatest) if isinstance(one, Column) else (np.minimum, np.maximum)
+    return 100 * least(one, two) >= percent * most(one, two)
+
+
 _RANDOM = np.random.default_rng(48)
 _MULTIPLY = _RANDOM.integers(0, 2**63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RANDOM.integers(0, 2**63, LANES, dtype=np.uint64)
@@ -143,25 +150,29 @@ def _lanes(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.bitwise_count((d + np.uint64(0x3FFF3FFF3FFF3FFF)) & np.uint64(0x4000400040004000))
 
 
-def _near_in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): of two blocks of a bucket the pairs of different groups up to FAR_LANES apart, unless an earlier bucket
-    has the pair too: of an earlier chunk, or of an equal chunk's first lane."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            one, two = (batch.column(c)[row].values.flatten() for c in ("one", "two"))
-            (n1, r1), (n2, r2) = ([x[i].to_numpy() for i in (0, 1)] for x in (one, two))
-            s1, s2 = (np.stack([c.to_numpy() for c in x[2:]], axis=1).view(np.uint64) for x in (one, two))
-            slot, same = batch.column("slot")[row].as_py(), batch.column("same")[row].as_py()
-            chunk, lane = divmod(slot, CHUNK)
-            for i in range(len(n1)):
-                other = np.flatnonzero((r2 != r1[i]) & ((n2 > n1[i]) | (not same)))
-                if not len(other):
-                    continue
-                lanes = _lanes(s1[i], s2[other])
-                keep = (lanes.sum(axis=1) <= FAR_LANES) & (lanes[:, :chunk] > 1).all(axis=1) & ((lanes[:, chunk] == 1) | (lane == 0))
-                met = n2[other[keep]]
-                if len(met):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(met, n1[i])), pa.array(np.maximum(met, n1[i]))], ["a", "b"])
+def _near_in_bucket(percent: int):
+    """(a, b): of two blocks of a bucket the pairs of different groups up to FAR_LANES apart whose sizes allow the
+    similarity, unless an earlier bucket has the pair too: of an earlier chunk, or of an equal chunk's first lane."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one, two = (batch.column(c)[row].values.flatten() for c in ("one", "two"))
+                (n1, r1, z1), (n2, r2, z2) = ([x[i].to_numpy() for i in (0, 1, 2)] for x in (one, two))
+                s1, s2 = (np.stack([c.to_numpy() for c in x[3:]], axis=1).view(np.uint64) for x in (one, two))
+                slot, same = batch.column("slot")[row].as_py(), batch.column("same")[row].as_py()
+                chunk, lane = divmod(slot, CHUNK)
+                for i in range(len(n1)):
+                    other = np.flatnonzero((r2 != r1[i]) & ((n2 > n1[i]) | (not same)) & _sizes_allow(z1[i], z2, percent))
+                    if not len(other):
+                        continue
+                    lanes = _lanes(s1[i], s2[other])
+                    keep = (lanes.sum(axis=1) <= FAR_LANES) & (lanes[:, :chunk] > 1).all(axis=1) & ((lanes[:, chunk] == 1) | (lane == 0))
+                    met = n2[other[keep]]
+                    if len(met):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(met, n1[i])), pa.array(np.maximum(met, n1[i]))], ["a", "b"])
+
+    return run
 
 
 def _tile(percent: int):
@@ -240,10 +251,11 @@ def link_rows(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     buckets = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     members = stage(index.join(buckets, "key"), "near-members")
 
-    signatures = nodes.select("node", *words)
+    signatures = nodes.select("node", "n_shingles", *words)
     tried = members.select("node", F.explode(F.array("low", "high")).alias("hub")).where("node <> hub")
     tried = tried.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     tried = tried.join(signatures.alias("x"), F.col("a") == F.col("x.node")).join(signatures.alias("y"), F.col("b") == F.col("y.node"))
+    tried = tried.where(_sizes_allow(F.col("x.n_shingles"), F.col("y.n_shingles"), percent))
     tried = stage(tried.select("a", "b", _lanes_apart("x", "y").alias("apart")).where(F.col("apart") <= MOST_LANES), "near-tried")
     both = tried.select(F.col("a").alias("node"), "a", "b", "apart").union(tried.select(F.col("b").alias("node"), "a", "b", "apart"))
     # The nearest of each of a few random classes of a node's pairs: minima, which combine before the shuffle.
@@ -273,11 +285,11 @@ def link_rows(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
         grouped = components(links.union(across), "near-second")
 
     # Neither group is big: the pairs that signatures allow, of groups that are still different.
-    small = open_.where("not big").drop("root").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node")).join(signatures, "node").select("key", "slot", "node", "root", *words)
+    small = open_.where("not big").drop("root").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node")).join(signatures, "node").select("key", "slot", "node", "root", "n_shingles", *words)
     parts = small.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET_BLOCK).cast("int").alias("parts"), F.min("root").alias("__low"), F.max("root").alias("__high")).where("__low < __high").select("key", "parts")
-    blocks = small.join(parts, "key").groupBy("key", "slot", "parts", F.pmod(F.xxhash64("node", F.lit(4)), F.col("parts")).cast("int").alias("part")).agg(F.collect_list(F.struct("node", "root", *words)).alias("block"))
+    blocks = small.join(parts, "key").groupBy("key", "slot", "parts", F.pmod(F.xxhash64("node", F.lit(4)), F.col("parts")).cast("int").alias("part")).agg(F.collect_list(F.struct("node", "root", "n_shingles", *words)).alias("block"))
     met = _bucket_tiles(stage(blocks, "near-blocks"))
-    rest = met.mapInArrow(_near_in_bucket, "a bigint, b bigint")
+    rest = met.mapInArrow(_near_in_bucket(percent), "a bigint, b bigint")
     later = _confirmed(stage(rest, "near-rest"), sets, percent)
 
     final = components(links.union(later).union(across), "near-final")
