@@ -7,8 +7,8 @@ lookup by doc_id skips files, stripes and row groups by their least and largest
 doc_id and by the Bloom filters, before any ids are read.
 
 Defined cases: a null or empty text is a row with the end id alone; a null
-doc_id comes first; rows that repeat a doc_id stand one after the other, by
-their ids' checksum; a text may be of any length; an empty table writes no rows; other
+doc_id comes first; rows that repeat a doc_id stand one after the other, and each is found at its own
+place, since a row's number in its file is stored with it; a text may be of any length; an empty table writes no rows; other
 columns aren't read.
 """
 
@@ -28,21 +28,23 @@ from .tokens import encoder
 END_ID = 1
 #: Bytes of text that a file holds at most, but for a range of equal doc_ids.
 FILE_BYTES = 256 << 20
-_ROW = "doc_id bigint, n_tokens bigint, ids array<int>"
-_DIGEST = "doc_id bigint, n_tokens bigint, ids_crc32 bigint, file string"
+_ROW = "doc_id bigint, n_tokens bigint, ids array<int>, row bigint"
+_DIGEST = "doc_id bigint, n_tokens bigint, row bigint, ids_crc32 bigint, file string"
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode, done = encoder(path).encode, 0
         for batch in batches:
             for row, data, offsets in text_slices(batch.column("text")):
                 ids, at = encode(data, offsets)
                 closed = np.insert(ids, at[1:], end_id)
                 at = (at + np.arange(len(at))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(closed.astype(np.int32)))
-                columns = [batch.column("doc_id").slice(row, len(at) - 1), pa.array(np.diff(at).astype(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids"])
+                numbers = np.arange(done, done + len(at) - 1, dtype=np.int64)
+                done += len(numbers)
+                columns = [batch.column("doc_id").slice(row, len(numbers)), pa.array(np.diff(at).astype(np.int64)), lists, pa.array(numbers)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "row"])
 
     return run
 
@@ -53,12 +55,12 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = ids.offsets.to_numpy()
         flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
         crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-        columns = [batch.column("doc_id"), batch.column("n_tokens"), pa.array(crc, pa.int64()), batch.column("file")]
+        columns = [*(batch.column(c) for c in ("doc_id", "n_tokens", "row")), pa.array(crc, pa.int64()), batch.column("file")]
         yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _DIGEST.split(", ")])
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, stripe_mb: int = 16) -> None:
-    """Write (doc_id, n_tokens, ids) of all rows of `docs` as ORC under `path`."""
+    """Write (doc_id, n_tokens, ids, row) of all rows of `docs` as ORC under `path`; row counts the rows of a file."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # As many files as keep FILE_BYTES of text each; not coalesced by size, so that encoding, which costs far more than reading, stays spread.
@@ -78,7 +80,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of the files under `path`; filters on doc_id are
+    """(doc_id, n_tokens, ids, row) of the files under `path`; filters on doc_id are
     answered from their metadata first."""
     return spark.read.schema(_ROW).orc(path)
 
@@ -87,14 +89,14 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (the ids of all documents before it), n_tokens and the
     crc32 of its ids, from the files."""
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")
-    read = read_token_files(spark, path).select("doc_id", "n_tokens", "ids", name)
+    read = read_token_files(spark, path).select("doc_id", "n_tokens", "row", "ids", name)
     digests = read.mapInArrow(_digest, _DIGEST)
     # A file is one range of doc_id; the number in its name is that of the range. There are as many rows here as files.
     per_file = read_token_files(spark, path).select("n_tokens", name).groupBy("file").agg(F.sum("n_tokens").alias("n"))
     number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
     before = Window.partitionBy(F.lit(0)).orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     ahead = per_file.select(F.col("file").alias("__file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = digests.withColumn("upto", F.sum("n_tokens").over(inside)).join(ahead, F.col("file") == F.col("__file"))
     return placed.select("doc_id", (F.col("ahead") + F.col("upto") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
 
