@@ -31,6 +31,8 @@ DIMS, SAMPLE = 2048, 4000
 LEAST, SHRINK = 0.3, 20
 _SHAPES, _BINS = 256, 256
 _WORDS = DIMS - _SHAPES - _BINS
+#: Words of a text whose distinct ones are counted together.
+VARIETY_WORDS = 400
 BAD, NOTHING, GOOD = 0, 1, 2
 
 _U = np.uint64
@@ -96,7 +98,10 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[str
         twice = whole & (times[back] > 1)
         for j in range(3):
             covered[j : len(hashed) - 2 + j] |= twice
-    kind, where = np.unique(mix(hashed + of * _U(0x9E3779B97F4A7C15)), return_index=True)
+    # Distinct words are counted in blocks of VARIETY_WORDS, so that a long text isn't judged by its length.
+    block = (np.arange(len(hashed)) - np.repeat(first[:-1], np.diff(first))) // VARIETY_WORDS
+    place = mix(of * _U(0x9E3779B97F4A7C15) + block.astype(_U))
+    kind, where = np.unique(mix(hashed + place * _U(0x9E3779B97F4A7C15)), return_index=True)
     fresh = np.zeros(len(hashed))
     fresh[where] = 1
     per = np.maximum(n, 1)
@@ -107,7 +112,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[str
         "repeats": _sums(covered, first) / per,
         "letters": kinds[4] / np.maximum(chars, 1),
         "marked": _sums(marked, first) / per,
-        "variety": _sums(fresh, first) / per * np.minimum(1.0, np.maximum(1.0, per / 400) ** 0.5 + (per > 400)),
+        "variety": _sums(fresh, first) / per,
         "short": _sums(short, first) / per,
     }
     return n, ratios, (hashed % _U(_WORDS)).astype(np.int64), shape.astype(np.int64), first
