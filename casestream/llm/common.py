@@ -9,6 +9,9 @@ import shutil
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import NamedTuple
 
 import numpy as np
@@ -27,36 +30,47 @@ GAP = r"[\x20\x09-\x0D]+"
 # -- staged tables ---------------------------------------------------------
 
 
+#: Folders of this machine by application, where the setting is absent.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a folder of
     this machine only where the setting is absent (local mode, tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="casestream-")
+        found = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="casestream-")
         atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-_MADE: list[str] = []
+_STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder for a staged table."""
-    _MADE.append(f"{shared_folder(spark).rstrip('/')}/casestream/{label}-{uuid.uuid4().hex}")
-    return _MADE[-1]
-
-
-def n_staged() -> int:
-    """How many folders this driver has made so far, for `drop_staged`."""
-    return len(_MADE)
-
-
-def drop_staged(spark: SparkSession, first: int, last: int) -> None:
-    """Delete the staged tables from the `first` on and before the `last`, which nothing reads any more."""
-    for path in _MADE[first:last]:
+    path = f"{shared_folder(spark).rstrip('/')}/casestream/{label}-{uuid.uuid4().hex}"
+    if (made := _STAGED.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def staged() -> Iterator[list[str]]:
+    """The folders that are made inside, for `drop_staged`: a list of this caller's own, whatever other threads stage meanwhile."""
+    made: list[str] = []
+    token = _STAGED.set(made)
+    try:
+        yield made
+    finally:
+        _STAGED.reset(token)
+
+
+def drop_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables, which nothing reads any more."""
+    for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
