@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casestream.llm.common import drop_staged, n_staged, stage
+from casestream.llm.common import drop_staged, stage, staged
 from casestream.llm.line_dedup import line_dedup_stage
 from casestream.llm.mixing import mixing_stage
 from casestream.llm.near_dup import near_duplicate_stage
@@ -31,9 +31,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over `documents`; every stage but the last is written as Parquet and read again.
     A stage's own tables, and its input, go when its output is written; the last stage's stay for the caller."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, step) in enumerate(STAGES[:-1]):
-        first = n_staged()
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
-        drop_staged(spark, first - (k > 0), n_staged() - 1)
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, step in STAGES[:-1]:
+        with staged() as made:
+            docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_staged(spark, [*made[:-1], *held])
+        held = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
