@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, without_fences
+from .replies import ReplyStore
 
 # The most characters of a text that are sent, and the texts of errors and prompts.
 TEXT_LIMIT = 25_000
@@ -22,7 +23,8 @@ NO_TEXT = "Could not extract text from file. It may be empty, corrupted, or an i
 _STRIPPED = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _PERSON = "struct<name:string,oib:string,address:string,role:string>"
 PARTIES = f"array<{_PERSON}>"
-_REPLY = "result struct<case_number:string,decision_date:string,summary:string>, raw_json string, error string"
+_RESULT = "struct<case_number:string,decision_date:string,summary:string>"
+_REPLY = f"result {_RESULT}, raw_json string, error string"
 
 
 def prompt(text: Column, participants: Column) -> Column:
@@ -77,6 +79,11 @@ def _parsed(cleaned: pd.Series) -> pd.DataFrame:
     return _frame([strict_reply(x) for x in cleaned])
 
 
+def _parsed_replies(replies: pd.Series) -> pd.DataFrame:
+    """As `_answers` reads what a call gives."""
+    return _frame([strict_reply(plain(x)) for x in replies])
+
+
 def parse_reply(reply: Column) -> Column:
     """struct<result, raw_json, error> of a model's reply, fences taken off first."""
     return F.pandas_udf(_parsed, _REPLY)(without_fences(reply))
@@ -132,11 +139,19 @@ def default_analyzer() -> Callable[[str], str]:
     return whole_text
 
 
-def analyze(files: DataFrame, make: Callable[[], Callable[[str], str]] = default_analyzer) -> DataFrame:
+def analyze(files: DataFrame, make: Callable[[], Callable[[str], str]] = default_analyzer, store: ReplyStore | None = None, run: str | None = None) -> DataFrame:
     """`files` (text, participants, ...) with ai_result, raw_json and error. Parties
-    come from the entry, whatever the model says of them; blank texts aren't sent."""
-    asked = F.when(~is_blank("text"), prompt(F.col("text"), F.col("participants").cast(PARTIES)))
-    read = files.withColumn("__asked", asked).withColumn("__read", _answers(make)("__asked"))
+    come from the entry, whatever the model says of them; blank texts aren't sent. With a `store` of replies equal
+    prompts are asked once over all its runs, and what is read is what it holds; without one, each row is asked where it is read."""
+    asked = files.withColumn("__asked", F.when(~is_blank("text"), prompt(F.col("text"), F.col("participants").cast(PARTIES))))
+    if store is None:
+        read = asked.withColumn("__read", _answers(make)("__asked"))
+    else:
+        own = [c for c in asked.columns if c != "__asked"]
+        told = store.ask(asked.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"), "__asked"), "__asked", make, run)
+        said = told.withColumn("__parsed", F.pandas_udf(_parsed_replies, _REPLY)("reply"))
+        failed = F.struct(F.lit(None).cast(_RESULT).alias("result"), F.lit(None).cast("string").alias("raw_json"), F.col("error").alias("error"))
+        read = said.select("__row.*", "__asked", F.when(F.col("error").isNotNull(), failed).otherwise(F.col("__parsed")).alias("__read"))
     error = F.when(F.col("__asked").isNull(), F.lit(NO_TEXT)).otherwise(F.col("__read.error"))
     parties = F.coalesce(F.col("participants").cast(PARTIES), F.array().cast(PARTIES))
     done = read.withColumn("error", error)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +19,8 @@ SYSTEM = (
     "You frequently work with the elderly in need of free legal advice. "
     "You only provide answers in Croatian."
 )
+#: Characters of running texts that a task hands on at once.
+RUNNING_CHARS = 4_000_000
 MESSAGES = "array<struct<role:string,content:string,parts:array<struct<text:string>>>>"
 
 
@@ -87,10 +90,60 @@ def without_last(messages: DataFrame, key: str = "conv_id", order: str = "turn")
     return messages.withColumn("__last", F.max(order).over(Window.partitionBy(key))).where(F.col(order) < F.col("__last")).drop("__last")
 
 
+def _in_turn(chunks: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """Chunks of one conversation after the other, each in its order, in the partitions that fold them."""
+    rows = chunks.select(F.col(key).alias("key"), F.col(order).alias("place"), F.coalesce(text, F.lit("")).alias("text"))
+    return rows.repartition("key").sortWithinPartitions("key", "place")
+
+
 def running_text(chunks: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
-    """Each chunk with all text up to and including it."""
-    upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return chunks.withColumn("running", F.array_join(F.collect_list(F.coalesce(text, F.lit(""))).over(upto), ""))
+    """(key, order, running): each chunk with all text up to and including it. What comes out grows with the square of a
+    conversation; what a task holds is one text and about RUNNING_CHARS of rows. `running_digest` is linear."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, begun, parts, size = None, False, [], 0
+        for batch in batches:
+            out, held = [], 0
+            for k, place, more in batch.itertuples(index=False):
+                if not begun or k != last:
+                    last, begun, parts, size = k, True, [], 0
+                if parts and more:
+                    parts = ["".join(parts)]
+                parts.append(more)
+                size += len(more)
+                out.append((k, place, "".join(parts)))
+                held += size
+                if held > RUNNING_CHARS:
+                    yield pd.DataFrame(out, columns=["key", "place", "running"])
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=["key", "place", "running"])
+
+    return _folded(chunks, key, order, text, fold, "running string")
+
+
+def running_digest(chunks: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
+    """(key, order, n_chars, running_md5): length and MD5 of all text up to and including each chunk. One pass, one digest
+    in memory: linear in a conversation, whatever its length."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, begun, digest, n = None, False, None, 0
+        for batch in batches:
+            out = []
+            for k, place, more in batch.itertuples(index=False):
+                if not begun or k != last:
+                    last, begun, digest, n = k, True, hashlib.md5(usedforsecurity=False), 0
+                digest.update(more.encode())
+                n += len(more)
+                out.append((k, place, n, digest.copy().hexdigest()))
+            yield pd.DataFrame(out, columns=["key", "place", "n_chars", "running_md5"])
+
+    return _folded(chunks, key, order, text, fold, "n_chars bigint, running_md5 string")
+
+
+def _folded(chunks: DataFrame, key: str, order: str, text: str, fold, made: str) -> DataFrame:
+    rows = _in_turn(chunks, key, order, text)
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("key", "place"))
+    return rows.mapInPandas(fold, f"{kinds}, {made}").withColumnsRenamed({"key": key, "place": order})
 
 
 def token_content(content: str = "content", text: str = "text", chunk: str = "chunk") -> Column:

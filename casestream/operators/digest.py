@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ordered_text, truthy
 from .analyze import calls
+from .replies import ReplyStore
 
 # The texts that stand for a missing analysis.
 NO_DATA = "Nema dostupnih podataka za generiranje analize."
@@ -72,12 +73,17 @@ def synthesis_prompt(n_cases: Column, context: Column) -> Column:
     return F.when((n_cases == 0) | ((n_cases == 1) & (context == NO_SUMMARY)), F.lit(None).cast("string")).when(n_cases == 1, one).otherwise(several)
 
 
-def final_texts(digest: DataFrame, make: Callable[[], Callable[[str], str]], terms: DataFrame | None = None, term: str = "search_term") -> DataFrame:
+def final_texts(digest: DataFrame, make: Callable[[], Callable[[str], str]], terms: DataFrame | None = None, term: str = "search_term", store: ReplyStore | None = None) -> DataFrame:
     """(term, n_cases, analysis) of `per_term` rows: the model's text, or the one that says that its
-    call failed, that no summary is good, or, for those of `terms` without entries, that there is no data."""
+    call failed, that no summary is good, or, for those of `terms` without entries, that there is no data. With a
+    `store` equal requests are made once over all its runs."""
     every = digest if terms is None else terms.select(term).distinct().join(digest, term, "left")
     every = every.withColumn("n_cases", F.coalesce("n_cases", F.lit(0)).cast("long"))
-    asked = every.withColumn("__said", calls(make)(synthesis_prompt(F.col("n_cases"), F.col("context"))))
+    request = synthesis_prompt(F.col("n_cases"), F.col("context"))
+    if store is None:
+        asked = every.withColumn("__said", calls(make)(request))
+    else:
+        asked = store.ask(every.withColumn("__request", request), "__request", make).withColumn("__said", F.struct("reply", "error"))
     failed = F.when(F.col("n_cases") == 1, F.lit(SINGLE_FAILED)).otherwise(F.lit(SEVERAL_FAILED))
     said = F.when(F.col("__said.error").isNotNull(), failed).otherwise(F.coalesce("__said.reply", "context"))
     return asked.select(term, "n_cases", F.when(F.col("n_cases") == 0, F.lit(NO_DATA)).otherwise(said).alias("analysis"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identifier, truthy
+from ..session import scratch
 
 KEY = ["email", "search_term"]
 
@@ -26,13 +27,26 @@ def split_requests(requests: DataFrame, subscriptions: DataFrame, order: str = "
     return judged.where(fresh).drop("__nth", "__known"), judged.where(~fresh).drop("__nth", "__known"), refused
 
 
+def numbered(rows: DataFrame, order: str, label: str = "numbered") -> DataFrame:
+    """`rows` with `__line`, from 1 in the given order, without bringing them to one task: ranges of the order are sorted and
+    numbered each by itself, written once, and moved up by the rows of the ranges before."""
+    spark, folder = rows.sparkSession, scratch(rows.sparkSession, label)
+    dealt = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    dealt.withColumn("__at", F.monotonically_increasing_id()).write.parquet(folder)
+    # That id is the partition's number, shifted by 33 bits, and the row's place in it from 0.
+    there = spark.read.parquet(folder).withColumn("__part", F.shiftright("__at", 33))
+    counts = there.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    ahead = counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__ahead"))
+    line = F.col("__ahead") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return there.join(F.broadcast(ahead), "__part").withColumn("__line", line).drop("__part", "__at", "__ahead")
+
+
 def insert(inserts: DataFrame, subscriptions: DataFrame, order: str = "request_no") -> DataFrame:
-    """New rows: ids follow the largest one, in request order; defaults fill the rest.
-    A batch of requests is numbered in one task, as the one sequence that a serial id is."""
+    """New rows: ids follow the largest one, in request order; defaults fill the rest."""
     top = subscriptions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-    line = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order))
-    numbered = inserts.withColumn("__line", line).crossJoin(F.broadcast(top))  # the broadcast side is one row
-    return numbered.select(
+    placed = numbered(inserts, order, "subscribe").crossJoin(F.broadcast(top))  # the broadcast side is one row
+    return placed.select(
         (F.col("__top") + F.col("__line")).cast("long").alias("id"),
         *KEY,
         F.lit(None).cast("string").alias("last_seen_case_identifier"),

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.analyze import analyze, default_analyzer
 from ..operators.chat import normalise
 from ..operators.digest import per_entry, per_term
 from ..operators.payload import CASE_FIELDS, nested_payload
+from ..operators.replies import ReplyStore
 from ..operators.select import document_links, first_per_term, first_with_links, latest_n, with_documents
 from ..operators.subscriptions import changes
+from ..session import scratch
 from ..sources.files import download, expand_archives, extract_text
+from ..sources.tables import find_entries
 
 
 def latest_with_documents(entries: DataFrame, n: int = 2) -> DataFrame:
@@ -58,13 +61,17 @@ def _case_order(term: str):
     return Window.partitionBy(term, "case_pos").orderBy("link_pos", "entry_pos")
 
 
-def processed_cases(files: DataFrame, make: Callable[[], Callable[[str], str]] = default_analyzer, synthesise: Callable | None = None, term: str = "search_term") -> DataFrame:
+def processed_cases(files: DataFrame, make: Callable[[], Callable[[str], str]] = default_analyzer, synthesise: Callable | None = None, term: str = "search_term", store: ReplyStore | None = None) -> DataFrame:
     """One row for each term: the nested result. `files` are rows of `case_files`; a case
     without files has empty arrays. `synthesise` maps (n_cases, context) columns to the final text; by
-    default the context itself."""
-    there = files.where("doc_pos is not null")
-    done = analyze(there, make)
-    both = files.where("doc_pos is null").join(done.select(*[c for c in done.columns if c not in files.columns]).limit(0), F.lit(False), "left").unionByName(done)
+    default the context itself. Files are read and analysed once, and the analysed rows written to the shared folder, from which
+    all else is made; equal prompts are asked once, over all runs if a `store` is given."""
+    spark = files.sparkSession
+    store = store or ReplyStore(spark, scratch(spark, "replies"))
+    done, folder = analyze(files, make, store), scratch(spark, "analysed")
+    there = F.col("doc_pos").isNotNull()
+    done.withColumns({c: F.when(there, F.col(c)) for c in ("ai_result", "raw_json", "error")}).write.parquet(folder)
+    both = spark.read.parquet(folder)
     shown = both.withColumn("summary", F.col("ai_result.summary"))
     digest = per_term(per_entry(shown, term), term)
     digest = digest.withColumn("context", synthesise(F.col("n_cases"), F.col("context"))) if synthesise else digest
@@ -72,9 +79,16 @@ def processed_cases(files: DataFrame, make: Callable[[], Callable[[str], str]] =
     return nested_payload(named, digest, term)
 
 
-def run_analysis(entries: DataFrame, fetch, n: int = 2, make=default_analyzer, synthesise=None, pdf=None, ocr=None) -> DataFrame:
+def run_analysis(entries: DataFrame, fetch, n: int = 2, make=default_analyzer, synthesise=None, pdf=None, ocr=None, store: ReplyStore | None = None) -> DataFrame:
     """From entries to the final nested result of each term."""
-    return processed_cases(case_files(latest_with_documents(entries, n), fetch, pdf, ocr), make, synthesise)
+    return processed_cases(case_files(latest_with_documents(entries, n), fetch, pdf, ocr), make, synthesise, store=store)
+
+
+def run_terms(spark: SparkSession, terms: list[str], fetch, search: dict[str, str], **options) -> DataFrame:
+    """The whole analysis from search terms: `search` are the options of `SearchSource`, which looks the terms up in tasks
+    of their own; their newest entries are analysed as by `run_analysis`. Results are placed by page and place on the page."""
+    found = find_entries(spark, terms, **search)
+    return run_analysis(found.withColumn("result_pos", F.struct("page", "result_pos")), fetch, **options)
 
 
 def daily_check(subscriptions: DataFrame, entries: DataFrame, analyse: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

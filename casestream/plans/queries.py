@@ -336,7 +336,7 @@ def chat_without_last(spark, sf):
 
 
 def chat_running_text(spark, sf):
-    return C.running_text(table(spark, sf, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", F.md5("running").alias("running_md5"))
+    return C.running_digest(table(spark, sf, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", "running_md5")
 
 
 def chat_client_messages(spark, sf):

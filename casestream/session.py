@@ -27,14 +27,17 @@ def session(master: str | None = None, app: str = "casestream", **more: str) ->
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+#: Folders of this machine by application, where spark.checkpoint.dir is absent.
+_LOCAL: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder name under the one that the cluster names in spark.checkpoint.dir; under a
     folder of this machine only where the setting is absent (local mode, tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="casestream-")
+        found = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="casestream-")
         atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/casestream/{label}-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,15 +15,16 @@ OUT = "key string, event_id bigint, allowed boolean, reason string, retry_after_
 
 
 class BucketProcessor(StatefulProcessor):
-    """Folds a client's requests in time order inside each batch. State that is older than
-    both refill periods equals a new client's, so it expires after the longer one."""
+    """Folds a client's requests in time order inside each batch. A client that has been idle for both refill
+    periods has full buckets, as a new one has: with `expire` a timer then takes its state away."""
 
-    def __init__(self, hour: Bucket, short: Bucket, expire: bool):
+    def __init__(self, hour: Bucket, short: Bucket, expire: bool, idle_ms: int | None = None):
         self.hour, self.short, self.expire = hour, short, expire
+        self.idle_ms = max(hour.period_ms, short.period_ms) if idle_ms is None else idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = max(self.hour.period_ms, self.short.period_ms) if self.expire else None
-        self.state = handle.getValueState("buckets", STATE, ttl)
+        self.handle = handle
+        self.state = handle.getValueState("buckets", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = tuple(self.state.get()) if self.state.exists() else None
@@ -33,17 +34,32 @@ class BucketProcessor(StatefulProcessor):
             state, ok, reason, retry = step(state, int(now), self.hour, self.short)
             out.append((key[0], event_id, ok, reason, retry))
         self.state.update(state)
+        if self.expire:
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         verdict = pd.DataFrame(out, columns=["key", "event_id", "allowed", "reason", "retry_after_ms"])
         verdict["retry_after_ms"] = verdict["retry_after_ms"].astype("Int64")
         yield verdict
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame([], columns=["key", "event_id", "allowed", "reason", "retry_after_ms"])
+
     def close(self) -> None:
         pass
 
 
-def token_bucket_stream(events: DataFrame, key: str, hour: Bucket = HOUR, short: Bucket = SHORT, ts: str = "ts", event_id: str = "event_id", expire: bool = True) -> DataFrame:
+def token_bucket_stream(events: DataFrame, key: str, hour: Bucket = HOUR, short: Bucket = SHORT, ts: str = "ts", event_id: str = "event_id", expire: bool = True, idle_ms: int | None = None) -> DataFrame:
     """A streaming DataFrame of verdicts. Order holds inside a micro-batch; a late event is
-    judged when it comes, as a server would. `expire` drops idle clients' state, for queries
-    that run on; those that take what is there and stop have no clock to expire by."""
+    judged when it comes, as a server would. `expire` drops idle clients' state (after `idle_ms`, by default the
+    longer refill period), for queries that run on; those that take what is there and stop have no clock to expire by."""
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(event_id).alias("event_id"), F.unix_millis(F.col(ts).cast("timestamp")).alias("now"))
-    return rows.groupBy("key").transformWithStateInPandas(BucketProcessor(hour, short, expire), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime" if expire else "None")
+    return rows.groupBy("key").transformWithStateInPandas(BucketProcessor(hour, short, expire, idle_ms), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime" if expire else "None")
+
+
+def bucket_states(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(key, hour_tokens, hour_last, five_tokens, five_last): the buckets of every client as the last batch left them, read from
+    the state store that a query keeps under its checkpoint."""
+    held = spark.read.format("statestore").option("stateVarName", "buckets").load(checkpoint)
+    return held.select("key.key", "value.*")

@@ -296,9 +296,12 @@ def test_pipeline_and_its_stages(spark, corpus, tmp_path, tokenizer):
 
 
 def test_pipeline_drops_its_tables(spark, tmp_path):
-    a, first = common.stage(spark.range(3), "one"), common.n_staged()
-    b = common.stage(a.selectExpr("id + 1 AS id"), "two")
-    common.drop_staged(spark, first - 1, first)
+    other = common.stage(spark.range(5), "other")  # of another run: it stays
+    with common.staged() as made:
+        a = common.stage(spark.range(3), "one")
+        b = common.stage(a.selectExpr("id + 1 AS id"), "two")
+    common.drop_staged(spark, made[:-1])
+    assert other.count() == 5
     assert b.agg(F.sum("id")).first()[0] == 6
     with pytest.raises(Exception, match="(?i)not.*exist|FILE_NOT_EXIST|FileNotFound"):
         a.count()
