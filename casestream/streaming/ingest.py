@@ -15,7 +15,7 @@ FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 def file_stream(spark: SparkSession, folder: str, glob: str = "*", files_per_trigger: int = 1000, delete: bool = True) -> DataFrame:
     """The files of `folder` whose names match, as rows of FILE. With `delete` Spark deletes a micro-batch's files once a
-    later one has begun, so those of the last one are left to `sweep`."""
+    later one has begun, so those of the last one are left to `sweep`. An empty file holds nothing and makes no row."""
     reader = spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger)
     return (reader.option("cleanSource", "delete") if delete else reader).load(folder)
 
