@@ -38,6 +38,7 @@ def progress_events(entries: DataFrame, term: str = "search_term") -> DataFrame:
     `entries` has case_pos (from 1), title and n_docs."""
     n = F.count(F.lit(1)).over(Window.partitionBy(term))
     cases = entries.select(term, "case_pos", "title", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), n.alias("n"))
+    # The steps, their progress and the wording of the messages, here and in `error_events`.
     event = lambda step, progress, message: F.struct(F.lit(step).alias("step"), progress.cast("double").alias("progress"), message.alias("message"))
     none, say = F.lit(None), lambda *x: F.concat(*[v if isinstance(v, Column) else F.lit(v) for v in x])
     at = F.col("case_pos").cast("string")
@@ -81,6 +82,7 @@ def download_progress(files: DataFrame, case: list[str], position: str) -> DataF
 
 def markdown_export(files: DataFrame) -> DataFrame:
     """An outbox of one file for each analysis: file_name and content. `doc_pos` counts from 0."""
+    # The names and headings of exports, here and in `comparison_export`.
     name = or_else("text", F.concat(F.lit("Document_"), (F.col("doc_pos") + 1).cast("string")))
     content = F.concat(F.lit("# "), name, F.lit("\n\n"), or_else("summary", "No analysis available"))
     return files.withColumns({"file_name": export_name(name), "content": content})
@@ -105,6 +107,7 @@ def mail_outbox(changes: DataFrame, base_url: str = "", escape: bool = False) ->
     the first two is the delivery's key, so that a repeated run sends nothing twice."""
     text = lambda c: (_escaped if escape else lambda x: x)(F.coalesce(F.col(c).cast("string"), F.lit("undefined")))
     line = lambda label, c: F.concat(F.lit(f"<p><strong>{label}:</strong> "), text(c), F.lit("</p>\n"))
+    # The wording of the mail and its subject.
     body = F.concat(
         F.lit("<h1>Pronađena je nova sudska objava!</h1>\n<p>Pronašli smo novu objavu za pojam koji pratite: <strong>"),
         text("search_term"),

@@ -105,10 +105,10 @@ SELECT source AS search_term, count(*) AS n_results, CAST(count(DISTINCT lang) A
        string_agg(DISTINCT lang || '=file:' || lang, ';' ORDER BY lang || '=file:' || lang) AS documents
 FROM documents GROUP BY source""",
     "comparative_context": f"""
-WITH t AS (SELECT source AS search_term, lang, d.doc_id, dense_rank() OVER (PARTITION BY source ORDER BY lang) AS case_pos,
+WITH t AS (SELECT * FROM (SELECT source AS search_term, d.doc_id, d.doc_id // 20 AS entry, dense_rank() OVER (PARTITION BY source ORDER BY d.doc_id // 20 DESC) AS case_pos,
                   nullif(CASE WHEN quality = 1 THEN text END, '') AS summary
-           FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id DESC) AS nth FROM documents) d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE nth <= 20), {_terms('''
-  SELECT search_term, case_pos, any_value(lang) AS title, CAST(NULL AS VARCHAR) AS date, count(*) AS n_docs,
+           FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) WHERE case_pos <= 3), {_terms('''
+  SELECT search_term, case_pos, 'Entry ' || any_value(entry) AS title, CAST(NULL AS VARCHAR) AS date, count(*) AS n_docs,
          string_agg(summary, chr(10) ORDER BY doc_id) AS lines, string_agg(summary, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS single
   FROM t GROUP BY search_term, case_pos''')}
 SELECT * FROM d""",

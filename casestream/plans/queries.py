@@ -86,14 +86,11 @@ def single_case_summary(spark, sf):
 
 
 def comparative_context(spark, sf):
-    """A term's languages stand for its entries, numbered from the few there are, and an entry's newest 20 documents are taken."""
-    docs = _documents(spark, sf)
-    langs = docs.select("search_term", "lang").distinct()
-    langs = langs.withColumn("case_pos", F.row_number().over(Window.partitionBy("search_term").orderBy("lang")))
-    newest = Window.partitionBy("search_term", "lang").orderBy(F.col("doc_id").desc())
-    chosen = docs.withColumn("nth", F.row_number().over(newest)).where("nth <= 20")
-    rows = chosen.join(table(spark, sf, "labels"), "doc_id", "left").join(langs, ["search_term", "lang"])
-    rows = rows.select("search_term", "case_pos", F.col("lang").alias("title"), F.lit(None).cast("string").alias("date"), F.col("doc_id").alias("doc_pos"), F.when(F.col("quality") == 1, F.col("text")).alias("summary"))
+    """Twenty ids in a row stand for an entry's documents; a term's newest three entries, with all of theirs."""
+    docs = _documents(spark, sf).withColumn("entry", F.floor(F.col("doc_id") / 20))
+    newest = S.latest_n(docs.select("search_term", "entry").distinct(), 3, order=[F.col("entry").desc()])
+    rows = docs.join(newest, ["search_term", "entry"]).join(table(spark, sf, "labels"), "doc_id", "left")
+    rows = rows.select("search_term", "case_pos", F.concat(F.lit("Entry "), "entry").alias("title"), F.lit(None).cast("string").alias("date"), F.col("doc_id").alias("doc_pos"), F.when(F.col("quality") == 1, F.col("text")).alias("summary"))
     return D.per_term(D.per_entry(rows))
 
 

@@ -1,8 +1,9 @@
-"""Entries and links out of result pages, with the standard library's HTML parser.
+"""Entries and links out of result pages.
 
-A page becomes a small element tree; the rules that pick an entry's parts are plain
-functions over it. Pages go through `mapInPandas` with only the two columns they need,
-so projections and filters stay in front of the parser."""
+The standard library's parser turns a page into the flat array of its elements, in document order, each with the
+number after its last descendant: what is below an element is a slice of the array, and an ancestor one whose range
+holds it. That is all that runs in Python; the rules that pick an entry's parts are expressions
+over the arrays, and a page's entries become rows before their parts are looked for."""
 
 from __future__ import annotations
 
@@ -11,218 +12,239 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-# Elements that never have content, and the labels of the fields.
+from ..functions.text import one_space, trimmed, without_first
+
+# Elements that never have content, those that a like one ends, and the labels of the fields.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+IMPLIED = frozenset(("li", "p", "option"))
 COURT_LABEL, PEOPLE_LABEL, ID_LABEL, ADDRESS_LABEL = "Sud", "Sudionici", "OIB", "ADRESA"
 MISSING = "N/A"
 
-PERSON = "struct<name:string,oib:string,address:string,role:string>"
-ENTRY = f"result_pos int, title string, detail_link string, case_number string, court string, date string, document_download_link string, document_link_text string, participants array<{PERSON}>"
-LINK = "link_pos int, url string, text string"
+#: Elements whose text some rule reads, besides any of the class m-date.
+SAID = frozenset(("a", "span", "small"))
+ELEMENTS = "array<struct<id:int,end:int,parent:int,tag:string,attrs:map<string,string>,classes:array<string>,text:string>>"
 
 
-class Node:
-    """An element: tag, attributes, and children that are elements or texts."""
+class _Flat(HTMLParser):
+    """The elements of pages, field by field; `end_page` closes one page and begins the next."""
 
-    __slots__ = ("attrs", "children", "parent", "tag")
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.ids, self.ends, self.parents, self.tags, self.texts, self.pages = [], [], [], [], [], [0]
+        self.keys, self.values, self.attrs_at, self.classes, self.classes_at = [], [], [0], [], [0]
+        self.open, self.said, self.first = [], [], 0
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+    def handle_starttag(self, tag, attrs):
+        if tag in IMPLIED and self.open and self.tags[self.open[-1][0]] == tag:
+            self._close(len(self.open) - 1)
+        held, at = dict(attrs), len(self.tags)
+        self.ids.append(at - self.first)
+        self.ends.append(at - self.first + 1)
+        self.parents.append(self.open[-1][0] - self.first if self.open else -1)
+        self.tags.append(tag)
+        self.texts.append(None)
+        self.keys += held
+        self.values += [v or "" for v in held.values()]
+        self.attrs_at.append(len(self.keys))
+        self.classes += (held.get("class") or "").split()
+        self.classes_at.append(len(self.classes))
+        self.open.append((at, len(self.said)))
+        if tag in VOID:
+            self._close(len(self.open) - 1)
 
-    @property
-    def classes(self) -> set[str]:
-        return set((self.attrs.get("class") or "").split())
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self._close(len(self.open) - 1)
 
-    def below(self) -> Iterator[Node]:
-        """All elements inside, in document order."""
-        stack = [c for c in reversed(self.children) if isinstance(c, Node)]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+    def handle_endtag(self, tag):
+        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.tags[self.open[k][0]] == tag), None)
+        if at is not None:
+            self._close(at)
 
-    def find(self, test: Callable[[Node], bool]) -> Node | None:
-        return next((n for n in self.below() if test(n)), None)
+    def handle_data(self, data):
+        self.said.append(data)
+
+    def _close(self, first: int) -> None:
+        for at, begun in self.open[first:]:
+            self.ends[at] = len(self.tags) - self.first
+            if self.tags[at] in SAID or "m-date" in self.classes[self.classes_at[at] : self.classes_at[at + 1]]:
+                self.texts[at] = "".join(self.said[begun:])
+        del self.open[first:]
+
+    def read(self, html: str | None) -> None:
+        """One page more; one that can't be read has the elements up to there."""
+        try:
+            self.feed(html or "")
+            self.close()
+        except Exception:  # noqa: BLE001
+            pass
+        self._close(0)
+        self.reset()
+        self.said, self.first = [], len(self.tags)
+        self.pages.append(self.first)
+
+    def array(self) -> pa.Array:
+        numbers = [pa.array(x, pa.int32()) for x in (self.ids, self.ends, self.parents)]
+        attrs = pa.MapArray.from_arrays(pa.array(self.attrs_at, pa.int32()), pa.array(self.keys, pa.string()), pa.array(self.values, pa.string()))
+        classes = pa.ListArray.from_arrays(pa.array(self.classes_at, pa.int32()), pa.array(self.classes, pa.string()))
+        fields = [*numbers, pa.array(self.tags, pa.string()), attrs, classes, pa.array(self.texts, pa.string())]
+        rows = pa.StructArray.from_arrays(fields, names=["id", "end", "parent", "tag", "attrs", "classes", "text"])
+        return pa.ListArray.from_arrays(pa.array(self.pages, pa.int32()), rows)
+
+
+def elements(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep`, url, and the page's elements, for each row of `pages`."""
+    rows = pages.select(*keep, F.coalesce("url", F.lit("")).alias("url"), "html")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):  # an element takes more room than its markup
+                some, made = batch.slice(at, 64), _Flat()
+                for html in some.column("html").to_pylist():
+                    made.read(html)
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in (*keep, "url")), made.array()], [*keep, "url", "elements"])
 
-    def text(self) -> str:
-        out, stack = [], [self]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                out.append(x)
-            else:
-                stack += reversed(x.children)
-        return "".join(out)
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, f"{kinds}, url string, elements {ELEMENTS}")
 
 
-class _Tree(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
+def _joined(href: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([None if h is None else urljoin(b or "", h) for h, b in zip(href, base, strict=True)], dtype=object)
 
-    def handle_starttag(self, tag, attrs):
-        if tag in ("li", "p", "option") and self.at.tag == tag:
-            self.at = self.at.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
 
-    def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
+def absolute(href: Column, base: str) -> Column:
+    """A link as seen from its page; null stays null."""
+    return F.pandas_udf(_joined, "string")(href, base)
 
-    def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
 
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-
-def parse(html: str | None) -> Node:
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-    return tree.root
-
-
-_WHITE = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
-
-
-def trim(text: str) -> str:
-    return text.strip(_WHITE)
-
-
-def _said(node: Node | None, default: str | None = MISSING) -> str | None:
-    return default if node is None else trim(node.text())
-
-
-def _href(test: Callable[[str], bool]) -> Callable[[Node], bool]:
-    return lambda n: n.tag == "a" and "href" in n.attrs and test(n.attrs["href"])
-
-
-def _people(item: Node) -> list[dict]:
-    """Of the containers with the label the last one counts; a person needs a name."""
-    box = None
-    for small in item.below():
-        if small.tag == "small" and {"text-muted", "d-block"} <= small.classes and trim(small.text()) == PEOPLE_LABEL:
-            box = small.parent
-    found = []
-    for block in box.below() if box is not None else ():
-        if "d-block" not in block.classes:
-            continue
-        name = block.find(lambda n: n.tag == "span" and "badge" not in n.classes)
-        if name is None or not trim(name.text()):
-            continue
-        marked = lambda title, b=block: b.find(lambda n: n.tag == "small" and n.attrs.get("data-original-title") == title)
-        number, address = marked("OIB"), marked("Adresa")
-        found.append(
-            {
-                "name": trim(name.text()),
-                "oib": MISSING if number is None else trim(number.text().replace(ID_LABEL, "", 1)),
-                "address": MISSING if address is None else trim(address.text().replace(ADDRESS_LABEL, "", 1)),
-                "role": _said(block.find(lambda n: n.tag == "span" and "badge-info" in n.classes)),
-            }
-        )
-    return found
-
-
-def parse_entries(html: str | None, page_url: str, full: bool = True) -> list[dict]:
-    """The entries of a result page in its order. `full` off: the plain form, without
-    people and download link, its court from the link to the courts' pages."""
-    out = []
-    for item in parse(html).below():
-        if item.tag != "li" or not {"item", "row"} <= item.classes:
-            continue
-        title = item.find(lambda n: _href(lambda h: "/objave/" in h)(n) and n.attrs.get("target") == "_blank")
-        if title is None:
-            continue
-        court = None
-        if full:
-            for small in item.below():
-                in_div = small.tag == "small" and any(p.tag == "div" for p in _parents(small, item))
-                if in_div and trim(small.text()) == COURT_LABEL:
-                    court = small.parent.find(lambda n: n.tag == "span" and any(p.tag == "a" for p in _parents(n, item)))
-                    break
-        else:
-            court = item.find(_href(lambda h: "/objave-sudova/" in h))
-        link = item.find(_href(lambda h: h.endswith("/preuzimanje"))) if full else None
-        out.append(
-            {
-                "result_pos": len(out),
-                "title": _said(title),
-                "detail_link": urljoin(page_url, title.attrs["href"]),
-                "case_number": _said(item.find(_href(lambda h: "text=" in h))),
-                "court": _said(court),
-                "date": _said(item.find(lambda n: "m-date" in n.classes)),
-                "document_download_link": None if link is None else urljoin(page_url, link.attrs["href"]),
-                "document_link_text": _said(link, None),
-                "participants": _people(item) if full else [],
-            }
-        )
+# -- rules over arrays -----------------------------------------------------
+
+
+def _below(all_: Column, x: Column) -> Column:
+    return F.slice(all_, x["id"] + 2, x["end"] - x["id"] - 1)
+
+
+def _inside(all_: Column, x: Column, test: Callable[[Column], Column] = lambda d: F.lit(True)) -> Column:
+    """Of any elements those below x that pass."""
+    return F.filter(all_, lambda d: (d["id"] > x["id"]) & (d["id"] < x["end"]) & test(d))
+
+
+def _first(found: Column) -> Column:
+    return F.get(found, F.lit(0))
+
+
+def _find(all_: Column, test: Callable[[Column], Column]) -> Column:
+    return _first(F.filter(all_, test))
+
+
+def _has_class(x: Column, *names: str) -> Column:
+    out = F.array_contains(x["classes"], names[0])
+    for name in names[1:]:
+        out = out & F.array_contains(x["classes"], name)
     return out
 
 
-def _parents(node: Node, top: Node) -> Iterator[Node]:
-    while node.parent is not None and node is not top:
-        node = node.parent
-        yield node
+def _link(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda x: (x["tag"] == "a") & F.coalesce(test(x["attrs"]["href"]), F.lit(False))
 
 
-def parse_document_links(html: str | None, page_url: str) -> list[dict]:
-    """All download links in the documents' section of a detail page."""
-    root = parse(html)
-    section = root.find(lambda n: n.tag == "section" and n.attrs.get("id") == "dokumenti")
-    links = [] if section is None else [n for n in section.below() if _href(lambda h: "/preuzimanje" in h)(n)]
-    return [{"link_pos": i, "url": urljoin(page_url, n.attrs["href"]), "text": " ".join(trim(n.text()).split())} for i, n in enumerate(links)]
+def _is_item(x: Column) -> Column:
+    return (x["tag"] == "li") & _has_class(x, "item", "row")
 
 
-def parse_navigation(html: str | None, page_url: str) -> list[dict]:
-    """All links in list items of the page's navigation."""
-    root = parse(html)
-    links = [n for n in root.below() if n.tag == "a" and "href" in n.attrs and {"nav", "li"} <= {p.tag for p in _parents(n, root)}]
-    return [{"link_pos": i, "url": urljoin(page_url, n.attrs["href"]), "text": " ".join(trim(n.text()).split())} for i, n in enumerate(links)]
+def _is_title(x: Column) -> Column:
+    return _link(lambda h: F.contains(h, F.lit("/objave/")))(x) & (F.coalesce(x["attrs"]["target"], F.lit("")) == "_blank")
 
 
-def _rows(pages: DataFrame, key: str, read: Callable[[str, str], list[dict]], schema: str) -> DataFrame:
-    names = [f.strip().split(" ")[0] for f in _fields(schema)]
+def _under(all_: Column, x: Column, tag: str) -> Column:
+    """Whether an element of that tag holds x."""
+    return F.exists(all_, lambda p: (p["tag"] == tag) & (p["id"] < x["id"]) & (x["id"] < p["end"]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for k, url, html in batch.itertuples(index=False):
-                try:
-                    out += [(k, *(x[n] for n in names)) for x in read(html, url or "")]
-                except Exception:  # noqa: BLE001  a page that can't be read has no rows
-                    continue
-            yield pd.DataFrame(out, columns=[key, *names])
 
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, "url", "html").mapInPandas(run, f"{key} {kind}, {schema}")
+def _said(x: Column) -> Column:
+    return F.coalesce(trimmed(x["text"]), F.lit(MISSING))
+
+
+def _range_of(all_: Column, item: Column, number: Column) -> Column:
+    """The element of that number: the item or one below it."""
+    span = lambda x: F.struct(x["id"].alias("id"), x["end"].alias("end"))
+    return F.when(number == item["id"], span(item)).otherwise(_first(F.transform(F.filter(all_, lambda x: x["id"] == number), span)))
+
+
+_PEOPLE = "array<struct<name:string,oib:string,address:string,role:string>>"
+
+
+def _is_court_label(below: Column) -> Callable[[Column], Column]:
+    return lambda s: (s["tag"] == "small") & (trimmed(s["text"]) == COURT_LABEL) & _under(below, s, "div")
+
+
+def _is_people_label(s: Column) -> Column:
+    return (s["tag"] == "small") & _has_class(s, "text-muted", "d-block") & (trimmed(s["text"]) == PEOPLE_LABEL)
+
+
+def _person(inside: Column) -> Column:
+    """A person out of the elements below a block; without a name it isn't one."""
+
+    def marked(title: str, label: str) -> Column:
+        found = _find(inside, lambda n: (n["tag"] == "small") & (F.coalesce(n["attrs"]["data-original-title"], F.lit("")) == title))
+        return F.coalesce(trimmed(without_first(found["text"], label)), F.lit(MISSING))
+
+    name = _find(inside, lambda n: (n["tag"] == "span") & ~_has_class(n, "badge"))
+    role = _find(inside, lambda n: (n["tag"] == "span") & _has_class(n, "badge-info"))
+    return F.struct(trimmed(name["text"]).alias("name"), marked("OIB", ID_LABEL).alias("oib"), marked("Adresa", ADDRESS_LABEL).alias("address"), _said(role).alias("role"))
 
 
-def _fields(schema: str) -> list[str]:
-    """The fields of a schema text, split at commas outside angle brackets."""
-    out, depth, field = [], 0, ""
-    for c in schema:
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out, field = [*out, field], ""
-        else:
-            field += c
-    return [*out, field]
+def _with_court_and_people(rows: DataFrame) -> DataFrame:
+    """The court is in the parent of the first label "Sud" inside a div: its first span inside a link. People are in the parent of the
+    last label of theirs. One step after the other, as what a lambda refers to is worked out for each element anew."""
+    below, item = F.col("below"), F.col("item")
+    people = F.filter(below, _is_people_label)
+    rows = rows.select("*", _find(below, _is_court_label(below))["parent"].alias("court_at"), F.get(people, F.size(people) - 1)["parent"].alias("people_at"))
+    rows = rows.select("*", *[_range_of(below, item, F.col(f"{x}_at")).alias(f"{x}_box") for x in ("court", "people")])
+    blocks = _inside(below, F.col("people_box"), lambda b: _has_class(b, "d-block"))
+    rows = rows.select("*", _first(_inside(below, F.col("court_box"), lambda n: (n["tag"] == "span") & _under(below, n, "a"))).alias("court"), F.transform(blocks, lambda b: _inside(below, b)).alias("blocks"))
+    named = F.filter(F.transform("blocks", _person), lambda p: F.coalesce(p["name"], F.lit("")) != "")
+    return rows.select("*", F.coalesce(named, F.array().cast(_PEOPLE)).alias("participants"))
 
 
-def html_entries(pages: DataFrame, key: str = "page_id", full: bool = True) -> DataFrame:
-    """One row for each entry of each page (key, url, html)."""
-    return _rows(pages, key, lambda html, url: parse_entries(html, url, full), ENTRY)
+def html_entries(pages: DataFrame, key: str | list[str] = "page_id", full: bool = True) -> DataFrame:
+    """One row for each entry of each page (key, url, html), in the page's order; an item without a title isn't one. `full` off: the
+    plain form, without people and download link, its court from the link to the courts' pages."""
+    keep = [key] if isinstance(key, str) else key
+    page = elements(pages, keep)
+    items = F.filter("elements", lambda x: _is_item(x) & F.exists(_below(F.col("elements"), x), _is_title))
+    rows = page.select(*keep, "url", "elements", F.posexplode(items).alias("result_pos", "item"))
+    rows = rows.select(*keep, "url", "result_pos", "item", _below(F.col("elements"), F.col("item")).alias("below"))
+    below = F.col("below")
+    if full:
+        rows = _with_court_and_people(rows).withColumn("got", _find(below, _link(lambda h: h.endswith("/preuzimanje"))))
+    else:
+        plain_court = _find(below, _link(lambda h: F.contains(h, F.lit("/objave-sudova/"))))
+        rows = rows.withColumns({"court": plain_court, "participants": F.array().cast(_PEOPLE), "got": F.get(F.array().cast(ELEMENTS), F.lit(0))})
+    found = rows.select(
+        *keep, "url", "result_pos", "court", "got", "participants", _find(below, _is_title).alias("title"),
+        _find(below, _link(lambda h: F.contains(h, F.lit("text=")))).alias("number"), _find(below, lambda x: _has_class(x, "m-date")).alias("date"),
+    )
+    return found.select(
+        *keep, "result_pos", _said(F.col("title")).alias("title"), absolute(F.col("title.attrs")["href"], "url").alias("detail_link"), _said(F.col("number")).alias("case_number"), _said(F.col("court")).alias("court"),
+        _said(F.col("date")).alias("date"), absolute(F.col("got.attrs")["href"], "url").alias("document_download_link"), trimmed(F.col("got.text")).alias("document_link_text"), "participants",
+    )
 
 
 def html_links(pages: DataFrame, key: str = "page_id", navigation: bool = False) -> DataFrame:
-    """One row for each document link of each detail page, or for each link of its navigation."""
-    return _rows(pages, key, parse_navigation if navigation else parse_document_links, LINK)
+    """One row for each document link in the documents' section of each detail page, or for each link in the list items of its navigation."""
+    page, all_ = elements(pages, [key]), F.col("elements")
+    if navigation:
+        holders = page.select(key, "url", "elements", F.filter(all_, lambda x: x["tag"].isin("nav", "li")).alias("holders"))
+        inside = F.filter(all_, lambda x: _link(lambda h: h.isNotNull())(x) & _under(F.col("holders"), x, "nav") & _under(F.col("holders"), x, "li"))
+        rows = holders.select(key, "url", F.posexplode(inside).alias("link_pos", "a"))
+    else:
+        section = _find(all_, lambda x: (x["tag"] == "section") & (F.coalesce(x["attrs"]["id"], F.lit("")) == "dokumenti"))
+        rows = page.select(key, "url", "elements", section.alias("section"))
+        rows = rows.select(key, "url", F.posexplode(_inside(all_, F.col("section"), _link(lambda h: F.contains(h, F.lit("/preuzimanje"))))).alias("link_pos", "a"))
+    return rows.select(key, "link_pos", absolute(F.col("a.attrs")["href"], "url").alias("url"), one_space(trimmed(F.col("a.text"))).alias("text"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 from .files_anywhere import Store
-from .html import ENTRY, parse_entries
+from .html import html_entries
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,9 @@ def subscriptions_jdbc(spark: SparkSession, url: str, bounds: tuple[int, int] |
 # -- search ----------------------------------------------------------------
 
 
+PAGE = "search_term string, page int, url string, html string"
+
+
 class ArchiveSearch:
     """Searches an archive of result pages: Parquet (page, url, html) under search_term=<term>, pages numbered from 0 and
     never changed once there. A live search has the same two methods."""
@@ -64,7 +67,7 @@ class ArchiveSearch:
 
 
 class SearchSource(DataSource):
-    """`spark.read.format("case_search")`: the entries that a search finds for terms, as (search_term, page, ...).
+    """`spark.read.format("case_search")`: the result pages that a search finds for terms, as PAGE.
 
     `archive` names a folder for `ArchiveSearch`, or `search` ("module:Class") another search, made with the options. The terms
     come from a pushed equality or IN filter on search_term, or from the option `terms`, one on each line. Each term is read by
@@ -76,7 +79,7 @@ class SearchSource(DataSource):
         return "case_search"
 
     def schema(self) -> str:
-        return f"search_term string, page int, {ENTRY}"
+        return PAGE
 
     def reader(self, schema) -> DataSourceReader:
         return _SearchReader(self.options)
@@ -105,9 +108,7 @@ class _Search:
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         for page, url, html in self._made().pages(partition.term, partition.first, partition.last):
-            for e in parse_entries(html, url):
-                people = [tuple(p.values()) for p in e.pop("participants")]
-                yield (partition.term, page, *e.values(), people)
+            yield (partition.term, page, url, html)
 
 
 class _SearchReader(_Search, DataSourceReader):
@@ -146,18 +147,22 @@ class _SearchStream(_Search, DataSourceStreamReader):
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
-def find_entries(spark: SparkSession, terms: list[str], **options: str) -> DataFrame:
-    """The entries of the given terms (`options`: archive or search). Filters on search_term that are put on it later narrow
-    the search itself."""
+def search_pages(spark: SparkSession, terms: list[str], **options: str) -> DataFrame:
+    """The result pages of the given terms (`options`: archive or search). A filter on search_term narrows the search itself."""
     spark.dataSource.register(SearchSource)
     spark.conf.set(PUSHDOWN, "true")
     return spark.read.format("case_search").options(terms="\n".join(terms), **options).load()
 
 
+def find_entries(spark: SparkSession, terms: list[str], **options: str) -> DataFrame:
+    """The entries of the given terms: search_term, page and those of `html_entries`."""
+    return html_entries(search_pages(spark, terms, **options), ["search_term", "page"])
+
+
 def entry_stream(spark: SparkSession, terms: list[str], **options: str) -> DataFrame:
     """The entries of the given terms as they are published."""
     spark.dataSource.register(SearchSource)
-    return spark.readStream.format("case_search").options(terms="\n".join(terms), **options).load()
+    return html_entries(spark.readStream.format("case_search").options(terms="\n".join(terms), **options).load(), ["search_term", "page"])
 
 
 def write_archive(pages: DataFrame, path: str, mode: str = "append") -> None:

@@ -43,12 +43,13 @@ def test_search_reads_only_the_pushed_terms(spark, tmp_path):
     archive(spark, tmp_path / "a", PAGES)
     found = T.find_entries(spark, ["a b/č=1", "two", "none"], archive=str(tmp_path / "a"), pages_each="1")
     assert Counter((r.search_term, r.page, r.result_pos, r.title) for r in found.collect()) == Counter([("a b/č=1", 0, 0, "T1"), ("a b/č=1", 0, 1, "T2"), ("a b/č=1", 1, 0, "T3"), ("two", 0, 0, "T4"), ("two", 2, 0, "T5"), ("two", 2, 1, "T6")])
-    assert found.rdd.getNumPartitions() == 5  # one for each page here; the term without pages has none
-    one = found.where("search_term = 'two'")
+    pages = T.search_pages(spark, ["a b/č=1", "two", "none"], archive=str(tmp_path / "a"), pages_each="1")
+    assert pages.rdd.getNumPartitions() == 5  # one for each page here; the term without pages has none
+    one = pages.where("search_term = 'two'")
     plans = one._jdf.queryExecution()
     assert "= two" in plans.analyzed().toString() and "= two" not in plans.executedPlan().toString()  # the source has taken the filter
-    assert sorted(r.title for r in one.collect()) == ["T4", "T5", "T6"] and one.rdd.getNumPartitions() == 3
-    assert found.where("search_term = 'nothing'").count() == 0
+    assert sorted(r.page for r in one.collect()) == [0, 2] and one.rdd.getNumPartitions() == 3
+    assert pages.where("search_term = 'nothing'").count() == 0 and found.where("search_term = 'two'").count() == 3
     with pytest.raises(Exception, match="search term is needed"):
         T.find_entries(spark, [], archive=str(tmp_path / "a")).collect()
 

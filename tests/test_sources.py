@@ -23,11 +23,39 @@ PAGE = """<ul><li class="item row"><a href="/objave/1" target="_blank"> T &amp;
 <li class="item row"><a href="/other">no title</a></li></ul>"""
 
 
-def test_entry_rules():
-    (e,) = H.parse_entries(PAGE, "https://h.example/search?q=1")
+ODD = """<div><ul><li class="x row item"><small class="d-block text-muted">Sudionici</small>
+<div class="d-block"><span class="badge">no</span><span>A<b>n</b>a</span><small data-original-title='Adresa'><sup>ADRESA</sup> ADRESA 1</small><div class="d-block"><span>Inner</span></div></div>
+<a target=_blank href='objave/../objave/7?a&amp;b'>first</a><a href="//h.example/objave/8" target="_blank"> T\u00a0</a><small>Sud</small><div><a href="/objave-sudova/3">Court<span>S</span></a></div>
+<a href="/x/preuzimanje?no">no</a><br><li class="item row"><a href="http://other/objave/9" target="_blank">Nine<p>p<p>q</a><div class="m-date other">d</div><div class="m-date">e</div>
+<li class="item">no row</li></ul></div></div><li class="item row"><a href="/objave/10" target="_blank"></a></li><!-- <li class="item row"><a href="/objave/11" target="_blank">c</a></li> -->"""
+
+
+def entries(spark, html, url="https://h.example/search/a?q=1", full=True):
+    df = spark.createDataFrame([(1, url, html), (2, None, None), (3, "", "")], "page_id long, url string, html string")
+    return [r.asDict(True) for r in H.html_entries(df, full=full).orderBy("result_pos").collect()]
+
+
+def test_entry_rules(spark):
+    (e,) = entries(spark, PAGE)
     assert (e["title"], e["detail_link"], e["case_number"], e["court"]) == ("T & 1", "https://h.example/objave/1", "St-1/2000", "First")
+    assert (e["date"], e["document_download_link"], e["document_link_text"]) == ("1.1.2000.", "https://h.example/d/preuzimanje", "Get")
     assert e["participants"] == [{"name": "Ana", "oib": "00000000001", "address": "N/A", "role": "R"}]
-    assert H.parse_entries(None, "") == []
+
+
+def test_odd_markup(spark):
+    one, two, three = entries(spark, ODD)
+    assert (one["title"], one["detail_link"], one["court"], one["document_download_link"]) == ("first", "https://h.example/search/objave/7?a&b", "N/A", None)
+    assert one["participants"] == [{"name": "Ana", "oib": "N/A", "address": "ADRESA 1", "role": "N/A"}, {"name": "Inner", "oib": "N/A", "address": "N/A", "role": "N/A"}]
+    assert (two["title"], two["detail_link"], two["date"], two["case_number"], two["participants"]) == ("Ninepq", "http://other/objave/9", "d", "N/A", [])
+    assert (three["title"], three["detail_link"], three["result_pos"]) == ("", "https://h.example/objave/10", 2)
+    plain = entries(spark, ODD, full=False)
+    assert [(e["court"], e["participants"], e["document_download_link"]) for e in plain] == [("CourtS", [], None), ("N/A", [], None), ("N/A", [], None)]
+
+
+def test_document_links(spark):
+    html = '<a href="/out/preuzimanje">o</a><section id="dokumenti"><div><a href="/a/preuzimanje/1"> A\n b </a></div><a href="/no">n</a><a href="b/preuzimanje">B</a></section><section id="dokumenti"><a href="/c/preuzimanje">c</a></section>'
+    df = spark.createDataFrame([(1, "http://h.example/x/y", html), (2, "http://h.example/", None)], "page_id long, url string, html string")
+    assert [tuple(r) for r in H.html_links(df).orderBy("link_pos").collect()] == [(1, 0, "http://h.example/a/preuzimanje/1", "A b"), (1, 1, "http://h.example/x/b/preuzimanje", "B")]
 
 
 def test_script_text_is_no_markup(spark):
