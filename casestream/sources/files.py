@@ -5,14 +5,15 @@ are never shuffled, and a file that can't be read is a row with an error."""
 from __future__ import annotations
 
 import io
-import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
@@ -22,7 +23,6 @@ UPLOAD_MIME = ("application/pdf", "image/jpeg", "image/png", "image/gif", "image
 UPLOAD_BYTES = 2 * 1024 * 1024
 #: Bytes of entries that leave a task at once, but for one larger entry.
 MOST_BYTES = 16 << 20
-_ENTRY = (pa.int32(), pa.string(), pa.binary(), pa.string())
 _PARAGRAPH = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -37,69 +37,105 @@ def admitted(files: DataFrame, mime: str = "mime", length: str = "length", most:
     return files.where(F.col(mime).isin(*UPLOAD_MIME) & (F.col(length) <= most))
 
 
-def _unzipped(content: bytes) -> list[tuple[int, str, bytes | None, str | None]]:
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            out = []
-            for i, e in enumerate(e for e in z.infolist() if not e.is_dir()):
+# -- archives --------------------------------------------------------------
+
+#: One entry of an archive's directory: where its packed bytes are, and what they must give.
+_MEMBER = "struct<name:string,folder:boolean,method:int,locked:boolean,at:bigint,packed:bigint,size:bigint,crc:bigint>"
+
+
+def _members(content: bytes) -> list[dict]:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        found = z.infolist()
+    out = []
+    for e in found:
+        # The local header repeats the name, with extra fields of its own; the packed bytes follow.
+        name, extra = struct.unpack_from("<HH", content, e.header_offset + 26)
+        out.append({"name": e.filename, "folder": e.is_dir(), "method": e.compress_type, "locked": bool(e.flag_bits & 1), "at": e.header_offset + 30 + name + extra, "packed": e.compress_size, "size": e.file_size, "crc": e.CRC})
+    return out
+
+
+def _directories(contents: pd.Series) -> pd.DataFrame:
+    out = []
+    for c in contents:
+        try:
+            out.append((None if c is None else _members(c), None if c is not None else "no content"))
+        except Exception as x:  # noqa: BLE001  a file that is no archive is data
+            out.append((None, str(x) or type(x).__name__))
+    return pd.DataFrame(out, columns=["members", "error"])
+
+
+def directory(content: Column) -> Column:
+    """struct<members, error> of an archive's bytes; its entries' bytes aren't unpacked."""
+    return F.pandas_udf(_directories, f"members array<{_MEMBER}>, error string")(content)
+
+
+def archive_listing(files: DataFrame) -> DataFrame:
+    """path, status, extracted_files (all entries, folders too) and error_message of each file, read as an archive."""
+    read = files.select("path", directory(F.col("content")).alias("d"))
+    status = F.when(F.col("d.error").isNull(), "success").otherwise("error")
+    return read.select("path", status.alias("status"), F.transform("d.members", lambda m: m["name"]).alias("extracted_files"), F.col("d.error").alias("error_message"))
+
+
+def _inflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unpacks the deflated `content` that has no error; what fails is null with an error. Rows leave by MOST_BYTES."""
+    for batch in batches:
+        heads = [c for c in batch.schema.names if c not in ("content", "error")]
+        contents, errors = batch.column("content"), batch.column("error").to_pylist()
+        packed = [m == 8 and e is None for m, e in zip(batch.column("method").to_pylist(), errors, strict=True)]
+        rows, found, held = [], [], 0
+
+        def flush():
+            kept = batch.select(heads).take(pa.array(rows))
+            return pa.RecordBatch.from_arrays([*kept.columns, pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.string())], [*heads, "content", "error"])
+
+        for i in range(batch.num_rows):
+            content, error = contents[i].as_py() if errors[i] is None else None, errors[i]
+            if packed[i]:
                 try:
-                    out.append((i, e.filename, z.read(e), None))
+                    content = zlib.decompress(content, -15)
                 except Exception as x:  # noqa: BLE001  one entry's failure is its own
-                    out.append((i, e.filename, None, str(x) or type(x).__name__))
-            return out
-    except Exception as x:  # noqa: BLE001
-        return [(0, None, None, str(x) or type(x).__name__)]
+                    content, error = None, str(x) or type(x).__name__
+            rows.append(i)
+            found.append((content, error))
+            held += len(content or b"")
+            if held >= MOST_BYTES:
+                yield flush()
+                rows, found, held = [], [], 0
+        if rows:
+            yield flush()
 
 
-def expand_archives(files: DataFrame, path: str = "path", keep: list[str] | None = None) -> DataFrame:
-    """One row for each document: entries of archives (suffix .zip in any case), other files as
-    they are. Adds entry_pos, entry_name, and error; `content` is the document's."""
+def expand_archives(files: DataFrame, path: str = "path", keep: list[str] | None = None, spread: int | None = None) -> DataFrame:
+    """One row for each document: entries of archives (suffix .zip in any case) that aren't folders, other files as
+    they are. Adds entry_pos, entry_name, and error; `content` is the document's. An archive's directory is read first and its packed
+    entries, cut out of its bytes, become rows; each is then unpacked by itself and held against its size and checksum. With
+    `spread` that happens in so many tasks, whichever archive the entries are from."""
     keep = keep or []
-    schema = ", ".join(f"{c} {files.schema[c].dataType.simpleString()}" for c in [path, *keep])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            heads, contents = batch.select([path, *keep]), batch.column("content")
-            rows, found, held = [], [], 0
-
-            def flush():
-                entries = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), _ENTRY, strict=True)]
-                return pa.RecordBatch.from_arrays([*heads.take(pa.array(rows)).columns, *entries], [path, *keep, "entry_pos", "entry_name", "content", "error"])
-
-            for i in range(batch.num_rows):
-                for entry in _unzipped(contents[i].as_py()):
-                    rows.append(i)
-                    found.append(entry)
-                    held += len(entry[2] or b"")
-                    if held >= MOST_BYTES:
-                        yield flush()
-                        rows, found, held = [], [], 0
-            if rows:
-                yield flush()
-
     is_zip = F.lower(F.col(path)).endswith(".zip")
-    inside = files.where(is_zip).select(path, *keep, "content").mapInArrow(run, f"{schema}, entry_pos int, entry_name string, content binary, error string")
-    plain = files.where(~is_zip).select(path, *keep, F.lit(0).alias("entry_pos"), F.regexp_replace(path, "^.*/", "").alias("entry_name"), "content", F.lit(None).cast("string").alias("error"))
-    return inside.unionByName(plain)
+    read = files.select(path, *keep, "content", is_zip.alias("zip"), directory(F.when(is_zip, F.col("content"))).alias("d"))
 
+    def entry(name: Column, content: Column, error: Column, *checks: Column) -> Column:
+        return F.struct(name.cast("string").alias("entry_name"), content.cast("binary").alias("content"), error.cast("string").alias("error"), *[c.cast("bigint").alias(k) for k, c in zip(("method", "size", "crc"), checks, strict=True)])
 
-def archive_status(content: bytes | None) -> dict:
-    """status and all entry names, directories too; or status and error_message."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-            return {"status": "success", "extracted_files": z.namelist(), "error_message": None}
-    except Exception as x:  # noqa: BLE001
-        return {"status": "error", "extracted_files": None, "error_message": str(x) or type(x).__name__}
+    def member(m: Column) -> Column:
+        refused = F.when(m["locked"], F.lit("the entry is encrypted")).when(~m["method"].isin(0, 8), F.concat(F.lit("compression method "), m["method"], F.lit(" isn't supported")))
+        packed = F.substring(F.col("content"), (m["at"] + 1).cast("int"), m["packed"].cast("int"))
+        return entry(m["name"], F.when(refused.isNull(), packed), refused, m["method"], m["size"], m["crc"])
 
+    none = F.lit(None)
+    inside = F.transform(F.filter("d.members", lambda m: ~m["folder"]), member)
+    broken = F.array(entry(none, none, F.col("d.error"), none, none, none))
+    plain = F.array(entry(F.regexp_replace(path, "^.*/", ""), F.col("content"), none, none, none, none))
+    entries = F.when(~F.col("zip"), plain).when(F.col("d.error").isNull(), inside).otherwise(broken)
+    packed = read.select(path, *keep, F.posexplode(entries).alias("entry_pos", "e")).select(path, *keep, "entry_pos", "e.entry_name", "e.method", "e.size", "e.crc", "e.content", "e.error")
+    packed = packed.repartition(spread, path, "entry_pos") if spread else packed
+    whole = packed.mapInArrow(_inflate, packed.schema)
+    wrong = F.col("error").isNull() & ((F.octet_length("content") != F.col("size")) | (F.crc32("content") != F.col("crc")))
+    whole = whole.withColumn("error", F.when(wrong, F.concat(F.lit("Bad CRC-32 for file "), "entry_name")).otherwise(F.col("error")))
+    return whole.select(path, *keep, "entry_pos", "entry_name", F.when(F.col("error").isNull(), F.col("content")).alias("content"), "error")
 
-def archive_listing(files: DataFrame) -> DataFrame:
-    """path and the status struct of each file, read as an archive."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([{"path": p, **archive_status(c)} for p, c in zip(batch["path"], batch["content"], strict=True)], columns=["path", "status", "extracted_files", "error_message"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, status string, extracted_files array<string>, error_message string")
+# -- texts -----------------------------------------------------------------
 
 
 def docx_text(content: bytes) -> str:
@@ -119,37 +155,33 @@ def _no_ocr(content: bytes) -> list[str]:
     return []
 
 
-def text_of(name: str, content: bytes | None, pdf: Callable[[bytes], str] = _no_pdf, ocr: Callable[[bytes], list[str]] = _no_ocr) -> str:
-    """Text by suffix, in small letters only; '' for others and on any failure. If it is
-    blank and the suffix is .pdf in any case, the pages that OCR reads, each followed by an empty line."""
-    text = ""
-    try:
-        if content is None:
-            text = ""
-        elif name.endswith(".pdf"):
-            text = pdf(content)
-        elif name.endswith(".docx"):
-            text = docx_text(content)
-        elif name.endswith(".txt"):
-            text = content.decode("utf-8", "replace")
-    except Exception:  # noqa: BLE001  unreadable is the same as empty
-        text = ""
-    if not re.sub(r"[\s﻿]+", "", text) and name.lower().endswith(".pdf"):
-        try:
-            text = "".join(f"{page}\n\n" for page in ocr(content or b""))
-        except Exception:  # noqa: BLE001
-            text = ""
-    return text
+def _read_by(read: Callable[[bytes], object], kind: str):
+    """A column function over bytes; null stays null, and what can't be read is null."""
 
+    def run(contents: pd.Series) -> pd.Series:
+        out = []
+        for c in contents:
+            try:
+                out.append(None if c is None else read(c))
+            except Exception:  # noqa: BLE001  unreadable is the same as empty
+                out.append(None)
+        return pd.Series(out, dtype=object)
 
-def extract_text(documents: DataFrame, pdf: Callable[[bytes], str] = _no_pdf, ocr: Callable[[bytes], list[str]] = _no_ocr, name: str = "entry_name") -> DataFrame:
-    """`documents` with text; the bytes go."""
+    return F.pandas_udf(run, kind)
 
-    @F.pandas_udf("string")
-    def read(names: pd.Series, contents: pd.Series) -> pd.Series:
-        return pd.Series([text_of(n or "", c, pdf, ocr) for n, c in zip(names, contents, strict=True)])
 
-    return documents.withColumn("text", read(name, "content")).drop("content")
+def extract_text(documents: DataFrame, pdf: Callable[[bytes], str] = _no_pdf, ocr: Callable[[bytes], list[str]] = _no_ocr, name: str = "entry_name") -> DataFrame:
+    """`documents` with text by suffix, in small letters only; '' for others and on any failure; the bytes go. If it is
+    blank and the suffix is .pdf in any case, the pages that OCR reads, each followed by an empty line. Each reader gets
+    the bytes of its own kind only, OCR those of which the first reading was blank; plain text isn't read in Python at all."""
+    named = F.coalesce(F.col(name), F.lit(""))
+    of = lambda suffix: F.when(named.endswith(suffix), F.col("content"))
+    plain = F.make_valid_utf8(of(".txt").cast("string"))
+    first = documents.withColumn("text", F.coalesce(plain, _read_by(pdf, "string")(of(".pdf")), _read_by(docx_text, "string")(of(".docx")), F.lit("")))
+    blank = is_blank("text") & F.lower(named).endswith(".pdf")
+    scanned = first.withColumn("__pages", _read_by(ocr, "array<string>")(F.when(blank, F.coalesce("content", F.lit(b"")))))
+    pages = F.array_join(F.transform("__pages", lambda p: F.concat(p, F.lit("\n\n"))), "")
+    return scanned.withColumn("text", F.when(blank, F.coalesce(pages, F.lit(""))).otherwise(F.col("text"))).drop("content", "__pages")
 
 
 def download(links: DataFrame, fetch: Callable[[str], tuple[bytes, dict[str, str]]], url: str = "url") -> DataFrame:

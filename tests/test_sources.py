@@ -73,14 +73,44 @@ def test_archives(spark):
     assert listing == {"A.ZIP": "success", "c.txt": "error", "bad.zip": "error"}
 
 
-def test_text_by_suffix_and_ocr():
+def test_odd_archives(spark):
+    """Stored and deflated entries, folders, a damaged entry, one that is locked, and another method."""
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("d/", "")
+        z.writestr("stored.txt", "plain é")
+        z.writestr("packed.txt", "x" * 5000, zipfile.ZIP_DEFLATED)
+        z.writestr("bz.txt", "y" * 50, zipfile.ZIP_BZIP2)
+        z.writestr("empty.txt", "", zipfile.ZIP_DEFLATED)
+    good = raw.getvalue()
+    hurt = bytearray(good)
+    hurt[good.index(b"plain")] ^= 1  # the stored entry's bytes no longer fit its checksum
+    tail = bytearray(b"prefix of another program" + good)
+    df = spark.createDataFrame([("good.zip", bytearray(good)), ("hurt.ZIP", hurt), ("tail.zip", tail), ("none.zip", None), ("empty.zip", bytearray(b""))], "path string, content binary")
+    for spread in (None, 3):
+        got = {(r.path, r.entry_name): (r.entry_pos, r.content and len(r.content), r.error) for r in Files.expand_archives(df, spread=spread).collect()}
+        assert got["good.zip", "stored.txt"] == (0, 8, None) and got["good.zip", "packed.txt"] == (1, 5000, None) and got["tail.zip", "packed.txt"] == (1, 5000, None)
+        assert got["good.zip", "empty.txt"][2] is None and "method 12" in got["good.zip", "bz.txt"][2] and got["good.zip", "bz.txt"][1] is None
+        assert got["hurt.ZIP", "stored.txt"][1] is None and "CRC" in got["hurt.ZIP", "stored.txt"][2] and got["hurt.ZIP", "packed.txt"][2] is None
+        assert got["none.zip", None][2] and got["empty.zip", None][2] and len(got) == 14
+    listing = {r.path: r.extracted_files for r in Files.archive_listing(df).collect()}
+    assert listing["good.zip"] == ["d/", "stored.txt", "packed.txt", "bz.txt", "empty.txt"] and listing["none.zip"] is None
+
+
+def test_text_by_suffix_and_ocr(spark):
     doc = archive(**{"word__document_dot_xml": '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>A</w:t></w:r></w:p></w:body></w:document>'})
-    assert Files.text_of("x.docx", doc) == "A\n\n"
-    assert Files.text_of("X.DOCX", doc) == ""
-    ocr = lambda content: ["p1", "p2"]
-    assert Files.text_of("X.PDF", b"", pdf=lambda c: "never", ocr=ocr) == "p1\n\np2\n\n"
-    assert Files.text_of("x.pdf", b"", pdf=lambda c: "t", ocr=ocr) == "t"
-    assert Files.text_of("x.docx", b"broken", ocr=ocr) == ""
+
+    def texts(rows, **readers):
+        df = spark.createDataFrame([(i, n, None if c is None else bytearray(c)) for i, (n, c) in enumerate(rows)], "i int, entry_name string, content binary")
+        return [r.text for r in Files.extract_text(df, **readers).orderBy("i").collect()]
+
+    def pages(content):
+        if content == b"!":
+            raise OSError
+        return ["p1", "p2"]
+
+    assert texts([("x.docx", doc), ("X.DOCX", doc), ("x.docx", b"broken"), ("a.txt", "é".encode() + b"\xff\xe9t"), ("a.TXT", b"t"), (None, b"t"), ("a.txt", None)]) == ["A\n\n", "", "", "é\ufffd\ufffdt", "", "", ""]
+    assert texts([("X.PDF", b""), ("x.pdf", b"b"), ("x.pdf", b"!"), ("x.pdf", None), ("x.txt", b" ")], pdf=lambda c: "t" if c == b"b" else " \n", ocr=pages) == ["p1\n\np2\n\n", "t", "", "p1\n\np2\n\n", " "]
 
 
 def test_whole_analysis(spark):
