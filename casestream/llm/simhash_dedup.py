@@ -36,6 +36,8 @@ from .common import components, join_by_key, maybe_in, member_bitmap, stage
 BITS, DISTANCE, WIDTH, SEED = 64, 3, 3, 42
 #: Nodes under a key that are compared at once.
 BUCKET = 2048
+#: Index keys that a task makes, about, and most tasks. A fingerprint is small and has BITS keys, so tasks by bytes would each make too many.
+TASK_KEYS, MOST_TASKS = 1_000_000, 50_000
 #: Bytes of a text that are split into words at once.
 PIECE = 1 << 20
 _GAPS = b" \t\n\x0b\x0c\r"
@@ -154,7 +156,8 @@ def link_nodes(nodes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET)
     if distance > 3:
         raise ValueError("halves with one wildcard find links of at most 3 bits")
     links, groups = None, None
-    open_ = nodes.select(F.lit(0).cast("long").alias("parent"), "node", F.lit(0).alias("at"), F.lit(BITS).alias("size"))
+    tasks = max(1, min(MOST_TASKS, -(-nodes.count() * BITS // TASK_KEYS)))
+    open_ = nodes.repartition(tasks, "node").select(F.lit(0).cast("long").alias("parent"), "node", F.lit(0).alias("at"), F.lit(BITS).alias("size"))
     for level in range(3):
         later = []
         for wildcard in (False, True):
