@@ -1,11 +1,11 @@
 """Event frames over a stream of text chunks that may come in any order.
 
 A connection's chunks are numbered from 0. One that comes before its turn waits in a map in the state
-store, by its number, and leaves it when all before it have come; a frame that is not yet
-closed by a blank line waits too. What follows the last blank line comes out as a last frame with the
+store, in the block of BLOCK numbers that it is in (a call for each block, not for each chunk), and leaves it when all
+before it have come; a frame that is not yet closed by a blank line waits too. What follows the last blank line comes out as a last frame with the
 chunk that is marked as the connection's end.
 
-Memory: one Arrow batch and the open frame of one connection. The map is as large as the gap: a stream in order
+Memory: one Arrow batch, one block and the open frame of one connection. The map is as large as the gap: a stream in order
 never writes to it. A number that has been read already counts once, so a source that
 repeats chunks does no harm. With `patience`, a connection whose missing chunk doesn't come within that time after
 its last chunk is given up: one row with `error` names the missing number, and its state goes. Such a query has a clock to run
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Numbers of chunks that wait together.
+BLOCK = 64
 OUT = "key string, frame_no bigint, payload string, error string"
 _COLUMNS = ["key", "frame_no", "payload", "error"]
 
@@ -31,38 +33,64 @@ class FrameProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.place = handle.getValueState("place", "rest string, next_chunk bigint, next_frame bigint")
-        self.waiting = handle.getMapState("waiting", "seq bigint", "chunk string, ended boolean")
+        self.waiting = handle.getMapState("waiting", "block bigint", "seqs array<bigint>, chunks array<string>, ends array<boolean>")
         self.timer = handle.getValueState("timer", "at bigint")
 
-    def _next(self, seq: int) -> tuple[str, bool] | None:
-        """The chunk of that number, if it waits."""
-        if not self.waiting.containsKey((seq,)):
-            return None
-        found = tuple(self.waiting.getValue((seq,)))
-        self.waiting.removeKey((seq,))
-        return found
+    def _block(self, number: int) -> dict[int, tuple[str, bool]]:
+        """The chunks of a block that wait, by their numbers."""
+        if not self.waiting.containsKey((number,)):
+            return {}
+        seqs, chunks, ends = self.waiting.getValue((number,))
+        return {s: (c, e) for s, c, e in zip(seqs, chunks, ends, strict=True)}
+
+    def _store(self, number: int, chunks: dict[int, tuple[str, bool]], first: int) -> None:
+        """A block's chunks from number `first` on, or none."""
+        left = {s: x for s, x in chunks.items() if s >= first}
+        if left:
+            self.waiting.updateValue((number,), (list(left), [c for c, _ in left.values()], [e for _, e in left.values()]))
+        elif self.waiting.containsKey((number,)):
+            self.waiting.removeKey((number,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         rest, expected, number = tuple(self.place.get()) if self.place.exists() else ("", 0, 0)
         held, ended = self.waiting.exists(), False
+        at, block = None, {}  # the block of waiting chunks that the expected one is in
         for batch in rows:
-            out = []
-            for seq, chunk, end in batch.sort_values("seq")[["seq", "chunk", "ended"]].itertuples(index=False):
-                if seq > expected and not ended:
-                    self.waiting.updateValue((int(seq),), (chunk or "", bool(end)))
-                    held = True
-                turn = (chunk or "", bool(end)) if seq == expected and not ended else None
-                while turn is not None:
-                    text, ended = turn
-                    frames = (rest + text).split("\n\n")
-                    rest = "" if ended else frames.pop()
-                    out += [(key[0], number + k, f.replace("data: ", "", 1), None) for k, f in enumerate(frames) if f.lstrip().startswith("data:")]
-                    number, expected = number + len(frames), expected + 1
-                    turn = self._next(expected) if held and not ended else None
+            out, fresh = [], {}
+            for seq, chunk, end in batch[["seq", "chunk", "ended"]].itertuples(index=False):
+                if seq >= expected and not ended:
+                    fresh[int(seq)] = (chunk or "", bool(end))
+            while not ended:
+                found = fresh.pop(expected, None)
+                if found is None and held:
+                    if expected // BLOCK != at:
+                        if at is not None:
+                            self._store(at, {}, expected)
+                        at = expected // BLOCK
+                        block = self._block(at)
+                    found = block.pop(expected, None)
+                if found is None:
+                    break
+                text, ended = found
+                frames = (rest + text).split("\n\n")
+                rest = "" if ended else frames.pop()
+                out += [(key[0], number + k, f.replace("data: ", "", 1), None) for k, f in enumerate(frames) if f.lstrip().startswith("data:")]
+                number, expected = number + len(frames), expected + 1
+            early: dict[int, dict[int, tuple[str, bool]]] = {}
+            for seq, x in fresh.items() if not ended else ():
+                early.setdefault(seq // BLOCK, {})[seq] = x
+            for k, chunks in early.items():
+                held = True
+                if k == at:
+                    block |= chunks
+                else:
+                    self._store(k, self._block(k) | chunks, expected)
             yield pd.DataFrame(out, columns=_COLUMNS)
         if ended:
             self._forget()
         else:
+            if at is not None:
+                self._store(at, block, expected)
             self.place.update((rest, expected, number))
             self._wait(timerValues)
 
