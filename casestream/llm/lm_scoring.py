@@ -10,9 +10,11 @@ word's own smoothed relative frequency.
 
 The filter has BITS_EACH bits for each number put in, as the histogram of all
 n-grams' levels says, and leaves none out. Up to BROADCAST_BITS it is sent to all
-workers. A larger one stays a table of pages: each distinct n-gram of the texts meets
-its page once, in a task that holds a page at a time, and the levels read come back to
-the texts in joins. Both ways make the same probes and give the same scores.
+workers. A larger one stays a table of pages, and texts go in blocks of about BLOCK
+tokens: a block asks for each of its distinct n-grams once, the tasks that hold the
+pages answer, and answers meet their block's texts. An n-gram, however frequent, is
+asked for once by a block; level 1, which most have, needs no answer. Both ways make
+the same probes and give the same scores.
 
 The base score takes exact counts of single words: the levels that hold at most TOP of them, from the
 highest down, are sent to the workers as two arrays; occurrences of all other
@@ -41,6 +43,7 @@ PAGE_BITS = 1 << 15
 BROADCAST_BITS = 1 << 29
 BITS_EACH = 6
 TOP = 1 << 18
+BLOCK = 1 << 22
 FOLDS, HELD_OUT = 5, 1
 PAIR_SHARE = 0.6
 
@@ -163,10 +166,12 @@ def read_levels(bits: np.ndarray, buckets: int, h: np.ndarray) -> np.ndarray:
 
 
 def _probe_page(key: tuple, asked: pa.Table, page: pa.Table) -> pa.Table:
-    """(h, q): the levels of a page's n-grams that are asked for."""
+    """(block, h, q): the levels of a page's n-grams that are asked for, but for level 1."""
     h = asked.column("h").to_numpy()
     bits = np.frombuffer(page.column("bits")[0].as_py(), np.uint8) if page.num_rows else np.zeros(PAGE_BITS // 8, np.uint8)
-    return pa.table({"h": h, "q": _probed(bits, np.zeros(len(h), np.int64), h.view(_U))})
+    unique, of = np.unique(h, return_inverse=True)
+    q = _probed(bits, np.zeros(len(unique), np.int64), unique.view(_U))[of]
+    return pa.table({"block": asked.column("block"), "h": h, "q": q.astype(np.int16)}).filter(pa.array(q != 1))
 
 
 def level_counts() -> np.ndarray:
@@ -175,26 +180,36 @@ def level_counts() -> np.ndarray:
     return np.concatenate([[0.0], (low[:-1] + np.maximum(low[1:] - 1, low[:-1])) / 2])
 
 
-_GRAMS = ("pair", "word", "before", "times")
-_SCORED = "key bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>, " + ", ".join(f"{g} array<bigint>" for g in _GRAMS)
+_SCORED = "key bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>, block bigint, text string"
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int64) if values.dtype != _U else values.view(np.int64)))
 
 
-def _score(model, pair_share: float):
+def _log_p(tokens: np.ndarray, first: np.ndarray, read, whole: float, pair_share: float) -> np.ndarray:
+    """log10 of each token's probability; `read` gives the levels of hashes."""
+    means, before = level_counts(), _before(tokens, first)
+    unique, of = np.unique(_word_keys(tokens), return_inverse=True)
+    word, pair = means[read(unique)], means[read(_pair_keys(before, tokens))]
+    # The end token stands before each text and closes it, so all words before others are among `unique`.
+    ahead = word[np.searchsorted(unique, _word_keys(before))]
+    ratio = np.minimum(1.0, pair / np.maximum(ahead, 1.0))
+    share = np.where(ahead > 0, pair_share, 0.0)
+    return np.log10(np.minimum(1.0, share * ratio + (1 - share) * ((word + 0.5) / whole)[of]))
+
+
+def _score(model, pair_share: float, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         bits, n, v = m["bits"], m["n"], m["v"]
         top_h, top_c = np.frombuffer(m["top_h"], _U), np.frombuffer(m["top_c"], np.int64)
-        whole, means = n + 0.5 * (v + 1), level_counts()
-        key = TaskContext.get().partitionId() << 33
+        whole = n + 0.5 * (v + 1)
+        key = block = TaskContext.get().partitionId() << 33
+        held = 0
         for batch in batches:
             for row, tokens, first in _streams(batch):
                 docs = len(first) - 1
-                before = _before(tokens, first)
-                pairs = _pair_keys(before, tokens)
                 unique, of = np.unique(_word_keys(tokens), return_inverse=True)
                 at = np.minimum(np.searchsorted(top_h, unique), max(0, len(top_h) - 1))
                 hot = top_h[at] == unique if len(top_h) else np.zeros(len(unique), bool)
@@ -202,50 +217,79 @@ def _score(model, pair_share: float):
                 rare_at = np.flatnonzero(~hot[of])
                 rare = _lists(unique[of[rare_at]], np.searchsorted(rare_at, first))
                 if bits is None:
-                    # The distinct pairs of each text, their words and how often they stand there: joins look them up.
-                    text = np.repeat(np.arange(docs), np.diff(first))
-                    order = np.lexsort((pairs, text))
-                    new = np.append(True, (pairs[order][1:] != pairs[order][:-1]) | (text[order][1:] != text[order][:-1]))
-                    begin, pick = np.flatnonzero(new), order[new]
-                    ends = np.searchsorted(text[pick], np.arange(docs + 1))
-                    grams = [_lists(x, ends) for x in (pairs[pick], _word_keys(tokens)[pick], _word_keys(before)[pick], np.diff(np.append(begin, len(order))))]
-                    log_p = np.zeros(len(tokens))
+                    if held and held + len(tokens) > most:
+                        block, held = block + 1, 0
+                    held += len(tokens)
+                    log_p, later = np.zeros(len(tokens)), [pa.array(np.full(docs, block)), batch.column("text").slice(row, docs)]
                 else:
-                    grams = [pa.nulls(docs, pa.list_(pa.int64()))] * len(_GRAMS)
                     whole_filter = np.frombuffer(bits, np.uint8)
-                    word = means[read_levels(whole_filter, m["buckets"], unique)]
-                    pair = means[read_levels(whole_filter, m["buckets"], pairs)]
-                    ahead = word[np.searchsorted(unique, _word_keys(before))]
-                    ratio = np.minimum(1.0, pair / np.maximum(ahead, 1.0))
-                    share = np.where(ahead > 0, pair_share, 0.0)
-                    log_p = np.log10(np.minimum(1.0, share * ratio + (1 - share) * ((word + 0.5) / whole)[of]))
+                    log_p = _log_p(tokens, first, lambda h, f=whole_filter: read_levels(f, m["buckets"], h), whole, pair_share)
+                    later = [pa.nulls(docs, pa.int64()), pa.nulls(docs, pa.string())]
                 sums = [np.add.reduceat(x, first[:-1]) for x in (hot[of].astype(np.int64), log_base[of], log_p)]
-                columns = [pa.array(np.arange(key, key + docs)), batch.column("doc_id").slice(row, docs), batch.column("held_out").slice(row, docs), pa.array(np.diff(first)), *(pa.array(s) for s in sums), rare, *grams]
+                columns = [pa.array(np.arange(key, key + docs)), batch.column("doc_id").slice(row, docs), batch.column("held_out").slice(row, docs), pa.array(np.diff(first)), *(pa.array(s) for s in sums), rare, *later]
                 key += docs
                 yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _SCORED.split(", ")])
 
     return run
 
 
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, h): the distinct n-grams of each block. A block that is read in two parts asks twice for what both have."""
+
+    def flush(block, parts):
+        h = np.unique(np.concatenate(parts)).view(np.int64)
+        for a in range(0, len(h), 100_000):
+            some = h[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some)], ["block", "h"])
+
+    last, parts = None, []
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        starts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(blocks) else []
+        for a, b in zip(starts, [*starts[1:], len(blocks)], strict=True):
+            if parts and blocks[a] != last:
+                yield from flush(last, parts)
+                parts = []
+            last = blocks[a]
+            for _, tokens, first in _streams(batch.slice(a, b - a)):
+                parts.append(np.unique(np.concatenate([_word_keys(tokens), _pair_keys(_before(tokens, first), tokens)])))
+    if parts:
+        yield from flush(last, parts)
+
+
+def _score_block(whole: float, pair_share: float):
+    """(key, score) of a block's texts with the answers to what it asked."""
+
+    def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        h, at = np.unique(answers.column("h").to_numpy().view(_U), return_index=True)
+        q = answers.column("q").to_numpy()[at].astype(np.int64)
+
+        def read(x: np.ndarray) -> np.ndarray:
+            if not len(h):
+                return np.ones(len(x), np.int64)
+            at = np.minimum(np.searchsorted(h, x), len(h) - 1)
+            return np.where(h[at] == x, q[at], 1)
+
+        scores = [np.zeros(0)]
+        for batch in texts.to_batches():
+            for _, tokens, first in _streams(batch):
+                scores.append(np.add.reduceat(_log_p(tokens, first, read, whole, pair_share), first[:-1]))
+        return pa.table({"key": texts.column("key"), "paged_score": np.concatenate(scores)})
+
+    return run
+
+
 def _score_by_page(scored: DataFrame, filled: DataFrame, buckets: int, pages: int, whole: float, pair_share: float) -> DataFrame:
-    """(key, score) of `scored` with a filter that stays a table of pages."""
-    grams = scored.select("key", F.explode(F.arrays_zip(*_GRAMS)).alias("g")).select("key", "g.*")
-    grams = stage(grams, "lm-grams")
-    asked = grams.select(F.explode(F.array("pair", "word", "before")).alias("h")).distinct()
+    """(key, paged_score) of `scored` with a filter that stays a table of pages."""
     each = pages // buckets
     page = _bucket(buckets).cast("long") * each + F.pmod(F.shiftrightunsigned("h", 20).bitwiseAND(F.lit(0xFFFFF)), F.lit(each))
-    read = asked.withColumn("page", page).groupBy("page").cogroup(filled.groupBy("page")).applyInArrow(_probe_page, "h bigint, q bigint")
-    means = F.array(*[F.lit(float(x)) for x in level_counts()[:120]])
-    read = stage(read.select("h", F.get(means, F.least(F.col("q"), F.lit(119)).cast("int")).alias("count")), "lm-levels")
-    for gram in _GRAMS[:3]:
-        grams = grams.join(read.select(F.col("h").alias(gram), F.col("count").alias(f"{gram}_count")), gram)
-    ratio = F.least(F.lit(1.0), F.col("pair_count") / F.greatest("before_count", F.lit(1.0)))
-    share = F.when(F.col("before_count") > 0, pair_share).otherwise(0.0)
-    log_p = F.log10(F.least(F.lit(1.0), share * ratio + (1 - share) * (F.col("word_count") + 0.5) / whole))
-    return grams.groupBy("key").agg(F.sum(F.col("times") * log_p).alias("more_score"))
-
-
-def score_texts(docs: DataFrame, bits_each: int = BITS_EACH, broadcast_bits: int = BROADCAST_BITS, top: int = TOP, pair_share: float = PAIR_SHARE) -> DataFrame:
+    asked = scored.select("block", "text").mapInArrow(_ask, "block bigint, h bigint").withColumn("page", page)
+    answers = asked.groupBy("page").cogroup(filled.groupBy("page")).applyInArrow(_probe_page, "block bigint, h bigint, q smallint")
+    texts = scored.select("block", "key", "text")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block(whole, pair_share), "key bigint, paged_score double")
+
+
+def score_texts(docs: DataFrame, bits_each: int = BITS_EACH, broadcast_bits: int = BROADCAST_BITS, top: int = TOP, pair_share: float = PAIR_SHARE, block: int = BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of `docs`."""
     spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS))
@@ -284,18 +328,18 @@ def score_texts(docs: DataFrame, bits_each: int = BITS_EACH, broadcast_bits: int
     h = frequent["h"].to_numpy(np.int64).view(_U)
     order = np.argsort(h)
     model = {"bits": bits, "buckets": buckets, "n": n, "v": v, "top_h": h[order].tobytes(), "top_c": frequent["c"].to_numpy(np.int64)[order].tobytes()}
-    scored = stage(texts.mapInArrow(_score(spark.sparkContext.broadcast(model), pair_share), _SCORED), "lm-scored")
+    scored = stage(texts.mapInArrow(_score(spark.sparkContext.broadcast(model), pair_share, block), _SCORED), "lm-scored")
 
     whole = n + 0.5 * (v + 1)
     rare = scored.select("key", F.explode("rare").alias("h")).groupBy("key", "h").agg(F.count(F.lit(1)).alias("times"))
     rare = rare.join(words.select("h", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     log_p = F.log10((F.col("c") + 0.5) / whole)
     rare = rare.groupBy("key").agg(F.sum(F.col("times") * log_p).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
-    out = scored.drop("rare", *_GRAMS).join(rare, "key", "left")
+    out = scored.drop("rare", "block", "text").join(rare, "key", "left")
     score = F.col("score")
     if bits is None:
         out = out.join(_score_by_page(scored, stage(filled, "lm-filter"), buckets, pages, whole, pair_share), "key", "left")
-        score = F.coalesce("more_score", F.lit(0.0))
+        score = F.col("paged_score")
     return out.select(
         "doc_id",
         "held_out",

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,10 +254,10 @@ def brute_scores(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("top", "broadcast_bits"), [(1 << 18, 1 << 29), (20, 1 << 29), (1 << 18, 0)])
-def test_scores(spark, corpus, top, broadcast_bits):
+@pytest.mark.parametrize(("top", "broadcast_bits", "block"), [(1 << 18, 1 << 29, 1 << 22), (20, 1 << 29, 1 << 22), (1 << 18, 0, 1 << 22), (20, 0, 300)])
+def test_scores(spark, corpus, top, broadcast_bits, block):
     rows = [*corpus, (None, "w1 w2 w3", "s"), (700, "w1 w2 " * 20_000, "s")]
-    got = lm_scoring.score_texts(documents(spark, rows), bits_each=200, broadcast_bits=broadcast_bits, top=top).collect()
+    got = lm_scoring.score_texts(documents(spark, rows), bits_each=200, broadcast_bits=broadcast_bits, top=top, block=block).collect()
     want = brute_scores(rows)
     rounded = sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got)
     assert [r[:5] for r in rounded] == [r[:5] for r in want]
@@ -266,11 +267,33 @@ def test_scores(spark, corpus, top, broadcast_bits):
     assert all(r.score <= 0 for r in got) and sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_paged_filter_reads_what_a_broadcast_one_does(spark, corpus):
+    """With two bits for a number many probes hit by chance, and in both ways the same ones do."""
+    rows = documents(spark, [*corpus, (None, None, "s"), (701, "w1 " * 5_000, "s"), (701, "w1 " * 5_000, "s")])
+    one, two, three = (
+        sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in lm_scoring.score_texts(rows, bits_each=2, broadcast_bits=b, block=block).collect())
+        for b, block in ((1 << 29, 1), (0, 1 << 22), (0, 1))
+    )
+    assert one == two == three
+
+
+def test_blocks_ask_once_for_what_they_hold():
+    """A block's n-grams stand together and once, whatever batches its texts come in; a repeated text asks no more."""
+    batch = pa.RecordBatch.from_pydict({"block": pa.array([5, 5, 6, 6], pa.int64()), "text": ["a b a b", "A  b", None, "a b"]})
+    for cut in (4, 1, 3):
+        out = list(lm_scoring._ask(iter([batch.slice(i, cut) for i in range(0, 4, cut)])))
+        asked = [(b, h) for x in out for b, h in zip(x.column("block").to_pylist(), x.column("h").to_pylist(), strict=True)]
+        assert len(asked) == len(set(asked)) and [b for b, _ in asked] == sorted(b for b, _ in asked)
+        # a, b and the end; (end, a), (a, b), (b, a), (b, end); and in block 6 (end, end) for the empty text, without (b, a).
+        assert Counter(b for b, _ in asked) == {5: 7, 6: 7}
+
+
 def test_scores_without_training_text(spark):
     rows = documents(spark, [(3, "a b", "s"), (3, None, "s")])
     assert zlib.crc32(b"3") % 5 == lm_scoring.HELD_OUT
     assert [(r.score, r.base_score, r.n_tokens) for r in lm_scoring.score_texts(rows).orderBy("n_tokens").collect()] == [(0, 0, 1), (0, 0, 3)]
-    assert lm_scoring.score_texts(rows.limit(0)).count() == 0
+    for bits in (0, 1 << 29):
+        assert lm_scoring.score_texts(rows.limit(0), broadcast_bits=bits).count() == 0
 
 
 def test_filter_never_reads_a_level_too_low():
