@@ -11,8 +11,8 @@ word's own smoothed relative frequency.
 The filter has BITS_EACH bits for each number put in, as the histogram of all
 n-grams' levels says, and leaves none out. Up to BROADCAST_BITS it is sent to all
 workers. A larger one stays a table of pages, and texts go in blocks of about BLOCK
-tokens: a block asks for each of its distinct n-grams once, the tasks that hold the
-pages answer, and answers meet their block's texts. An n-gram, however frequent, is
+tokens: a block asks for each of its distinct n-grams once, the tasks that hold a
+bucket's pages answer, and answers meet their block's texts. An n-gram, however frequent, is
 asked for once by a block; level 1, which most have, needs no answer. Both ways make
 the same probes and give the same scores.
 
@@ -165,13 +165,30 @@ def read_levels(bits: np.ndarray, buckets: int, h: np.ndarray) -> np.ndarray:
     return _probed(bits, _page(h, buckets, len(bits) // size).astype(np.int64) * size, h)
 
 
-def _probe_page(key: tuple, asked: pa.Table, page: pa.Table) -> pa.Table:
-    """(block, h, q): the levels of a page's n-grams that are asked for, but for level 1."""
-    h = asked.column("h").to_numpy()
-    bits = np.frombuffer(page.column("bits")[0].as_py(), np.uint8) if page.num_rows else np.zeros(PAGE_BITS // 8, np.uint8)
-    unique, of = np.unique(h, return_inverse=True)
-    q = _probed(bits, np.zeros(len(unique), np.int64), unique.view(_U))[of]
-    return pa.table({"block": asked.column("block"), "h": h, "q": q.astype(np.int16)}).filter(pa.array(q != 1))
+def _answer(buckets: int, pages: int, most: int = 1_000_000):
+    """(block, h, q): the levels of the n-grams that blocks ask a bucket for, but for level 1. About `most` are probed at a time."""
+    each, size = pages // buckets, PAGE_BITS // 8
+
+    def run(key: tuple, asked: pa.Table, filled: pa.Table) -> pa.Table:
+        bits = np.zeros((each, size), np.uint8)
+        for page, own in zip(filled.column("page").to_pylist(), filled.column("bits"), strict=True):
+            bits[page % each] = np.frombuffer(own.as_buffer(), np.uint8)
+        blocks, found = asked.column("block").to_numpy(), []
+        grams = [np.frombuffer(x.as_buffer(), _U) for x in asked.column("asked")]
+        part = np.cumsum([len(g) for g in grams]) // most
+        for k in np.unique(part):
+            rows = np.flatnonzero(part == k)
+            h = np.concatenate([grams[i] for i in rows])
+            q = _probed(bits.ravel(), _page(h, buckets, pages).astype(np.int64) % each * size, h)
+            ends = np.append(0, np.cumsum([len(grams[i]) for i in rows]))
+            for i, a, b in zip(rows, ends[:-1], ends[1:], strict=True):
+                keep = q[a:b] != 1
+                if keep.any():
+                    found.append((blocks[i], h[a:b][keep].tobytes(), q[a:b][keep].astype(np.uint8).tobytes()))
+        columns = zip(*found, strict=True) if found else ([], [], [])
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "h", "q"])
+
+    return run
 
 
 def level_counts() -> np.ndarray:
@@ -233,36 +250,44 @@ def _score(model, pair_share: float, most: int):
     return run
 
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, h): the distinct n-grams of each block. A block that is read in two parts asks twice for what both have."""
+def _ask(buckets: int):
+    """(block, bucket, asked): the distinct n-grams of each block by bucket. A block that is read in two parts asks twice for what both have."""
 
     def flush(block, parts):
-        h = np.unique(np.concatenate(parts)).view(np.int64)
-        for a in range(0, len(h), 100_000):
-            some = h[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some)], ["block", "h"])
-
-    last, parts = None, []
-    for batch in batches:
-        blocks = batch.column("block").to_numpy()
-        starts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(blocks) else []
-        for a, b in zip(starts, [*starts[1:], len(blocks)], strict=True):
-            if parts and blocks[a] != last:
-                yield from flush(last, parts)
-                parts = []
-            last = blocks[a]
-            for _, tokens, first in _streams(batch.slice(a, b - a)):
-                parts.append(np.unique(np.concatenate([_word_keys(tokens), _pair_keys(_before(tokens, first), tokens)])))
-    if parts:
-        yield from flush(last, parts)
+        h = np.unique(np.concatenate(parts))
+        bucket = (h >> _U(40) & _U(buckets - 1)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        h, bucket = h[order], bucket[order]
+        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(h))
+        for a in range(0, len(cuts) - 1, 1000):
+            some = cuts[a : a + 1001]
+            columns = [pa.array(np.full(len(some) - 1, block)), pa.array(bucket[some[:-1]]), pa.array([h[x:y].tobytes() for x, y in zip(some[:-1], some[1:], strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "asked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts = None, []
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            starts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(blocks) else []
+            for a, b in zip(starts, [*starts[1:], len(blocks)], strict=True):
+                if parts and blocks[a] != last:
+                    yield from flush(last, parts)
+                    parts = []
+                last = blocks[a]
+                for _, tokens, first in _streams(batch.slice(a, b - a)):
+                    parts.append(np.unique(np.concatenate([_word_keys(tokens), _pair_keys(_before(tokens, first), tokens)])))
+        if parts:
+            yield from flush(last, parts)
+
+    return run
 
 
 def _score_block(whole: float, pair_share: float):
     """(key, score) of a block's texts with the answers to what it asked."""
 
     def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        h, at = np.unique(answers.column("h").to_numpy().view(_U), return_index=True)
-        q = answers.column("q").to_numpy()[at].astype(np.int64)
+        h, at = np.unique(np.frombuffer(b"".join(answers.column("h").to_pylist()), _U), return_index=True)
+        q = np.frombuffer(b"".join(answers.column("q").to_pylist()), np.uint8)[at].astype(np.int64)
 
         def read(x: np.ndarray) -> np.ndarray:
             if not len(h):
@@ -281,10 +306,9 @@ def _score_block(whole: float, pair_share: float):
 
 def _score_by_page(scored: DataFrame, filled: DataFrame, buckets: int, pages: int, whole: float, pair_share: float) -> DataFrame:
     """(key, paged_score) of `scored` with a filter that stays a table of pages."""
-    each = pages // buckets
-    page = _bucket(buckets).cast("long") * each + F.pmod(F.shiftrightunsigned("h", 20).bitwiseAND(F.lit(0xFFFFF)), F.lit(each))
-    asked = scored.select("block", "text").mapInArrow(_ask, "block bigint, h bigint").withColumn("page", page)
-    answers = asked.groupBy("page").cogroup(filled.groupBy("page")).applyInArrow(_probe_page, "block bigint, h bigint, q smallint")
+    asked = scored.select("block", "text").mapInArrow(_ask(buckets), "block bigint, bucket int, asked binary")
+    held = filled.withColumn("bucket", F.floor(F.col("page") / (pages // buckets)).cast("int"))
+    answers = asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(_answer(buckets, pages), "block bigint, h binary, q binary")
     texts = scored.select("block", "key", "text")
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block(whole, pair_share), "key bigint, paged_score double")
 

@@ -281,9 +281,10 @@ def test_blocks_ask_once_for_what_they_hold():
     """A block's n-grams stand together and once, whatever batches its texts come in; a repeated text asks no more."""
     batch = pa.RecordBatch.from_pydict({"block": pa.array([5, 5, 6, 6], pa.int64()), "text": ["a b a b", "A  b", None, "a b"]})
     for cut in (4, 1, 3):
-        out = list(lm_scoring._ask(iter([batch.slice(i, cut) for i in range(0, 4, cut)])))
-        asked = [(b, h) for x in out for b, h in zip(x.column("block").to_pylist(), x.column("h").to_pylist(), strict=True)]
+        out = [r for x in lm_scoring._ask(4)(iter([batch.slice(i, cut) for i in range(0, 4, cut)])) for r in x.to_pylist()]
+        asked = [(r["block"], h) for r in out for h in np.frombuffer(r["asked"], np.uint64).tolist()]
         assert len(asked) == len(set(asked)) and [b for b, _ in asked] == sorted(b for b, _ in asked)
+        assert all((h >> 40) % 4 == r["bucket"] for r in out for h in np.frombuffer(r["asked"], np.uint64).tolist())
         # a, b and the end; (end, a), (a, b), (b, a), (b, end); and in block 6 (end, end) for the empty text, without (b, a).
         assert Counter(b for b, _ in asked) == {5: 7, 6: 7}
 
