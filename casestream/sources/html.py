@@ -7,10 +7,14 @@ over the arrays, and a page's entries become rows before their parts are looked
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,35 +30,38 @@ MISSING = "N/A"
 
 #: Elements whose text some rule reads, besides any of the class m-date.
 SAID = frozenset(("a", "span", "small"))
-ELEMENTS = "array<struct<id:int,end:int,parent:int,tag:string,attrs:map<string,string>,classes:array<string>,text:string>>"
+#: Attributes that some rule reads.
+ATTRS = ("href", "target", "id", "data-original-title")
+ELEMENTS = f"array<struct<id:int,end:int,parent:int,tag:string,attrs:struct<{','.join(f'`{a}`:string' for a in ATTRS)}>,classes:array<string>,text:string>>"
+
+# Plain markup: text, end tags, and start tags with quoted attributes without references. The parser's general rules make nothing else
+# of it, so it is cut by one expression; `_RAW` are the elements whose content isn't markup.
+_RAW = "script|style|textarea|title|iframe|noembed|noframes|noscript|plaintext|xmp"
+_TAG = rf'</[a-z][a-z0-9]*>|<(?!(?:{_RAW})[ >])[a-z][a-z0-9]*(?: [a-z-]+="[^"<>&]*")*>'
+_PLAIN, _PIECE, _ATTR = re.compile(f"(?:[^<]++|{_TAG})*+"), re.compile("<[^>]*>|[^<]+"), re.compile(' ([a-z-]+)="([^"]*)"')
+
+
+def _head(tag: str, attrs: dict[str, str | None]) -> tuple[str, tuple[str | None, ...], list[str], bool]:
+    """What a start tag says: tag, the attributes that are read, classes, whether its text is read."""
+    classes = (attrs.get("class") or "").split()
+    return tag, tuple((attrs[a] or "") if a in attrs else None for a in ATTRS), classes, tag in SAID or "m-date" in classes
+
+
+@lru_cache(4096)
+def _plain_head(piece: str) -> tuple[str, tuple[str | None, ...], list[str], bool]:
+    return _head(piece[1:-1].split(" ", 1)[0], dict(_ATTR.findall(piece)))
 
 
 class _Flat(HTMLParser):
-    """The elements of pages, field by field; `end_page` closes one page and begins the next."""
+    """The elements of pages, field by field; `read` takes one page more."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.ids, self.ends, self.parents, self.tags, self.texts, self.pages = [], [], [], [], [], [0]
-        self.keys, self.values, self.attrs_at, self.classes, self.classes_at = [], [], [0], [], [0]
+        self.heads, self.ends, self.parents, self.texts, self.pages = [], [], [], [], [0]
         self.open, self.said, self.first = [], [], 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in IMPLIED and self.open and self.tags[self.open[-1][0]] == tag:
-            self._close(len(self.open) - 1)
-        held, at = dict(attrs), len(self.tags)
-        self.ids.append(at - self.first)
-        self.ends.append(at - self.first + 1)
-        self.parents.append(self.open[-1][0] - self.first if self.open else -1)
-        self.tags.append(tag)
-        self.texts.append(None)
-        self.keys += held
-        self.values += [v or "" for v in held.values()]
-        self.attrs_at.append(len(self.keys))
-        self.classes += (held.get("class") or "").split()
-        self.classes_at.append(len(self.classes))
-        self.open.append((at, len(self.said)))
-        if tag in VOID:
-            self._close(len(self.open) - 1)
+        self._begin(_head(tag, dict(attrs)))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -62,37 +69,62 @@ class _Flat(HTMLParser):
             self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.tags[self.open[k][0]] == tag), None)
-        if at is not None:
-            self._close(at)
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][1] == tag:
+                return self._close(k)
 
     def handle_data(self, data):
         self.said.append(data)
 
+    def _begin(self, head) -> None:
+        tag = head[0]
+        if tag in IMPLIED and self.open and self.open[-1][1] == tag:
+            self._close(len(self.open) - 1)
+        at = len(self.heads)
+        self.heads.append(head)
+        self.ends.append(at + 1)
+        self.parents.append(self.open[-1][0] if self.open else -1)
+        self.texts.append(None)
+        self.open.append((at, tag, len(self.said)))
+        if tag in VOID:
+            self._close(len(self.open) - 1)
+
     def _close(self, first: int) -> None:
-        for at, begun in self.open[first:]:
-            self.ends[at] = len(self.tags) - self.first
-            if self.tags[at] in SAID or "m-date" in self.classes[self.classes_at[at] : self.classes_at[at + 1]]:
+        for at, _, begun in self.open[first:]:
+            self.ends[at] = len(self.heads)
+            if self.heads[at][3]:
                 self.texts[at] = "".join(self.said[begun:])
         del self.open[first:]
 
     def read(self, html: str | None) -> None:
         """One page more; one that can't be read has the elements up to there."""
-        try:
-            self.feed(html or "")
-            self.close()
-        except Exception:  # noqa: BLE001
-            pass
+        if html and _PLAIN.fullmatch(html):
+            for piece in _PIECE.findall(html):
+                if piece[0] != "<":
+                    self.said.append(unescape(piece))
+                elif piece[1] == "/":
+                    self.handle_endtag(piece[2:-1])
+                else:
+                    self._begin(_plain_head(piece))
+        else:
+            try:
+                self.feed(html or "")
+                self.close()
+            except Exception:  # noqa: BLE001
+                pass
+            self.reset()
         self._close(0)
-        self.reset()
-        self.said, self.first = [], len(self.tags)
+        self.said, self.first = [], len(self.heads)
         self.pages.append(self.first)
 
     def array(self) -> pa.Array:
-        numbers = [pa.array(x, pa.int32()) for x in (self.ids, self.ends, self.parents)]
-        attrs = pa.MapArray.from_arrays(pa.array(self.attrs_at, pa.int32()), pa.array(self.keys, pa.string()), pa.array(self.values, pa.string()))
-        classes = pa.ListArray.from_arrays(pa.array(self.classes_at, pa.int32()), pa.array(self.classes, pa.string()))
-        fields = [*numbers, pa.array(self.tags, pa.string()), attrs, classes, pa.array(self.texts, pa.string())]
+        first = np.repeat(self.pages[:-1], np.diff(self.pages))
+        parents = np.asarray(self.parents, "i8")
+        numbers = [np.arange(len(first)) - first, np.asarray(self.ends, "i8") - first, np.where(parents < 0, -1, parents - first)]
+        attrs = [pa.array(x, pa.string()) for x in zip(*(h[1] for h in self.heads), strict=True)] or [pa.array([], pa.string()) for _ in ATTRS]
+        classes_at = np.cumsum([0, *(len(h[2]) for h in self.heads)])
+        classes = pa.ListArray.from_arrays(pa.array(classes_at, pa.int32()), pa.array([c for h in self.heads for c in h[2]], pa.string()))
+        fields = [*(pa.array(x, pa.int32()) for x in numbers), pa.array([h[0] for h in self.heads], pa.string()), pa.StructArray.from_arrays(attrs, names=ATTRS), classes, pa.array(self.texts, pa.string())]
         rows = pa.StructArray.from_arrays(fields, names=["id", "end", "parent", "tag", "attrs", "classes", "text"])
         return pa.ListArray.from_arrays(pa.array(self.pages, pa.int32()), rows)
 
@@ -113,8 +145,19 @@ def elements(pages: DataFrame, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(run, f"{kinds}, url string, elements {ELEMENTS}")
 
 
+_PATH = re.compile("(?:/[A-Za-z0-9_-]+)+")
+
+
+@lru_cache(1024)
+def _root(base: str) -> str:
+    return urljoin(base, "/x")[:-2]
+
+
 def _joined(href: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([None if h is None else urljoin(b or "", h) for h, b in zip(href, base, strict=True)], dtype=object)
+    def one(h: str, b: str) -> str:
+        return _root(b) + h if _PATH.fullmatch(h) else urljoin(b, h)
+
+    return pd.Series([None if h is None else one(h, b or "") for h, b in zip(href, base, strict=True)], dtype=object)
 
 
 def absolute(href: Column, base: str) -> Column:
@@ -218,8 +261,9 @@ def html_entries(pages: DataFrame, key: str | list[str] = "page_id", full: bool
     keep = [key] if isinstance(key, str) else key
     page = elements(pages, keep)
     items = F.filter("elements", lambda x: _is_item(x) & F.exists(_below(F.col("elements"), x), _is_title))
-    rows = page.select(*keep, "url", "elements", F.posexplode(items).alias("result_pos", "item"))
-    rows = rows.select(*keep, "url", "result_pos", "item", _below(F.col("elements"), F.col("item")).alias("below"))
+    # An item leaves its page with the elements below it, not with those of the whole page.
+    parts = F.transform(items, lambda x: F.struct(x["id"].alias("id"), x["end"].alias("end"), _below(F.col("elements"), x).alias("below")))
+    rows = page.select(*keep, "url", F.posexplode(parts).alias("result_pos", "item")).withColumn("below", F.col("item.below"))
     below = F.col("below")
     if full:
         rows = _with_court_and_people(rows).withColumn("got", _find(below, _link(lambda h: h.endswith("/preuzimanje"))))

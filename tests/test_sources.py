@@ -1,4 +1,5 @@
 import io
+import re
 import zipfile
 
 from casestream.plans.analysis import run_analysis
@@ -52,6 +53,22 @@ def test_odd_markup(spark):
     assert [(e["court"], e["participants"], e["document_download_link"]) for e in plain] == [("CourtS", [], None), ("N/A", [], None), ("N/A", [], None)]
 
 
+def test_plain_markup_is_cut_like_any_other():
+    plain = '<ul class="a"><li class="item row">a &amp; b > c<li class="m-date x" id="" title="t">d<br>&lt;</b></ul><p>e'
+    assert H._PLAIN.fullmatch(plain) and not any(map(H._PLAIN.fullmatch, ("<a href='x'>", "<script>", "<A>", "<br/>", '<a href="?a&amp;b">', "<!-- -->", "a < b")))
+    one, two, empty = H._Flat(), H._Flat(), H._Flat()
+    one.read(plain)
+    two.read(plain + "<!-- -->")
+    assert one.array().to_pylist() == two.array().to_pylist() and empty.array().to_pylist() == []
+
+
+def test_an_item_leaves_its_page_without_the_others(spark):
+    """What an item's row carries doesn't grow with its page: the generator drops the page's elements."""
+    plan = H.html_entries(spark.createDataFrame([(1, "", "")], "page_id long, url string, html string"))._jdf.queryExecution().optimizedPlan().toString()
+    (generate,) = [line for line in plan.splitlines() if "Generate posexplode" in line]
+    assert re.search(r", \[2\], false, \[result_pos#\d+, item#\d+\]", generate)
+
+
 def test_document_links(spark):
     html = '<a href="/out/preuzimanje">o</a><section id="dokumenti"><div><a href="/a/preuzimanje/1"> A\n b </a></div><a href="/no">n</a><a href="b/preuzimanje">B</a></section><section id="dokumenti"><a href="/c/preuzimanje">c</a></section>'
     df = spark.createDataFrame([(1, "http://h.example/x/y", html), (2, "http://h.example/", None)], "page_id long, url string, html string")
