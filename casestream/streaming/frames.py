@@ -5,7 +5,7 @@ store, in the block of BLOCK numbers that it is in (a call for each block, not f
 before it have come; a frame that is not yet closed by a blank line waits too. What follows the last blank line comes out as a last frame with the
 chunk that is marked as the connection's end.
 
-Memory: one Arrow batch, one block and the open frame of one connection. The map is as large as the gap: a stream in order
+Memory: BATCH chunks, one block and the open frame of one connection. The map is as large as the gap: a stream in order
 never writes to it. A number that has been read already counts once, so a source that
 repeats chunks does no harm. With `patience`, a connection whose missing chunk doesn't come within that time after
 its last chunk is given up: one row with `error` names the missing number, and its state goes. Such a query has a clock to run
@@ -14,16 +14,18 @@ by; one that takes what there is and stops has none, and waits."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Numbers of chunks that wait together.
 BLOCK = 64
+#: Chunks that are looked at together.
+BATCH = 10_000
 OUT = "key string, frame_no bigint, payload string, error string"
-_COLUMNS = ["key", "frame_no", "payload", "error"]
+_FRAME = Row("key", "frame_no", "payload", "error")
 
 
 class FrameProcessor(StatefulProcessor):
@@ -32,34 +34,32 @@ class FrameProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "rest string, next_chunk bigint, next_frame bigint")
+        self.place = handle.getValueState("place", "rest string, next_chunk bigint, next_frame bigint, held boolean")
         self.waiting = handle.getMapState("waiting", "block bigint", "seqs array<bigint>, chunks array<string>, ends array<boolean>")
         self.timer = handle.getValueState("timer", "at bigint")
 
     def _block(self, number: int) -> dict[int, tuple[str, bool]]:
         """The chunks of a block that wait, by their numbers."""
-        if not self.waiting.containsKey((number,)):
-            return {}
-        seqs, chunks, ends = self.waiting.getValue((number,))
-        return {s: (c, e) for s, c, e in zip(seqs, chunks, ends, strict=True)}
+        found = self.waiting.getValue((number,))
+        return {s: (c, e) for s, c, e in zip(*found, strict=True)} if found else {}
 
     def _store(self, number: int, chunks: dict[int, tuple[str, bool]], first: int) -> None:
         """A block's chunks from number `first` on, or none."""
         left = {s: x for s, x in chunks.items() if s >= first}
         if left:
             self.waiting.updateValue((number,), (list(left), [c for c, _ in left.values()], [e for _, e in left.values()]))
-        elif self.waiting.containsKey((number,)):
+        else:
             self.waiting.removeKey((number,))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rest, expected, number = tuple(self.place.get()) if self.place.exists() else ("", 0, 0)
-        held, ended = self.waiting.exists(), False
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        rest, expected, number, held = self.place.get() or ("", 0, 0, False)  # `held`: whether chunks may wait in the map
+        ended = False
         at, block = None, {}  # the block of waiting chunks that the expected one is in
-        for batch in rows:
-            out, fresh = [], {}
-            for seq, chunk, end in batch[["seq", "chunk", "ended"]].itertuples(index=False):
-                if seq >= expected and not ended:
-                    fresh[int(seq)] = (chunk or "", bool(end))
+        while batch := list(islice(rows, BATCH)):
+            fresh = {}
+            for r in batch:
+                if r.seq >= expected and not ended:
+                    fresh[r.seq] = (r.chunk or "", bool(r.ended))
             while not ended:
                 found = fresh.pop(expected, None)
                 if found is None and held:
@@ -74,7 +74,7 @@ class FrameProcessor(StatefulProcessor):
                 text, ended = found
                 frames = (rest + text).split("\n\n")
                 rest = "" if ended else frames.pop()
-                out += [(key[0], number + k, f.replace("data: ", "", 1), None) for k, f in enumerate(frames) if f.lstrip().startswith("data:")]
+                yield from (_FRAME(key[0], number + k, f.replace("data: ", "", 1), None) for k, f in enumerate(frames) if f.lstrip().startswith("data:"))
                 number, expected = number + len(frames), expected + 1
             early: dict[int, dict[int, tuple[str, bool]]] = {}
             for seq, x in fresh.items() if not ended else ():
@@ -85,13 +85,12 @@ class FrameProcessor(StatefulProcessor):
                     block |= chunks
                 else:
                     self._store(k, self._block(k) | chunks, expected)
-            yield pd.DataFrame(out, columns=_COLUMNS)
         if ended:
-            self._forget()
+            self._forget(held)
         else:
             if at is not None:
                 self._store(at, block, expected)
-            self.place.update((rest, expected, number))
+            self.place.update((rest, expected, number, held))
             self._wait(timerValues)
 
     def _wait(self, timerValues) -> None:
@@ -106,17 +105,19 @@ class FrameProcessor(StatefulProcessor):
             self.handle.registerTimer(at)
             self.timer.update((at,))
 
-    def _forget(self) -> None:
+    def _forget(self, held: bool = True) -> None:
         if self.patience_ms is not None and self.timer.exists():
             self.handle.deleteTimer(self.timer.get()[0])
-        for state in (self.place, self.waiting, self.timer):
-            state.clear()
+            self.timer.clear()
+        self.place.clear()
+        if held:
+            self.waiting.clear()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, expected, number = tuple(self.place.get())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        _, expected, number, _ = self.place.get()
         self.timer.clear()
         self._forget()
-        yield pd.DataFrame([(key[0], number, None, f"chunk {expected} is missing")], columns=_COLUMNS)
+        yield _FRAME(key[0], number, None, f"chunk {expected} is missing")
 
     def close(self) -> None:
         pass
@@ -127,7 +128,7 @@ def frame_stream(chunks: DataFrame, key: str = "conv_id", patience_ms: int | Non
     with `patience_ms` error. Rows without a number are no chunks."""
     ended = "ended" if "ended" in chunks.columns else "false as ended"
     rows = chunks.where("seq is not null").selectExpr(f"cast({key} as string) as key", "cast(seq as bigint) as seq", "chunk", ended)
-    out = rows.groupBy("key").transformWithStateInPandas(FrameProcessor(patience_ms), outputStructType=OUT, outputMode="Append", timeMode="None" if patience_ms is None else "ProcessingTime")
+    out = rows.groupBy("key").transformWithState(FrameProcessor(patience_ms), outputStructType=OUT, outputMode="Append", timeMode="None" if patience_ms is None else "ProcessingTime")
     return out.drop("error") if patience_ms is None else out
 
 

@@ -216,3 +216,45 @@ def test_chat_turns_keep_failures(spark):
     assert (got.reply, got.error) == (None, "down")
     (frame,) = C.encode_frames(rows, ["role"]).collect()
     assert frame.frame == 'data: {"role":"user"}\n\n'
+
+
+class _Held:
+    """A state of one key that counts the calls to it."""
+
+    def __init__(self, calls):
+        self.calls, self.value, self.map = calls, None, {}
+
+    def __getattr__(self, name):
+        plain = {
+            "get": lambda: self.value, "update": lambda x: setattr(self, "value", x), "clear": lambda: (setattr(self, "value", None), self.map.clear()),
+            "getValue": self.map.get, "updateValue": self.map.__setitem__, "removeKey": lambda k: self.map.pop(k, None),
+        }[name]
+        return lambda *a: (self.calls.append(name), plain(*a))[1]
+
+
+class _Handle:
+    def __init__(self):
+        self.calls = []
+
+    def getValueState(self, *_):
+        return _Held(self.calls)
+
+    getMapState = getValueState
+
+
+def test_chunks_in_order_cost_two_state_calls_a_batch():
+    from pyspark.sql import Row
+
+    from casestream.streaming.frames import FrameProcessor
+
+    def take(*chunks):
+        handle.calls.clear()
+        rows = iter([Row(key="a", seq=s, chunk=c, ended=e) for s, c, e in chunks])
+        return [(r.frame_no, r.payload) for r in made.handleInputRows(("a",), rows, None)], list(handle.calls)
+
+    handle, made = _Handle(), FrameProcessor()
+    made.init(handle)
+    assert take((0, "data: x\n", False)) == ([], ["get", "update"])
+    assert take((1, "\ndata: y", False), (3, "data: z\n\n", True))[0] == [(0, "x")]  # 3 waits
+    assert take((2, "\n\n", False))[0] == [(1, "y"), (2, "z")]
+    assert made.place.value is None and not made.waiting.map
