@@ -242,6 +242,19 @@ class _Handle:
     getMapState = getValueState
 
 
+def test_a_client_costs_two_state_calls_a_batch():
+    from pyspark.sql import Row
+
+    from casestream.operators.limits import Bucket
+    from casestream.streaming.token_bucket import BucketProcessor
+
+    handle, made = _Handle(), BucketProcessor(Bucket(2, 1000), Bucket(1, 100), expire=False)
+    made.init(handle)
+    one = list(made.handleInputRows(("a",), iter([Row(key="a", event_id=2, now=500), Row(key="a", event_id=1, now=0)]), None))
+    two = list(made.handleInputRows(("a",), iter([Row(key="a", event_id=3, now=550)]), None))
+    assert [(r.event_id, r.reason) for r in one + two] == [(1, "ok"), (2, "ok"), (3, "hour")] and handle.calls == ["get", "update"] * 2
+
+
 def test_chunks_in_order_cost_two_state_calls_a_batch():
     from pyspark.sql import Row
 
