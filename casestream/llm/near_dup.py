@@ -14,13 +14,16 @@ those fail to meet only if besides no chunk happens to agree.
 A bucket never turns into all its pairs. First each node is compared with the
 nearest of the smallest and largest nodes of its buckets; the links that full sets
 confirm give a first grouping. Links inside a group can't change the groups, so only
-pairs of different groups are left, and one rule holds for them: every pair that meets
-in a bucket and differs in at most FAR_LANES lanes is compared by its full sets; of
-pairs at similarity 0.75 one in a million is farther apart. Where one group is big, its
-nodes and the outside nodes that meet it in some bucket are laid in tiles, blocks of both
-sides' full sets, and of each outside node one link at most leaves a tile. Those links
-join groups again, and then, where neither group is big, a pair that still is of different
-groups is taken in the first bucket that both share.
+nodes that meet other groups in a bucket are left. Where one group is big, its nodes and
+the outside nodes that meet it in some bucket are laid in tiles, blocks of both sides'
+full sets. Of the others, whatever the size of a bucket, each node lists the rarest
+shingles of its set, as many as similar sets must have one of in common: if the first
+shingle that two sets share, counted from the rarest, stands behind these, they share too
+few. Nodes of different groups that list the same shingle are put in one cluster, and a
+cluster's full sets are compared in tiles, so that is exact for all nodes that take part.
+Copies with many changes of their own list little but those and mostly stay apart.
+A tile only gives links that join its groups, fewer than it has nodes: no table has more
+rows than nodes and their shingles.
 
 Defined cases: null texts and texts without words have an empty set, are linked
 with nothing and form their own component; a text may be of any length; rows that
@@ -37,23 +40,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, maybe_in, member_bitmap, mix, shingle_sets, stage, text_slices, word_hashes
+from .common import components, join_by_key, maybe_in, member_bitmap, mix, shingle_sets, stage, text_slices, word_hashes
 
 LANES, CHUNK, LANE_BITS = 48, 4, 16
 CHUNKS = LANES // CHUNK
 #: The distance up to which the index finds every pair. The first round looks at no others.
 MOST_LANES = 2 * CHUNKS - 1
-#: Lanes beyond which no pair is at the similarity asked for.
-FAR_LANES = 27
 #: Pairs of each node that the first round confirms at most.
 FIRST_TRIES = 4
-#: Groups of so many nodes are compared with outside nodes in tiles of about TILE_BYTES of shingles each side.
+#: Groups of so many nodes are compared with outside nodes; tiles have about TILE_BYTES of shingles each side.
 BIG_GROUP, TILE_BYTES = 32, 2_000_000
-#: Nodes of a bucket that are compared at once with as many others.
-BUCKET_BLOCK = 1024
 
 
 def _sizes_allow(one, two, percent: int):
@@ -142,91 +142,92 @@ def _lanes_apart(a: str, b: str) -> Column:
     return sum(_chunk_lanes(a, b)[1:], _chunk_lanes(a, b)[0])
 
 
-def _lanes(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """For each of `many` signatures and each chunk the number of lanes that differ from `one`."""
-    d = many ^ one
-    for kept in (0x7FFF7FFF7FFF7FFF, 0x3FFF3FFF3FFF3FFF):
-        d = ((d >> np.uint64(1)) | d) & np.uint64(kept)
-    return np.bitwise_count((d + np.uint64(0x3FFF3FFF3FFF3FFF)) & np.uint64(0x4000400040004000))
-
-
-def _near_in_bucket(percent: int):
-    """(a, b): of two blocks of a bucket the pairs of different groups up to FAR_LANES apart whose sizes allow the
-    similarity, unless an earlier bucket has the pair too: of an earlier chunk, or of an equal chunk's first lane."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one, two = (batch.column(c)[row].values.flatten() for c in ("one", "two"))
-                (n1, r1, z1), (n2, r2, z2) = ([x[i].to_numpy() for i in (0, 1, 2)] for x in (one, two))
-                s1, s2 = (np.stack([c.to_numpy() for c in x[3:]], axis=1).view(np.uint64) for x in (one, two))
-                slot, same = batch.column("slot")[row].as_py(), batch.column("same")[row].as_py()
-                chunk, lane = divmod(slot, CHUNK)
-                for i in range(len(n1)):
-                    other = np.flatnonzero((r2 != r1[i]) & ((n2 > n1[i]) | (not same)) & _sizes_allow(z1[i], z2, percent))
-                    if not len(other):
-                        continue
-                    lanes = _lanes(s1[i], s2[other])
-                    keep = (lanes.sum(axis=1) <= FAR_LANES) & (lanes[:, :chunk] > 1).all(axis=1) & ((lanes[:, chunk] == 1) | (lane == 0))
-                    met = n2[other[keep]]
-                    if len(met):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(met, n1[i])), pa.array(np.maximum(met, n1[i]))], ["a", "b"])
-
-    return run
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingle) of (node, shingles)."""
+    for batch in batches:
+        sets = batch.column("shingles")
+        flat = np.frombuffer(b"".join(sets.to_pylist()), np.int64)
+        node = np.repeat(batch.column("node").to_numpy(), pc.binary_length(sets).to_numpy() // 8)
+        for a in range(0, len(flat), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)]) for x in (node, flat)], ["node", "shingle"])
 
 
 def _tile(percent: int):
-    """(a, b): for each outside node of a tile its first link to the tile's members."""
+    """(a, b): links between nodes of `one` and of `two`, but only such as join groups that the tile's
+    links so far don't."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                members, outside = batch.column("members")[row].as_py(), batch.column("outside")[row].as_py()
-                sets = [np.frombuffer(m["shingles"], np.uint64) for m in members]
+                one, two = batch.column("one")[row].as_py(), batch.column("two")[row].as_py()
+                names = {r: i for i, r in enumerate({m["root"] for m in one + two})}
+                root, other = (np.array([names[m["root"]] for m in side]) for side in (one, two))
+                sets = [np.frombuffer(m["shingles"], np.uint64) for m in one]
                 sizes = np.array([len(x) for x in sets])
                 flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
                 order = np.argsort(flat, kind="stable")
                 flat, owner = flat[order], owner[order]
-                found = []
-                for o in outside:
+                group, found = np.arange(len(names)), []
+                for i, o in enumerate(two):
                     own = np.frombuffer(o["shingles"], np.uint64)
                     low, high = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
                     n = high - low
                     at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                     common = np.bincount(owner[at], minlength=len(sets))
-                    linked = np.flatnonzero(100 * common >= percent * (sizes + len(own) - common))
-                    if len(linked):
-                        found.append((members[linked[0]]["node"], o["node"]))
+                    linked = 100 * common >= percent * (sizes + len(own) - common)
+                    for m in np.flatnonzero(linked & (group[root] != group[other[i]])):
+                        if group[root[m]] != group[other[i]]:
+                            found.append((one[m]["node"], o["node"]))
+                            group[group == group[root[m]]] = group[other[i]]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
 def _blocks(nodes: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """(group, nodes) to (group, part, parts, [name]): lists of nodes and sets of about TILE_BYTES."""
-    held = nodes.join(sets, "node")
-    per = held.groupBy("group").agg(F.ceil(F.sum(F.length("shingles")) / TILE_BYTES).cast("int").alias("parts"))
+    """(group, node, root) to (group, part, parts, [name]): lists of nodes and sets of about TILE_BYTES."""
+    held = stage(nodes.join(sets, "node"), "near-held")
+    per = held.groupBy("group").agg(F.ceil(F.sum(F.length("shingles")) / TILE_BYTES).cast("int").alias("parts"), F.count(F.lit(1)).alias("times"))
     part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int")
-    return held.join(per, "group").groupBy("group", "parts", part.alias("part")).agg(F.collect_list(F.struct("node", "shingles")).alias(name))
+    dealt = join_by_key(held, stage(per, "near-per"), ["group"], "times")
+    return dealt.groupBy("group", "parts", part.alias("part")).agg(F.collect_list(F.struct("node", "root", "shingles")).alias(name))
 
 
 def _tiles(inside: DataFrame, outside: DataFrame, sets: DataFrame) -> DataFrame:
-    """(members, outside): each block of a group's nodes with each block of its outside nodes. A tile has a key
+    """(one, two): each block of a group's nodes with each block of its outside nodes. A tile has a key
     of its own, so that a large group's are spread."""
-    one, two = _blocks(inside, sets, "members"), _blocks(outside, sets, "outside")
+    one, two = _blocks(inside, sets, "one"), _blocks(outside, sets, "two")
     n_one, n_two = one.select("group", F.col("parts").alias("ps")).distinct(), two.select("group", F.col("parts").alias("qs")).distinct()
-    one = one.join(n_two, "group").select("group", F.col("part").alias("p"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), "members")
-    two = two.join(n_one, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), F.col("part").alias("q"), "outside")
-    return one.join(two, ["group", "p", "q"]).select("members", "outside")
+    one = one.join(n_two, "group").select("group", F.col("part").alias("p"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), "one")
+    two = two.join(n_one, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), F.col("part").alias("q"), "two")
+    return one.join(two, ["group", "p", "q"]).select("one", "two")
 
 
-def _bucket_tiles(blocks: DataFrame) -> DataFrame:
-    """(slot, same, one, two): the pairs of blocks of each bucket, a bucket's only block with itself without a join."""
-    alone = blocks.where("parts = 1").select("slot", F.lit(True).alias("same"), F.col("block").alias("one"), F.col("block").alias("two"))
+def _own_tiles(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+    """(one, two): the pairs of blocks of each cluster (group, node, root), an only block with itself without a join."""
+    blocks = stage(_blocks(clusters, sets, "block"), "near-blocks")
+    alone = blocks.where("parts = 1").select(F.col("block").alias("one"), F.col("block").alias("two"))
     many = blocks.where("parts > 1")
-    one = many.select("key", "slot", F.col("part").alias("p"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("q"), F.col("block").alias("one"))
-    two = many.select("key", F.explode(F.sequence(F.lit(0), "part")).alias("p"), F.col("part").alias("q"), F.col("block").alias("two"))
-    return alone.union(one.join(two, ["key", "p", "q"]).select("slot", (F.col("p") == F.col("q")).alias("same"), "one", "two"))
+    one = many.select("group", F.col("part").alias("p"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("q"), F.col("block").alias("one"))
+    two = many.select("group", F.explode(F.sequence(F.lit(0), "part")).alias("p"), F.col("part").alias("q"), F.col("block").alias("two"))
+    return alone.union(one.join(two, ["group", "p", "q"]).select("one", "two"))
+
+
+def _clusters(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(group, node, root) of those of `nodes` (node, root, n_shingles) whose sets may be similar to one of another root.
+    Similar sets share at least `percent` of the larger one's shingles, so in any order of all shingles the first that
+    they share stands at a place of either where so many are left. The order is by number of sets, then by hash.
+    No shingle has a large part of the rows, as a set has it once."""
+    shingles = stage(nodes.join(sets, "node").select("node", "shingles").mapInArrow(_shingles, "node bigint, shingle bigint"), "near-shingles")
+    shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    ordered = shingles.join(shared, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("s"))
+    first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+    # Those that no other set has come first.
+    some = F.slice("s", 1, F.greatest(F.lit(0), first - F.col("n_shingles") + F.size("s")).cast("int"))
+    rare = stage(ordered.join(nodes, "node").select("node", "root", F.explode(some).alias("s")).select("node", "root", F.col("s.shingle").alias("shingle")), "near-rare")
+    meet = rare.groupBy("shingle").agg(F.min("node").alias("b"), F.min("root").alias("__low"), F.max("root").alias("__high")).where("__low < __high")
+    links = rare.join(meet, "shingle").select(F.col("node").alias("a"), "b")
+    return components(links, "near-cluster").select("node", F.col("root").alias("group")).join(nodes.select("node", "root"), "node")
 
 
 def _place(doc_id: str = "doc_id", th: str = "th") -> Column:
@@ -278,19 +279,18 @@ def link_rows(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     # One group is big: its nodes against the outside nodes that it meets, in tiles.
     hosts = open_.where("big").select("key", F.col("root").alias("group")).distinct()
     outside = open_.select("key", "node", "root", "big").join(hosts, "key").where((F.col("root") != F.col("group")) & (~F.col("big") | (F.col("root") < F.col("group"))))
-    outside = stage(outside.select("group", "node").distinct(), "near-outside")
-    inside = grouped.join(outside.select(F.col("group").alias("root")).distinct(), "root", "left_semi").select(F.col("root").alias("group"), "node")
+    outside = stage(outside.select("group", "node", "root").distinct(), "near-outside")
+    inside = grouped.join(outside.select(F.col("group").alias("root")).distinct(), "root", "left_semi").select(F.col("root").alias("group"), "node", "root")
     across = stage(_tiles(inside, outside, sets).mapInArrow(_tile(percent), "a bigint, b bigint"), "near-across")
     if not across.isEmpty():
         grouped = components(links.union(across), "near-second")
 
-    # Neither group is big: the pairs that signatures allow, of groups that are still different.
-    small = open_.where("not big").drop("root").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node")).join(signatures, "node").select("key", "slot", "node", "root", "n_shingles", *words)
-    parts = small.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET_BLOCK).cast("int").alias("parts"), F.min("root").alias("__low"), F.max("root").alias("__high")).where("__low < __high").select("key", "parts")
-    blocks = small.join(parts, "key").groupBy("key", "slot", "parts", F.pmod(F.xxhash64("node", F.lit(4)), F.col("parts")).cast("int").alias("part")).agg(F.collect_list(F.struct("node", "root", "n_shingles", *words)).alias("block"))
-    met = _bucket_tiles(stage(blocks, "near-blocks"))
-    rest = met.mapInArrow(_near_in_bucket(percent), "a bigint, b bigint")
-    later = _confirmed(stage(rest, "near-rest"), sets, percent)
+    # Neither group is big: the nodes that still meet a different group.
+    small = open_.where("not big").drop("root").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = small.groupBy("key").agg(F.min("root").alias("__low"), F.max("root").alias("__high")).where("__low < __high").select("key")
+    small = small.join(several, "key").select("node", "root").distinct().join(signatures.select("node", "n_shingles"), "node")
+    clusters = _clusters(stage(small, "near-small"), sets, percent)
+    later = stage(_own_tiles(clusters, sets).mapInArrow(_tile(percent), "a bigint, b bigint"), "near-later")
 
     final = components(links.union(later).union(across), "near-final")
 

@@ -144,3 +144,34 @@ def test_scores_equal_plain_sums(spark, judged):
     for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
         assert a[:3] == b[:3] and a[5] == b[5] and math.isclose(a[3], b[3], abs_tol=1e-9) and math.isclose(a[4], b[4], abs_tol=1e-6)
     assert {r.kept for r in got} == {True, False} and not any(r.kept for r in got if r.doc_id in (200, 201))
+
+
+@pytest.mark.parametrize("tile", [4_000, 2_000_000])
+def test_a_cloud_of_near_copies_is_linked_without_a_row_for_each_pair(spark, monkeypatch, tile):
+    """Copies with changes of their own, most below the similarity asked for of all others."""
+    rng, made, write = random.Random(3), {}, near_dup.stage
+    base, texts = [f"w{i}" for i in range(100)], []
+    for i in range(320):
+        words = list(base)
+        for place in rng.sample(range(100), 3):
+            words[place] = f"own{i}x{place}"
+        texts.append(f"{texts[-1]} end" if i % 20 == 19 else " ".join(words))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    group = list(range(320))
+    for i in range(320):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+
+    def counted(df, label):
+        out = write(df, label)
+        made[label] = max(made.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "stage", counted)
+    monkeypatch.setattr(near_dup, "TILE_BYTES", tile)
+    monkeypatch.setattr(near_dup, "BIG_GROUP", 10_000)
+    got = {r.doc_id: r.component_id for r in near_dup.link_components(table(spark, list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(group)) and 200 < len(set(group)) < 310
+    assert max(made.values()) <= 320 * 100 < 320 * 319 // 2
