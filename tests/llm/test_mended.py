@@ -175,3 +175,15 @@ def test_a_cloud_of_near_copies_is_linked_without_a_row_for_each_pair(spark, mon
     got = {r.doc_id: r.component_id for r in near_dup.link_components(table(spark, list(enumerate(texts)))).collect()}
     assert got == dict(enumerate(group)) and 200 < len(set(group)) < 310
     assert max(made.values()) <= 320 * 100 < 320 * 319 // 2
+
+
+def test_line_sizes_are_compared_first_and_grouping_leaves_no_tables(spark):
+    long = "a line of many words that says something of its own about a matter"
+    rows = [(0, f"{long}\n{long} too\n{'abcde' * 20}"), (1, long + " that goes on for much longer than any other line here does")]
+    with common.staged() as made:
+        gone = {(r.doc, r.no) for r in line_dedup.duplicate_lines(table(spark, rows)).collect()}
+    assert gone == {(0, 1)} and not any("line-texts" in path or "line-tried" in path for path in made)
+    # Sizes that can't go together settle it, whatever the lines are.
+    line, n = F.lit(long), F.lit(60)
+    first = spark.range(1).select(*[line_dedup._similar(line, line, 75, n, F.lit(m)) for m in (60, 81)]).first()
+    assert tuple(first) == (True, False)
