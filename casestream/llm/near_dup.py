@@ -22,8 +22,8 @@ shingle that two sets share, counted from the rarest, stands behind these, they
 few. Nodes of different groups that list the same shingle are put in one cluster, and a
 cluster's full sets are compared in tiles, so that is exact for all nodes that take part.
 Copies with many changes of their own list little but those and mostly stay apart.
-A tile only gives links that join its groups, fewer than it has nodes: no table has more
-rows than nodes and their shingles.
+A tile only gives links that join its groups, fewer than it has nodes. Tables grow with
+nodes, their keys and shingles; only a large cluster's tiles grow with the square of its bytes.
 
 Defined cases: null texts and texts without words have an empty set, are linked
 with nothing and form their own component; a text may be of any length; rows that
