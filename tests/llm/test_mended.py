@@ -187,3 +187,47 @@ def test_line_sizes_are_compared_first_and_grouping_leaves_no_tables(spark):
     line, n = F.lit(long), F.lit(60)
     first = spark.range(1).select(*[line_dedup._similar(line, line, 75, n, F.lit(m)) for m in (60, 81)]).first()
     assert tuple(first) == (True, False)
+
+
+def test_line_bitmaps_only_rule_out_what_cannot_be_similar(spark):
+    """Pairs of lines of all sizes, some near PERCENT: each similar pair passes, those far apart don't."""
+    rng = random.Random(17)
+    pairs = []
+    for size in [1, 3, 5, 6, 12, 40, 90, 300, 1020, 1030, 4000, 4300, 17000] * 4:
+        x = "".join(rng.choice("abcdefghij klmé") for _ in range(size))
+        y = list(x)
+        for _ in range(rng.randrange(max(2, size // 25))):
+            y[rng.randrange(size)] = rng.choice("xyz")
+        pairs += [(x, "".join(y)), (x, "".join(rng.choice("abcdefghij klmé") for _ in range(size))), (x * 3, x * 2 + "!")]
+    lines = sorted({line for p in pairs for line in p})
+    number = {line: i for i, line in enumerate(lines)}
+    bitmaps = line_dedup._bitmaps(spark.createDataFrame(list(enumerate(lines)), "h long, line string")).localCheckpoint()
+    sets = {i: {line[k : k + 5] for k in range(max(1, len(line) - 4))} for i, line in enumerate(lines)}
+    assert {r.h: r.n for r in bitmaps.collect()} == {i: len(s) for i, s in sets.items()}
+    ends = {(number[x], number[y]) for x, y in pairs}
+    passed = {tuple(r) for r in line_dedup._likely(spark.createDataFrame(sorted(ends), "a long, b long"), bitmaps, 75).collect()}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in ends}
+    assert all(e in passed for e in ends if share[e] >= 0.75) and sum(v >= 0.75 for v in share.values()) > 60
+    # Bitmaps of two sizes, whose sets lie on either side of a power of four, are not compared.
+    large = lambda i: sum(len(sets[i]) > line_dedup.BITS * 4**k for k in range(3))
+    apart = [e for e in ends if share[e] < 0.4 and len(sets[e[0]]) >= 12 and large(e[0]) == large(e[1])]
+    assert len(apart) > 20 and not any(e in passed for e in apart)
+
+
+def test_lines_that_share_bands_are_told_apart_before_their_texts_are_read(spark, monkeypatch):
+    """Sixty lines with a common beginning and nothing else in common, and one near copy: no pair but that of the copy is staged."""
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    start = " ".join(word() for _ in range(4))
+    texts = [start + " " + " ".join(word() for _ in range(20)) for _ in range(60)]
+    texts.append(texts[7] + " more")
+    made, stage = {}, line_dedup.stage
+
+    def counted(df, label):
+        out = stage(df, label)
+        made[label] = max(made.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stage", counted)
+    gone = {(r.doc, r.no) for r in line_dedup.duplicate_lines(table(spark, list(enumerate(texts)))).collect()}
+    assert gone == {(60, 0)} and made["line-tried"] <= 1 and made["line-waiting"] <= 1 and made["line-links"] == 1
