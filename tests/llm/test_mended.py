@@ -231,3 +231,19 @@ def test_lines_that_share_bands_are_told_apart_before_their_texts_are_read(spark
     monkeypatch.setattr(line_dedup, "stage", counted)
     gone = {(r.doc, r.no) for r in line_dedup.duplicate_lines(table(spark, list(enumerate(texts)))).collect()}
     assert gone == {(60, 0)} and made["line-tried"] <= 1 and made["line-waiting"] <= 1 and made["line-links"] == 1
+
+
+def test_all_lines_of_a_large_band_are_compared(spark):
+    """Lines with a common beginning, in pairs whose rest differs in each twelfth character, so that beyond the beginning they share no run of twelve."""
+    rng = random.Random(19)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    start, lines = text(300), []
+    for _ in range(100):
+        rest = text(150)
+        lines += [start + rest, start + "".join("#" if i % 12 == 11 else c for i, c in enumerate(rest))]
+    sets = [{x[k : k + 5] for k in range(len(x) - 4)} for x in lines]
+    alike = {(i, j) for i in range(200) for j in range(i) if len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j])}
+    assert alike == {(i, i - 1) for i in range(1, 200, 2)}
+    members = spark.createDataFrame([(1, i) for i in range(200)], "band long, h long").localCheckpoint()
+    groups = line_dedup.line_groups(members, spark.createDataFrame(list(enumerate(lines)), "h long, line string").localCheckpoint())
+    assert {r.node: r.root for r in groups.collect()} == {i: i - i % 2 for i in range(200)}
